@@ -16,6 +16,7 @@ from monthgrid.operators import folds as fo
 from monthgrid.operators import series as se
 from monthgrid.operators.grid import dense_grid
 from monthgrid.functions.numeric import absolute_percentage_error
+from monthgrid.session import materialize
 
 from .registry import cte
 
@@ -34,7 +35,7 @@ FOLD_BOUNDS = [
 ]
 FOLDS = fo.numbered_folds(FOLD_BOUNDS)
 URGENT = ("1-URGENT", "2-HIGH")
-# Factors on the training mean, with enough digits that no result falls on a rounding tie.
+# Factors on the three forecasts, with enough digits that no result falls on a rounding tie.
 SHRINK = {"naive": 0.91371318, "yearly": 0.50231307, "smooth": 0.80125714}
 
 
@@ -52,13 +53,13 @@ def exact_mean(value: Column, window) -> Column:
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select((F.col("c_custkey") + 1).cast("int").alias(KEY))
+    return table(spark, d, "customer").select((F.col("c_custkey") + 1).alias(KEY))
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         "o_orderkey",
-        (F.col("o_custkey") + 1).cast("int").alias(KEY),
+        (F.col("o_custkey") + 1).alias(KEY),
         month_start("o_orderdate").alias(MONTH),
         exact(F.col("o_totalprice")).alias("price"),
         F.col("o_orderpriority").alias("priority"),
@@ -78,7 +79,7 @@ def _nearby(own: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     There are 25 nations, so the nation-by-month totals are bounded by the
     calendar and may be broadcast.
     """
-    nations = table(spark, d, "customer").select((F.col("c_custkey") + 1).cast("int").alias(KEY), "c_nationkey")
+    nations = table(spark, d, "customer").select((F.col("c_custkey") + 1).alias(KEY), "c_nationkey")
     amount = exact(F.col("amount"))
     placed = own.select(KEY, MONTH, amount.alias("own")).join(nations, KEY)
     totals = placed.groupBy("c_nationkey", MONTH).agg(F.sum("own").alias("total"), F.count("own").alias("n"))
@@ -113,6 +114,7 @@ def land(spark: SparkSession, d: str) -> DataFrame:
 def source_cells(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The six sector-by-month tables, prefixed as they are merged."""
     tables = {"nh": new_house(spark, d), "po": pre_owned(spark, d), "land": land(spark, d)}
+    tables = {name: materialize(t, name) for name, t in tables.items()}
     nearby = {f"{name}nbr": _nearby(tables[name], spark, d) for name in tables}
     return {
         name: t.select(KEY, MONTH, *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c not in (KEY, MONTH)])
@@ -135,7 +137,7 @@ def statics(spark: SparkSession, d: str) -> DataFrame:
     )
     balance = F.when(F.col("c_acctbal") >= 1000, F.col("c_acctbal"))
     base = table(spark, d, "customer").select(
-        (F.col("c_custkey") + 1).cast("int").alias(KEY),
+        (F.col("c_custkey") + 1).alias(KEY),
         balance.alias("poi_resident_population"),
         (F.col("c_nationkey") % 4).alias("given_cluster"),
     )
@@ -180,9 +182,9 @@ def _modelled(df: DataFrame) -> DataFrame:
     mean = F.col("train_mean")
     return df.withColumns(
         {
-            "pred_naive": F.coalesce(F.col("amount_lag1"), mean * SHRINK["naive"], F.lit(0.0)),
-            "pred_yearly": F.coalesce(F.col("amount_lag12"), mean * SHRINK["yearly"], F.lit(0.0)),
-            "pred_smooth": F.coalesce(F.col("amount_roll6_mean"), mean * SHRINK["smooth"], F.lit(0.0)),
+            "pred_naive": F.coalesce(F.col("amount_lag1"), mean, F.lit(0.0)) * SHRINK["naive"],
+            "pred_yearly": F.coalesce(F.col("amount_lag12"), mean, F.lit(0.0)) * SHRINK["yearly"],
+            "pred_smooth": F.coalesce(F.col("amount_roll6_mean"), mean, F.lit(0.0)) * SHRINK["smooth"],
         }
     )
 
@@ -207,6 +209,8 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     means = F.array(*[F.col(f"_mean{f.fold}") for f in FOLDS])
     valid = fo.assigned(df.where(F.col("amount").isNotNull()), FOLDS, "valid")
     valid = _modelled(valid.withColumn("train_mean", F.get(means, F.col("fold") - 1)))
+    kept = ["fold", "reference_month", KEY, MONTH, "amount", *[f"pred_{m}" for m in MODELS]]
+    valid = materialize(valid.select(kept), "valid")
     weighted = fo.add_decay_weights(valid, fo.Decay(), F.col("reference_month"), by=["fold"])
     long = weighted.select(
         "fold", KEY, MONTH, F.col("amount").alias("y_true"), "weights", *[F.col(f"pred_{m}").alias(m) for m in MODELS]
@@ -225,11 +229,11 @@ def horizon_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 # --- the same tables for the oracle ---------------------------------------
 
-cte("cust", "SELECT CAST(c_custkey + 1 AS INTEGER) AS sector_id, c_nationkey, c_acctbal FROM customer")
+cte("cust", "SELECT c_custkey + 1 AS sector_id, c_nationkey, c_acctbal FROM customer")
 cte(
     "ord",
     """
-SELECT o_orderkey, CAST(o_custkey + 1 AS INTEGER) AS sector_id,
+SELECT o_orderkey, o_custkey + 1 AS sector_id,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS panel_month,
        CAST(o_totalprice AS DECIMAL(18, 2)) AS price, o_orderpriority AS priority
 FROM orders""",
@@ -324,9 +328,9 @@ FROM panel WINDOW w AS (PARTITION BY sector_id ORDER BY panel_month),
     ("panel",),
 )
 _MODEL_SQL = """
-COALESCE(lag1, train_mean * CAST({naive} AS DOUBLE), 0.0) AS pred_naive,
-COALESCE(lag12, train_mean * CAST({yearly} AS DOUBLE), 0.0) AS pred_yearly,
-COALESCE(roll6, train_mean * CAST({smooth} AS DOUBLE), 0.0) AS pred_smooth""".format(**SHRINK)
+COALESCE(lag1, train_mean, 0.0) * CAST({naive} AS DOUBLE) AS pred_naive,
+COALESCE(lag12, train_mean, 0.0) * CAST({yearly} AS DOUBLE) AS pred_yearly,
+COALESCE(roll6, train_mean, 0.0) * CAST({smooth} AS DOUBLE) AS pred_smooth""".format(**SHRINK)
 cte(
     "wide_predictions",
     f"""

@@ -241,7 +241,7 @@ GROUP BY r.model, g.bin
     ("predictions",),
 )
 def ape_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return ev.error_histogram(fx.predictions(spark, d))
+    return ev.error_histogram(materialize(fx.predictions(spark, d), "predictions"))
 
 
 @query(
@@ -429,7 +429,7 @@ def zero_override(spark: SparkSession, d: str) -> DataFrame:
     f"""
 SELECT t.id, COALESCE({_ENSEMBLE}, 0.0) AS new_house_transaction_amount
 FROM test_ids t LEFT JOIN horizon_predictions h
-  ON h.sector_id = CAST(split_part(t.id, '_sector ', 2) AS INTEGER)
+  ON h.sector_id = CAST(split_part(t.id, '_sector ', 2) AS BIGINT)
  AND h.panel_month = CAST(strptime(split_part(t.id, '_sector ', 1), '%Y %b') AS DATE)
 """,
     ("test_ids", "horizon_predictions"),
@@ -537,7 +537,8 @@ def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
 )
 def corr_drop(spark: SparkSession, d: str) -> DataFrame:
     """From masked products, the way that wide tables take."""
-    return sr.correlated_drops(sr.correlation_pairs(screened(spark, d), PAIRED, "products"), 0.5)
+    df = materialize(screened(spark, d), "screened")
+    return sr.correlated_drops(sr.correlation_pairs(df, PAIRED, "products"), 0.5)
 
 
 _IMPORTANCE = "SELECT p_brand || ' ' || p_type AS feature, SUM(CAST(p_retailprice AS DECIMAL(18, 2)))::DOUBLE AS importance FROM part GROUP BY ALL"

@@ -74,7 +74,7 @@ def scan_sources(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "scan_parquet",
     """
-SELECT CAST(o_custkey + 1 AS INTEGER) AS sector_id, CAST(o_orderdate AS DATE) AS panel_month, o_totalprice AS amount
+SELECT o_custkey + 1 AS sector_id, CAST(o_orderdate AS DATE) AS panel_month, o_totalprice AS amount
 FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '2001-01-01'
 """,
 )
@@ -82,7 +82,7 @@ def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows with the month cast to a date; the filter reaches the scan."""
     stored = spark.read.parquet(f"{d}/orders.parquet").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
     return stored.select(
-        (F.col("o_custkey") + 1).cast("int").alias(KEY),
+        (F.col("o_custkey") + 1).alias(KEY),
         F.to_date("o_orderdate").alias(MONTH),
         F.col("o_totalprice").alias("amount"),
     )
@@ -118,7 +118,7 @@ def sink_csv(spark: SparkSession, d: str) -> DataFrame:
     """Numbers written with six decimals, read back as the text that was printed."""
     path = scratch_path(spark, "cells_csv")
     si.write_csv(fx.cells(spark, d), path, decimals=6)
-    schema = "sector_id int, panel_month date, amount string, num string"
+    schema = "sector_id bigint, panel_month date, amount string, num string"
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
@@ -142,7 +142,7 @@ def project_selected(spark: SparkSession, d: str) -> DataFrame:
     "sector_index",
     """
 SELECT 'sector ' || (c_custkey * 3 + 7) AS sector_label,
-       CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS sector_id
+       row_number() OVER (ORDER BY c_custkey) AS sector_id
 FROM customer
 """,
 )
@@ -162,7 +162,7 @@ def sector_index(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT 'sector ' || sector_id AS sector_label FROM (
   SELECT sector_id FROM nh UNION ALL SELECT sector_id FROM po UNION ALL SELECT sector_id FROM land
   UNION ALL SELECT sector_id FROM cust
-  UNION ALL SELECT CAST(split_part(id, '_sector ', 2) AS INTEGER) FROM test_ids)
+  UNION ALL SELECT CAST(split_part(id, '_sector ', 2) AS BIGINT) FROM test_ids)
 """,
     ("nh", "po", "land", "cust", "test_ids"),
 )
@@ -209,7 +209,7 @@ def month_parse(spark: SparkSession, d: str) -> DataFrame:
     "parse_ids",
     """
 SELECT id, CAST(strptime(split_part(id, '_sector ', 1), '%Y %b') AS DATE) AS panel_month,
-       CAST(split_part(id, '_sector ', 2) AS INTEGER) AS sector_id
+       CAST(split_part(id, '_sector ', 2) AS BIGINT) AS sector_id
 FROM test_ids
 """,
     ("test_ids",),

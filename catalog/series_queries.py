@@ -85,14 +85,13 @@ def ewm(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "interpolate",
-    "SELECT sector_id, panel_month, amount, ROUND(amount_interp, 4) AS amount_interp FROM ("
+    "SELECT sector_id, panel_month, amount, amount_interp FROM ("
     + interpolation_sql("(SELECT sector_id, panel_month, amount FROM panel)", "sector_id", ["amount"])
     + ")",
     ("panel",),
 )
 def interpolate(spark: SparkSession, d: str) -> DataFrame:
-    out = se.add_interpolation(fx.panel(spark, d).drop("num"), ["amount"], [KEY], MONTH)
-    return rounded(out, ["amount_interp"], 4)
+    return se.add_interpolation(fx.panel(spark, d).drop("num"), ["amount"], [KEY], MONTH)
 
 
 @query(

@@ -73,7 +73,7 @@ def id_month(row_id: Column | str) -> Column:
 
 
 def id_sector(row_id: Column | str) -> Column:
-    return F.split(as_column(row_id), ID_SEPARATOR).getItem(1).try_cast("int")
+    return F.split(as_column(row_id), ID_SEPARATOR).getItem(1).try_cast("bigint")
 
 
 def row_id(month: Column | str, sector: Column | str) -> Column:

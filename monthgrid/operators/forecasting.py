@@ -58,7 +58,7 @@ def submission_for_ids(
 ) -> DataFrame:
     """The forecast of each id, 0 if there is none; other id columns pass through."""
     keyed = ids.withColumns({MONTH: id_month("id"), KEY: id_sector("id")})
-    values = predictions.select(MONTH, F.col(KEY).cast("int").alias(KEY), F.col(column).alias(output))
+    values = predictions.select(MONTH, F.col(KEY).cast("bigint").alias(KEY), F.col(column).alias(output))
     return (
         keyed.join(values, [MONTH, KEY], "left")
         .withColumn(output, F.coalesce(F.col(output), F.lit(0.0)))

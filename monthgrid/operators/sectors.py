@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width of one numbering bucket; see ``dense_numbers``.
-BUCKET_WIDTH = 65_536
+# Numbers per numbering bucket; see ``dense_numbers``.
+BUCKET_WIDTH = 1_000_000
 
 
 def sector_union(tables: Iterable[DataFrame], label: str = "sector") -> DataFrame:
@@ -23,28 +23,28 @@ def sector_union(tables: Iterable[DataFrame], label: str = "sector") -> DataFram
 
 
 def label_number(label: str = "sector_label"):
-    return F.regexp_extract(label, r"(\d+)", 1).cast("int")
+    return F.regexp_extract(label, r"(\d+)", 1).cast("bigint")
 
 
 def dense_numbers(df: DataFrame, number: str, output: str, tiebreak: str | None = None) -> DataFrame:
-    """1, 2, 3, ... in order of the non-negative int column ``number``.
+    """1, 2, 3, ... in order of the non-negative integer column ``number``.
 
     A plain ``row_number`` over the whole table would pull every row into one
     task. Here rows are numbered inside buckets of ``BUCKET_WIDTH`` consecutive
-    values; the bucket offsets come from a table of at most
-    2**31 / BUCKET_WIDTH = 32,768 rows, which is safe to order in one task and
-    to broadcast.
+    values. Only the table of bucket sizes, a millionth of the number range, is
+    ordered as a whole. The offsets join on the bucket, by which the numbered
+    rows are already partitioned, so the rows are shuffled once.
     """
     order = [number] + ([tiebreak] if tiebreak else [])
-    bucketed = df.withColumn("_bucket", F.floor(F.col(number) / BUCKET_WIDTH).cast("int"))
+    bucketed = df.withColumn("_bucket", F.floor(F.col(number) / BUCKET_WIDTH).cast("bigint"))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_bucket").orderBy(*order)
     return (
         bucketed.withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(output, (F.col("_row") + F.col("_offset")).cast("int"))
+        .join(offsets, "_bucket")
+        .withColumn(output, F.col("_row") + F.col("_offset"))
         .drop("_bucket", "_row", "_offset")
     )
 

@@ -15,7 +15,7 @@ def write_sector_index(index: DataFrame, path: str) -> None:
 
 
 def read_sector_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("sector_label string, sector_id int").parquet(path)
+    return spark.read.schema("sector_label string, sector_id bigint").parquet(path)
 
 
 def write_encoding(means: DataFrame, default: float, path: str) -> None:
