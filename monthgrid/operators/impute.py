@@ -48,12 +48,13 @@ def impute_panel(df: DataFrame, columns: Sequence[str], method: str = "bfill") -
         return df
     along = {c: filled(c, [KEY], MONTH, method) for c in flagged}
     first = df.withColumns({f"imputed_{c}": F.col(c).isNull().cast("int") for c in flagged}).withColumns(along)
+    first = materialize(first, "filled_along")
     medians = materialize(month_medians(first, flagged), "month_medians")
     second = first.join(F.broadcast(medians), MONTH, "left").withColumns(
         {c: F.coalesce(c, f"{c}_month") for c in flagged}
     ).drop(*[f"{c}_month" for c in flagged])
     known = medians.agg(*[F.count(f"{c}_month").alias(c) for c in flagged]).first().asDict()
-    months = df.select(MONTH).distinct().count()
+    months = first.select(MONTH).distinct().count()
     empty = [c for c in flagged if known[c] < months]
     if not empty:
         return second

@@ -1,69 +1,106 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile keeps all distinct values of a group in one
-buffer. Here a first pass finds, per group, two approximate quantiles that are
-certain to enclose the wanted rank; a second pass counts what lies below and
-orders only the values in between.
+buffer. Here a group's value range is cut into equal slices that are counted
+with map-side combine; only the slice that holds the wanted rank is kept, and
+cut again while it is large. What is ordered in the end is small, whatever the
+size of the group and however often one value repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Rank error of the sketch is at most rows / ACCURACY.
-ACCURACY = 10_000
-# The bracket spans this many times that error on either side; groups small
-# enough to be bracketed by their own extremes skip the sketch.
-SLACK = 4
+SLICES = 4_096
+# A range is cut further while it holds more rows than this and more than one value.
+SMALL_GROUP = 100_000
+
+
+def _ranked(df: DataFrame, group: Sequence[str], order: Column) -> DataFrame:
+    """``_upto``: rows of the group up to and including this counted entry."""
+    running = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))
+
+
+def _narrowed(rows: DataFrame, ranges: DataFrame, group: Sequence[str], slices: int) -> DataFrame:
+    """Ranges of the open groups, cut to the slice with the wanted rank."""
+    half = F.lit(0.5)  # halved, so that the width of the range cannot overflow
+    position = (F.col("_v") * half - F.col("_lo") * half) / (F.col("_hi") * half - F.col("_lo") * half)
+    inside = rows.join(ranges, list(group)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    counted = inside.groupBy(*group, F.floor(position * slices).alias("_slice")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.first("_rank").alias("_rank"),
+        F.first("_below").alias("_below"),
+    )
+    ranked = _ranked(counted, group, F.col("_slice"))
+    low = F.col("_upto") > F.floor("_rank")
+    high = F.col("_upto") > F.ceil("_rank")
+    entry = F.struct("_slice", "_min", "_max", "_n", (F.col("_upto") - F.col("_n")).alias("_below"))
+    picked = ranked.groupBy(*group).agg(
+        F.first("_rank").alias("_rank"), F.min(F.when(low, entry)).alias("_a"), F.min(F.when(high, entry)).alias("_b")
+    )
+    same = F.col("_a._slice") == F.col("_b._slice")
+    # Neighbours in different slices are the last value of one and the first of the next.
+    return picked.select(
+        *group,
+        "_rank",
+        F.when(same, F.col("_a._min")).otherwise(F.col("_a._max")).alias("_lo"),
+        F.when(same, F.col("_a._max")).otherwise(F.col("_b._min")).alias("_hi"),
+        F.when(same, F.col("_a._below")).alias("_below"),
+        F.when(same, F.col("_a._n")).otherwise(F.lit(0)).alias("_n"),
+    )
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantile: float = 0.5, output: str = "quantile",
-    accuracy: int = ACCURACY,
+    slices: int = SLICES, small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """``quantile`` of ``value`` per group, linear between neighbours, nulls ignored.
 
-    Groups without a value are absent from the result.
+    Groups without a value are absent from the result. ``df`` is read at least
+    twice, so it should be a stored table or cheap to compute.
     """
     group = list(keys) or ["_all"]
     rows = df.select(
         *[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")
     ).where(F.col("_v").isNotNull())
-    margin = SLACK / accuracy
-    low, high = max(quantile - margin, 0.0), min(quantile + margin, 1.0)
-    near = F.percentile_approx("_v", [low, high], accuracy)
-    small = F.col("_n") <= SLACK * accuracy
-    brackets = (
+    ranges = (
         rows.groupBy(*group)
-        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), near.alias("_near"))
-        .select(
-            *group,
-            (F.lit(quantile) * (F.col("_n") - 1)).alias("_rank"),
-            F.when(small, F.col("_min")).otherwise(F.col("_near")[0]).alias("_lo"),
-            F.when(small, F.col("_max")).otherwise(F.col("_near")[1]).alias("_hi"),
-        )
+        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .select(*group, (F.lit(quantile) * (F.col("_n") - 1)).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_n")
     )
-    brackets = materialize(brackets, "brackets")
-    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    ranges = materialize(ranges, "ranges")
+    large = (F.col("_n") > small_group) & (F.col("_lo") < F.col("_hi"))
+    settled = [ranges.where(~large)]
+    opened = ranges.where(large)
+    while not opened.isEmpty():
+        cut = materialize(_narrowed(rows, opened, group, slices), "ranges")
+        settled.append(cut.where(~large))
+        opened = cut.where(large)
+    ranges = settled[0]
+    for part in settled[1:]:
+        ranges = ranges.unionByName(part)
     counted = (
-        rows.join(brackets, group)
-        .where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*group, inside.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"))
+        rows.join(ranges.drop("_n"), group)
+        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*group, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"), F.first("_below").alias("_below"))
     )
-    running = Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(running))
-    lower = F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("_v")))
-    upper = F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_v")))
-    share = F.first("_rank") - F.floor(F.first("_rank"))
+    # Without a count of what lies below, the range ends are the two neighbours.
+    ranked = _ranked(counted, group, F.col("_v"))
+    between = F.first("_rank") - F.floor(F.first("_rank"))
+    lower = F.min(F.when(F.col("_below").isNull() | (F.col("_upto") > F.floor("_rank")), F.col("_v")))
+    upper = F.coalesce(F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_v"))), F.max("_v"))
     return (
         ranked.groupBy(*group)
-        .agg(lower.alias("_a"), upper.alias("_b"), share.alias("_share"))
+        .agg(lower.alias("_a"), upper.alias("_b"), between.alias("_share"))
         .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias(output))
     )
 

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import positive_flag, safe_ratio
 
@@ -83,16 +84,20 @@ def _smoothed(rows: Column, column: str, alpha: float) -> Column:
 
 
 def add_ewm(
-    df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, engine: str = "native"
+    df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, engine: str = "native",
+    point: str = ".",
 ) -> DataFrame:
     """``<c>_ewm_alpha<a>``: recursive exponentially weighted mean.
 
+    ``point`` replaces the decimal point in the names, for stages that cannot
+    take a dotted column.
+
     Missing values carry the mean forward and decay its weight. ``native``
     folds the ordered rows of a series in the JVM; a series of months is short.
     ``pandas`` does the same per series in Arrow batches, for series of many
     thousand rows, where growing the output array would be quadratic.
     """
-    names = {(c, a): f"{c}_ewm_alpha{a}" for c in columns for a in alphas}
+    names = {(c, a): f"{c}_ewm_alpha{str(a).replace('.', point)}" for c in columns for a in alphas}
     if engine == "pandas":
         return _ewm_pandas(df, names, keys, order)
     others = [c for c in df.columns if c not in keys and c != order]
@@ -109,9 +114,8 @@ def add_ewm(
 
 
 def _ewm_pandas(df: DataFrame, names: Mapping[tuple[str, float], str], keys: Keys, order: str) -> DataFrame:
-    schema = df.schema
-    for name in names.values():
-        schema = schema.add(name, "double")
+    added = [T.StructField(name, T.DoubleType()) for name in names.values()]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def smooth(series):
         series = series.sort_values(order)

@@ -68,7 +68,7 @@ def numeric_features(df: DataFrame, features: Sequence[str]) -> list[str]:
 def project_features(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Keys and features in order; features the table lacks are 0."""
     return df.select(
-        *keys, *[F.col(f) if f in df.columns else F.lit(0.0).alias(f) for f in features if f not in keys]
+        *keys, *[F.col(f"`{f}`") if f in df.columns else F.lit(0.0).alias(f) for f in features if f not in keys]
     )
 
 

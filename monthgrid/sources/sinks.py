@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 def write_panel(df: DataFrame, path: str, month: str = "panel_month") -> None:
     """Parquet partitioned by year, so a month filter skips other years' files.
 
-    Rows are spread by year and by the sector within it, in as many pieces as
-    the shuffle setting gives: a year is not confined to one task.
+    Rows are gathered by year, and adaptive execution splits a large year into
+    pieces of the advisory size: no year is confined to one task, and each
+    task writes few files.
     """
-    spread = df.withColumn("panel_year", F.year(month)).repartition("panel_year", "sector_id")
+    spread = df.withColumn("panel_year", F.year(month)).hint("rebalance", "panel_year")
     spread.write.mode("overwrite").partitionBy("panel_year").parquet(path)
 
 
