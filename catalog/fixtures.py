@@ -3,7 +3,7 @@
 A customer plays the role of a sector and its orders are its monthly
 transactions, so the panel has one series per customer and grows with the data.
 The same derivations are stated as common table expressions for the oracle.
-Sums go through decimals, so both engines start from identical numbers.
+Money is summed in whole cents, so both engines start from identical numbers.
 """
 
 from __future__ import annotations
@@ -43,13 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exact(total: Column) -> Column:
-    return total.cast("decimal(18,2)")
+def cents(value: Column | str) -> Column:
+    return F.round((F.col(value) if isinstance(value, str) else value) * 100).cast("bigint")
+
+
+def money(whole_cents: Column) -> Column:
+    return whole_cents.cast("double") / F.lit(100.0)
 
 
 def exact_mean(value: Column, window) -> Column:
-    """Mean by way of a decimal sum: the same bits in every order of rows."""
-    return F.try_divide(F.sum(exact(value)).over(window).cast("double"), F.count(value).over(window))
+    """Mean by way of whole cents: the same bits in every order of rows."""
+    return F.try_divide(money(F.sum(cents(value)).over(window)), F.count(value).over(window))
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +65,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
         "o_orderkey",
         (F.col("o_custkey") + 1).alias(KEY),
         month_start("o_orderdate").alias(MONTH),
-        exact(F.col("o_totalprice")).alias("price"),
+        cents("o_totalprice").alias("price"),
         F.col("o_orderpriority").alias("priority"),
     )
 
@@ -69,7 +73,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 def _cells(orders: DataFrame) -> DataFrame:
     """Amount and number per sector and month; a busy customer combines map-side."""
     return orders.groupBy(KEY, MONTH).agg(
-        F.sum("price").cast("double").alias("amount"), F.count(F.lit(1)).cast("double").alias("num")
+        money(F.sum("price")).alias("amount"), F.count(F.lit(1)).cast("double").alias("num")
     )
 
 
@@ -80,10 +84,9 @@ def _nearby(own: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     calendar and may be broadcast.
     """
     nations = table(spark, d, "customer").select((F.col("c_custkey") + 1).alias(KEY), "c_nationkey")
-    amount = exact(F.col("amount"))
-    placed = own.select(KEY, MONTH, amount.alias("own")).join(nations, KEY)
+    placed = own.select(KEY, MONTH, cents("amount").alias("own")).join(nations, KEY)
     totals = placed.groupBy("c_nationkey", MONTH).agg(F.sum("own").alias("total"), F.count("own").alias("n"))
-    rest = F.when(F.col("n") > 1, (F.col("total") - F.col("own")).cast("double"))
+    rest = F.when(F.col("n") > 1, money(F.col("total") - F.col("own")))
     return placed.join(F.broadcast(totals), ["c_nationkey", MONTH]).select(KEY, MONTH, rest.alias("amount"))
 
 
@@ -105,10 +108,10 @@ def land(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "lineitem")
         .where(F.col("l_returnflag") == "R")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sum(exact(F.col("l_extendedprice"))).alias("returned"))
+        .agg(F.sum(cents("l_extendedprice")).alias("returned"))
     )
     joined = lines.join(_orders(spark, d).select("o_orderkey", KEY, MONTH), "o_orderkey")
-    return joined.groupBy(KEY, MONTH).agg(F.sum("returned").cast("double").alias("amount"))
+    return joined.groupBy(KEY, MONTH).agg(money(F.sum("returned")).alias("amount"))
 
 
 def source_cells(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -132,8 +135,8 @@ def statics(spark: SparkSession, d: str) -> DataFrame:
     per_customer = _orders(spark, d).groupBy(KEY).agg(
         F.count(F.lit(1)).cast("double").alias("poi_number_of_shops"),
         F.count_if(F.col("priority").isin(*URGENT)).cast("double").alias("poi_catering"),
-        (F.sum("price").cast("double") / F.count(F.lit(1))).alias("poi_mean_price"),
-        F.max("price").cast("double").alias("poi_max_price"),
+        (money(F.sum("price")) / F.count(F.lit(1))).alias("poi_mean_price"),
+        money(F.max("price")).alias("poi_max_price"),
     )
     balance = F.when(F.col("c_acctbal") >= 1000, F.col("c_acctbal"))
     base = table(spark, d, "customer").select(
@@ -163,7 +166,7 @@ def city_indexes(spark: SparkSession, d: str) -> DataFrame:
     return (
         _orders(spark, d)
         .groupBy(year.alias("data_year"), F.substring("priority", 1, 1).cast("int").alias("revision"))
-        .agg(F.sum("price").cast("double").alias("total_price"), F.count(F.lit(1)).cast("double").alias("order_count"))
+        .agg(money(F.sum("price")).alias("total_price"), F.count(F.lit(1)).cast("double").alias("order_count"))
         .where(~F.col("data_year").isin(1997, 1999))
         .withColumn("total_price", F.when(F.col("data_year") != 1998, F.col("total_price")))
     )
@@ -235,7 +238,7 @@ cte(
     """
 SELECT o_orderkey, o_custkey + 1 AS sector_id,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS panel_month,
-       CAST(o_totalprice AS DECIMAL(18, 2)) AS price, o_orderpriority AS priority
+       CAST(round(o_totalprice * 100) AS BIGINT) AS price, o_orderpriority AS priority
 FROM orders""",
 )
 cte(
@@ -244,7 +247,7 @@ cte(
 SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH)) AS DATE) AS panel_month""",
 )
 _CELLS = """
-SELECT sector_id, panel_month, CAST(SUM(price) AS DOUBLE) AS amount, CAST(COUNT(*) AS DOUBLE) AS num
+SELECT sector_id, panel_month, CAST(SUM(price) AS DOUBLE) / 100 AS amount, CAST(COUNT(*) AS DOUBLE) AS num
 FROM ord {where} GROUP BY sector_id, panel_month"""
 cte("cells", _CELLS.format(where=""), ("ord",))
 cte("nh", _CELLS.format(where="WHERE priority IN ('1-URGENT', '2-HIGH')"), ("ord",))
@@ -252,7 +255,7 @@ cte("po", _CELLS.format(where="WHERE priority NOT IN ('1-URGENT', '2-HIGH')"), (
 cte(
     "land",
     """
-SELECT sector_id, panel_month, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS amount
+SELECT sector_id, panel_month, CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS amount
 FROM lineitem JOIN ord ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
 GROUP BY sector_id, panel_month""",
     ("ord",),
@@ -262,8 +265,8 @@ for _name in ("nh", "po", "land"):
         f"{_name}nbr",
         f"""
 SELECT sector_id, panel_month,
-       CASE WHEN COUNT(*) OVER g > 1 THEN CAST(SUM(CAST(amount AS DECIMAL(18, 2))) OVER g
-            - CAST(amount AS DECIMAL(18, 2)) AS DOUBLE) END AS amount
+       CASE WHEN COUNT(*) OVER g > 1 THEN CAST(SUM(CAST(round(amount * 100) AS BIGINT)) OVER g
+            - CAST(round(amount * 100) AS BIGINT) AS DOUBLE) / 100 END AS amount
 FROM {_name} JOIN cust USING (sector_id) WINDOW g AS (PARTITION BY c_nationkey, panel_month)""",
         (_name, "cust"),
     )
@@ -283,7 +286,7 @@ SELECT c.sector_id, CASE WHEN c_acctbal >= 1000 THEN c_acctbal END AS poi_reside
 FROM cust c LEFT JOIN (
   SELECT sector_id, CAST(COUNT(*) AS DOUBLE) AS poi_number_of_shops,
          CAST(COUNT(*) FILTER (WHERE priority IN ('1-URGENT', '2-HIGH')) AS DOUBLE) AS poi_catering,
-         CAST(SUM(price) AS DOUBLE) / COUNT(*) AS poi_mean_price, CAST(MAX(price) AS DOUBLE) AS poi_max_price
+         CAST(SUM(price) AS DOUBLE) / 100 / COUNT(*) AS poi_mean_price, CAST(MAX(price) AS DOUBLE) / 100 AS poi_max_price
   FROM ord GROUP BY sector_id) o USING (sector_id)""",
     ("cust", "ord"),
 )
@@ -298,7 +301,7 @@ cte(
     "city_indexes",
     """
 SELECT CAST(year(panel_month) AS INTEGER) AS data_year, CAST(substr(priority, 1, 1) AS INTEGER) AS revision,
-       CASE WHEN year(panel_month) <> 1998 THEN CAST(SUM(price) AS DOUBLE) END AS total_price,
+       CASE WHEN year(panel_month) <> 1998 THEN CAST(SUM(price) AS DOUBLE) / 100 END AS total_price,
        CAST(COUNT(*) AS DOUBLE) AS order_count
 FROM ord WHERE year(panel_month) NOT IN (1997, 1999) GROUP BY year(panel_month), substr(priority, 1, 1)""",
     ("ord",),
@@ -322,7 +325,7 @@ cte(
     "past",
     """
 SELECT *, LAG(amount, 1) OVER w AS lag1, LAG(amount, 12) OVER w AS lag12,
-       CAST(SUM(CAST(amount AS DECIMAL(18, 2))) OVER s AS DOUBLE) / NULLIF(COUNT(amount) OVER s, 0) AS roll6
+       CAST(SUM(CAST(round(amount * 100) AS BIGINT)) OVER s AS DOUBLE) / 100 / NULLIF(COUNT(amount) OVER s, 0) AS roll6
 FROM panel WINDOW w AS (PARTITION BY sector_id ORDER BY panel_month),
   s AS (PARTITION BY sector_id ORDER BY panel_month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""",
     ("panel",),
@@ -339,7 +342,7 @@ SELECT v.fold, p.sector_id, p.panel_month, p.amount AS y_true, {_MODEL_SQL},
          / AVG(pow(0.5, ((year(valid_end) - year(p.panel_month)) * 12 + month(valid_end) - month(p.panel_month)) / 12.0))
            OVER (PARTITION BY v.fold) AS weights
 FROM past p JOIN folds v ON p.panel_month BETWEEN v.valid_start AND v.valid_end
-LEFT JOIN (SELECT f.fold, q.sector_id, CAST(SUM(CAST(q.amount AS DECIMAL(18, 2))) AS DOUBLE) / COUNT(*) AS train_mean FROM cells q JOIN folds f ON q.panel_month <= f.train_end
+LEFT JOIN (SELECT f.fold, q.sector_id, CAST(SUM(CAST(round(q.amount * 100) AS BIGINT)) AS DOUBLE) / 100 / COUNT(*) AS train_mean FROM cells q JOIN folds f ON q.panel_month <= f.train_end
            GROUP BY f.fold, q.sector_id) m ON m.fold = v.fold AND m.sector_id = p.sector_id
 WHERE p.amount IS NOT NULL""",
     ("past", "folds", "cells"),
@@ -359,7 +362,7 @@ cte(
     "horizon_predictions",
     f"""
 SELECT p.sector_id, p.panel_month, {_MODEL_SQL}
-FROM past p LEFT JOIN (SELECT sector_id, CAST(SUM(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / COUNT(*) AS train_mean FROM cells
+FROM past p LEFT JOIN (SELECT sector_id, CAST(SUM(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100 / COUNT(*) AS train_mean FROM cells
   WHERE panel_month <= DATE '{TRAIN_END}' GROUP BY sector_id) m USING (sector_id)
 WHERE p.panel_month >= DATE '{HORIZON}'""",
     ("past", "cells"),

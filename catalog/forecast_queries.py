@@ -541,7 +541,7 @@ def corr_drop(spark: SparkSession, d: str) -> DataFrame:
     return sr.correlated_drops(sr.correlation_pairs(df, PAIRED, "products"), 0.5)
 
 
-_IMPORTANCE = "SELECT p_brand || ' ' || p_type AS feature, SUM(CAST(p_retailprice AS DECIMAL(18, 2)))::DOUBLE AS importance FROM part GROUP BY ALL"
+_IMPORTANCE = "SELECT p_brand || ' ' || p_type AS feature, SUM(CAST(round(p_retailprice * 100) AS BIGINT))::DOUBLE / 100 AS importance FROM part GROUP BY ALL"
 
 
 @query(
@@ -562,7 +562,7 @@ def select_features(spark: SparkSession, d: str) -> DataFrame:
     importance = (
         fx.table(spark, d, "part")
         .groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("feature"))
-        .agg(F.sum(fx.exact(F.col("p_retailprice"))).cast("double").alias("importance"))
+        .agg(fx.money(F.sum(fx.cents("p_retailprice"))).alias("importance"))
     )
     share = sr.select_features(importance, 10, 0.5, ["sector_id", "amount"])
     top = sr.select_features(importance, 20, 0.05, ["sector_id"])

@@ -411,7 +411,7 @@ def merge_static(spark: SparkSession, d: str) -> DataFrame:
     """
 SELECT sector_id, p.panel_month, p.amount, g.macro_total, CAST(g.macro_total IS NOT NULL AS INTEGER) AS has_macro
 FROM panel p LEFT JOIN (
-  SELECT panel_month, CAST(SUM(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS macro_total
+  SELECT panel_month, CAST(SUM(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100 AS macro_total
   FROM cells WHERE month(panel_month) <> 12 GROUP BY panel_month) g ON g.panel_month = p.panel_month
 """,
     ("panel", "cells"),
@@ -422,7 +422,7 @@ def merge_month_dim(spark: SparkSession, d: str) -> DataFrame:
         fx.cells(spark, d)
         .where(F.month(MONTH) != 12)
         .groupBy(MONTH)
-        .agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("macro_total"))
+        .agg(fx.money(F.sum(fx.cents("amount"))).alias("macro_total"))
     )
     return gr.merge_months(fx.panel(spark, d).drop("num"), totals, "has_macro")
 

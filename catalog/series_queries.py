@@ -220,7 +220,7 @@ def group_median(spark: SparkSession, d: str) -> DataFrame:
     """
 SELECT panel_month, MAX(total) AS total FROM (
   SELECT panel_month, CASE WHEN sector_id % 3 <> 0 THEN
-           CAST(SUM(CAST(amount AS DECIMAL(18, 2))) OVER (PARTITION BY panel_month) AS DOUBLE) END AS total FROM cells)
+           CAST(SUM(CAST(round(amount * 100) AS BIGINT)) OVER (PARTITION BY panel_month) AS DOUBLE) / 100 END AS total FROM cells)
 GROUP BY panel_month
 """,
     ("cells",),
@@ -228,7 +228,7 @@ GROUP BY panel_month
 def month_first(spark: SparkSession, d: str) -> DataFrame:
     """A month's value, known on some of its rows only, for the whole month."""
     totals = fx.cells(spark, d).groupBy(MONTH).agg(
-        F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total")
+        fx.money(F.sum(fx.cents("amount"))).alias("total")
     )
     rows = fx.cells(spark, d).join(F.broadcast(totals), MONTH)
     return im.month_values(rows.withColumn("total", F.when(F.col(KEY) % 3 != 0, F.col("total"))), ["total"])

@@ -18,7 +18,7 @@ from ..session import materialize
 
 SLICES = 4_096
 # A range is cut further while it holds more rows than this and more than one value.
-SMALL_GROUP = 100_000
+SMALL_GROUP = 1_000_000
 
 
 def _ranked(df: DataFrame, group: Sequence[str], order: Column) -> DataFrame:

@@ -76,11 +76,15 @@ def _smoothed(rows: Column, column: str, alpha: float) -> Column:
         blended = (kept * mean + F.lit(alpha) * x) / (kept + F.lit(alpha))
         new_mean = F.when(x.isNull() | (x == mean), mean).when(mean.isNull(), x).otherwise(blended)
         new_weight = F.when(x.isNotNull(), F.lit(1.0)).when(mean.isNull(), state["weight"]).otherwise(kept)
+        # The mean before this row is appended, so each step computes its mean once.
         return F.struct(
-            new_mean.alias("mean"), new_weight.alias("weight"), F.concat(state["out"], F.array(new_mean)).alias("out")
+            new_mean.alias("mean"), new_weight.alias("weight"), F.concat(state["out"], F.array(mean)).alias("out")
         )
 
-    return F.aggregate(rows, empty, step, lambda state: state["out"])
+    def finish(state: Column) -> Column:
+        return F.concat(F.slice(state["out"], F.lit(2), F.size(state["out"])), F.array(state["mean"]))
+
+    return F.aggregate(rows, empty, step, finish)
 
 
 def add_ewm(
@@ -101,7 +105,7 @@ def add_ewm(
     if engine == "pandas":
         return _ewm_pandas(df, names, keys, order)
     others = [c for c in df.columns if c not in keys and c != order]
-    rows = F.array_sort(F.collect_list(F.struct(order, *others)))
+    rows = F.sort_array(F.collect_list(F.struct(order, *others)))
     grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
     folded = grouped.withColumns({f"_f{i}": _smoothed(F.col("_rows"), c, a) for i, (c, a) in enumerate(names)})
     zipped = F.arrays_zip("_rows", *[f"_f{i}" for i in range(len(names))])
