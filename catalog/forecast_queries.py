@@ -91,11 +91,11 @@ def decay_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "target_encode",
-    f"""
+    """
 , m AS (SELECT sector_id, AVG(amount) AS mean FROM cells WHERE panel_month <= DATE '1996-06-01' GROUP BY sector_id)
 SELECT sector_id, panel_month, ROUND(COALESCE(mean, 0.0), 6) AS sector_te,
        ROUND(COALESCE(mean, (SELECT AVG(amount) FROM cells WHERE panel_month <= DATE '1996-06-01')), 6) AS sector_te_mean
-FROM panel LEFT JOIN m USING (sector_id) WHERE panel_month >= DATE '{fx.HORIZON}'
+FROM panel LEFT JOIN m USING (sector_id)
 """,
     ("panel", "cells"),
 )
@@ -105,7 +105,7 @@ def target_encode(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "encoding")
     ar.write_encoding(fo.category_means(train, KEY, "amount"), 0.0, path)
     means, default = ar.read_encoding(spark, path)
-    rows = fx.panel(spark, d).where(F.col(MONTH) >= F.lit(fx.HORIZON).cast("date")).select(KEY, MONTH)
+    rows = fx.panel(spark, d).select(KEY, MONTH)
     out = fo.encode(rows, means, KEY, "sector_te", default)
     out = fo.encode(out, means, KEY, "sector_te_mean", fo.encoding_default(train, "amount", "mean"))
     return rounded(out, ["sector_te", "sector_te_mean"])
@@ -395,9 +395,9 @@ def prediction_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, d: str) -> DataFrame:
-    """Sectors without an order in one of the three months before, and three listed ones."""
+    """Sectors without an order in the month before, and three listed ones."""
     ruled = se.add_zero_rule(fx.panel(spark, d), "amount", [KEY], MONTH, months=1)
-    ruled = ruled.where((F.col("had_zero") == 1) & (F.month(MONTH) % 3 == 0)).select(MONTH, KEY)
+    ruled = ruled.where(F.col("had_zero") == 1).select(MONTH, KEY)
     listed = fx.sectors(spark, d).where(F.col(KEY) <= 3).select(F.lit(fx.END).cast("date").alias(MONTH), KEY)
     return ruled.unionByName(listed)
 
@@ -406,7 +406,7 @@ _OVERRIDES = """
 SELECT panel_month, sector_id FROM (
   SELECT *, COALESCE(LAG(amount, 1) OVER (PARTITION BY sector_id ORDER BY panel_month), 0) AS before,
          row_number() OVER (PARTITION BY sector_id ORDER BY panel_month) AS pos FROM panel)
-WHERE before = 0 AND pos > 1 AND month(panel_month) % 3 = 0
+WHERE before = 0 AND pos > 1
 UNION
 SELECT DATE '2001-08-01', sector_id FROM cust WHERE sector_id <= 3"""
 

@@ -219,7 +219,7 @@ def group_median(spark: SparkSession, d: str) -> DataFrame:
     "month_first",
     """
 SELECT panel_month, MAX(total) AS total FROM (
-  SELECT panel_month, CASE WHEN sector_id % 3 <> 0 THEN
+  SELECT panel_month, CASE WHEN num = 1 THEN
            CAST(SUM(CAST(round(amount * 100) AS BIGINT)) OVER (PARTITION BY panel_month) AS DOUBLE) / 100 END AS total FROM cells)
 GROUP BY panel_month
 """,
@@ -231,7 +231,7 @@ def month_first(spark: SparkSession, d: str) -> DataFrame:
         fx.money(F.sum(fx.cents("amount"))).alias("total")
     )
     rows = fx.cells(spark, d).join(F.broadcast(totals), MONTH)
-    return im.month_values(rows.withColumn("total", F.when(F.col(KEY) % 3 != 0, F.col("total"))), ["total"])
+    return im.month_values(rows.withColumn("total", F.when(F.col("num") == 1, F.col("total"))), ["total"])
 
 
 @query(
@@ -258,13 +258,14 @@ def impute_panel(spark: SparkSession, d: str) -> DataFrame:
     "impute_city",
     """
 SELECT panel_month, CAST(volume IS NULL AS INTEGER) AS imputed_volume, COALESCE(volume, median(volume) OVER ()) AS volume
-FROM (SELECT panel_month, CASE WHEN day(panel_month) % 5 <> 0 THEN SUM(search_volume) END AS volume
+FROM (SELECT panel_month, CASE WHEN dayofweek(panel_month) <> 0 THEN SUM(search_volume) END AS volume
       FROM searches GROUP BY panel_month)
 """,
     ("searches",),
 )
 def impute_city(spark: SparkSession, d: str) -> DataFrame:
-    volume = F.when(F.dayofmonth(MONTH) % 5 != 0, F.col("volume"))
+    """Sundays hold no value and take the median."""
+    volume = F.when(F.dayofweek(MONTH) != 1, F.col("volume"))
     monthly = fx.searches(spark, d).groupBy(MONTH).agg(F.sum("search_volume").alias("volume"))
     return im.impute_months(monthly.withColumn("volume", volume), ["volume"])
 

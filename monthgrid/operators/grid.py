@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import horizon_flag, month_index
 from ..functions.numeric import all_present
+from ..session import materialize
 
 KEY = "sector_id"
 MONTH = "panel_month"
@@ -125,11 +126,12 @@ def merge_static(panel: DataFrame, statics: DataFrame, flag: str = "has_poi") ->
 def merge_months(panel: DataFrame, by_month: DataFrame, flag: str) -> DataFrame:
     """Left join of one row per calendar month.
 
-    The broadcast is bounded by the key: a month column holds at most
-    12 x 9,999 values, and a real calendar a few hundred.
+    The month table is stored first, so its known size decides: a calendar of
+    any usual length is broadcast and the panel is not shuffled.
     """
     columns = [c for c in by_month.columns if c != MONTH]
-    return add_presence_flags(panel.join(F.broadcast(by_month), MONTH, "left"), {flag: columns})
+    stored = materialize(by_month, "by_month")
+    return add_presence_flags(panel.join(stored, MONTH, "left"), {flag: columns})
 
 
 def panel_checks(panel: DataFrame, sectors: DataFrame, start: str, end: str) -> DataFrame:

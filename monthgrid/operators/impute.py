@@ -38,9 +38,9 @@ def impute_panel(df: DataFrame, columns: Sequence[str], method: str = "bfill") -
     """Fill along the sector, then from the month's median, then from the column's.
 
     Adds ``imputed_<c>``, 1 where the cell was empty, for columns with gaps.
-    The month medians join as a broadcast, which the calendar bounds; the
-    column medians are scalars, and are only computed if a month has no value
-    at all in some column.
+    The stored month medians join by their known size, a broadcast for any
+    usual calendar; the column medians are scalars, and are only computed if a
+    month has no value at all in some column.
     """
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
     flagged = [c for c in columns if gaps[c]]
@@ -50,7 +50,7 @@ def impute_panel(df: DataFrame, columns: Sequence[str], method: str = "bfill") -
     first = df.withColumns({f"imputed_{c}": F.col(c).isNull().cast("int") for c in flagged}).withColumns(along)
     first = materialize(first, "filled_along")
     medians = materialize(month_medians(first, flagged), "month_medians")
-    second = first.join(F.broadcast(medians), MONTH, "left").withColumns(
+    second = first.join(medians, MONTH, "left").withColumns(
         {c: F.coalesce(c, f"{c}_month") for c in flagged}
     ).drop(*[f"{c}_month" for c in flagged])
     known = medians.agg(*[F.count(f"{c}_month").alias(c) for c in flagged]).first().asDict()

@@ -1,6 +1,6 @@
 """Static sector attributes: scaling, clusters, imputation, components.
 
-The reference point for all of these is one row per sector. On a dense panel
+All of these work on one row per sector. On a dense panel
 each sector repeats the same number of times, so means, population deviations
 and explained-variance shares are the same as over all panel rows.
 """

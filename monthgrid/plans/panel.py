@@ -21,7 +21,7 @@ MANDATORY = ("sector_id", "sector_label", "panel_month", "month_idx", "is_future
 
 @dataclass(frozen=True)
 class PanelOptions:
-    """Settings of the panel job; the defaults are those of the reference data."""
+    """Settings of the panel job; the defaults fit the ten housing-market tables."""
 
     target: str = "nh_amount_new_house_transactions"
     train_end: str = "2024-07-01"
@@ -184,7 +184,7 @@ def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions) ->
     city = city_table(sources, start, end, options)
     fill_city = [c for c in numeric_columns(city) if c.startswith(CITY_PREFIXES) and not _derived(c)]
     city = materialize(impute.impute_months(city, fill_city), "city_imputed")
-    df = df.join(F.broadcast(city), MONTH, "left").join(static_table(sources["poi"], index, options), KEY, "left")
+    df = df.join(city, MONTH, "left").join(static_table(sources["poi"], index, options), KEY, "left")
     df = materialize(df, "panel_features")
     columns = [c for c in numeric_columns(df, [*MANDATORY, options.target]) if not _derived(c) and not c.startswith(CITY_PREFIXES)]
     df = impute.impute_panel(df, columns, options.fill_method)
