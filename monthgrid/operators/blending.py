@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -14,6 +15,7 @@ from .evaluation import scores
 
 ROW_KEYS = ["sector_id", "panel_month", "fold", "y_true"]
 MAX_CANDIDATES = 200_000
+Bounds = tuple[float, float] | Sequence[tuple[float, float]]
 
 
 def merge_predictions(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -39,34 +41,35 @@ def blended(models: Sequence[str], weights: Sequence[float], minimum: float | No
 
 
 def candidate_count(models: int, steps: int) -> int:
-    count = 1
-    for i in range(1, models):
-        count = count * (steps + i) // i
-    return count
+    """Weight vectors of step ``1 / steps`` that sum to 1."""
+    return math.comb(steps + models - 1, models - 1)
 
 
-def candidate_scores(
-    wide: DataFrame, models: Sequence[str], steps: int = 20, bounds: tuple[float, float] = (0.0, 1.0)
-) -> DataFrame:
+def _box(models: int, steps: int, bounds: Bounds) -> list[tuple[int, int]]:
+    """Smallest and largest number of steps of each weight."""
+    each = list(bounds) if isinstance(bounds[0], (tuple, list)) else [bounds] * models
+    return [(max(math.ceil(low * steps - 1e-9), 0), min(math.floor(high * steps + 1e-9), steps)) for low, high in each]
+
+
+def candidate_scores(wide: DataFrame, models: Sequence[str], steps: int = 20, bounds: Bounds = (0.0, 1.0)) -> DataFrame:
     """Score of every weight vector on a grid of step ``1 / steps`` that sums to 1.
 
-    Each row expands to the candidates, one nested sequence per free weight;
-    the sums per candidate combine map-side, so a task sends one row per
-    candidate and the shuffle does not depend on the number of rows.
+    ``bounds`` limits all weights, or each weight in turn. Each row expands to
+    the candidates, one nested sequence per free weight; the sums per candidate
+    combine map-side, so a task sends one row per candidate and the shuffle
+    does not depend on the number of rows.
     """
-    if candidate_count(len(models), steps) > MAX_CANDIDATES:
+    box = _box(len(models), steps, bounds)
+    if min(candidate_count(len(models), steps), math.prod(hi - lo + 1 for lo, hi in box[:-1])) > MAX_CANDIDATES:
         raise ValueError("too many candidates; use fewer steps and refine around the best")
+    if any(lo > hi for lo, hi in box):
+        raise ValueError("bounds leave no weight on the grid")
     shares = [f"_k{i}" for i in range(len(models))]
-    grid = wide.select("y_true", *[f"pred_{m}" for m in models])
-    left: Column = F.lit(steps)
-    for share in shares[:-1]:
-        grid = grid.withColumn(share, F.explode(F.sequence(F.lit(0), left)))
-        left = left - F.col(share)
-    grid = grid.withColumn(shares[-1], left)
-    low, high = bounds
-    if (low, high) != (0.0, 1.0):
-        inside = [F.col(s).between(low * steps - 1e-9, high * steps + 1e-9) for s in shares]
-        grid = grid.where(reduce(lambda a, b: a & b, inside))
+    grid = wide.select("y_true", *[f"pred_{m}" for m in models]).withColumn("_left", F.lit(steps))
+    for share, (lo, hi) in zip(shares[:-1], box):
+        fitting = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: k <= F.col("_left"))
+        grid = grid.withColumn(share, F.explode(fitting)).withColumn("_left", F.col("_left") - F.col(share))
+    grid = grid.withColumnRenamed("_left", shares[-1]).where(F.col(shares[-1]).between(*box[-1]))
     pred = reduce(add, [F.col(s) / F.lit(float(steps)) * F.col(f"pred_{m}") for s, m in zip(shares, models)])
     t = F.col("y_true")
     error = F.abs(pred - t) / F.when(t == 0, F.lit(1.0)).otherwise(F.abs(t))
@@ -76,6 +79,26 @@ def candidate_scores(
     )
 
 
+def search_weights(
+    wide: DataFrame, models: Sequence[str], steps: int = 20, refinements: int = 1, finer: int = 4,
+    bounds: tuple[float, float] = (0.0, 1.0),
+) -> tuple[dict[str, float], float]:
+    """The best weights of the grid, then of finer grids one old step around them.
+
+    A finer grid holds the best point of the grid before, so the score never
+    falls, and its size stays small however fine it gets.
+    """
+    box: Bounds = bounds
+    for _ in range(refinements + 1):
+        best = best_candidate(candidate_scores(wide, models, steps, box), models).first()
+        if best is None or best["score"] is None:
+            raise ValueError("no row to score")
+        weights = {m: best[f"weight_{m}"] for m in models}
+        box = [(max(w - 1 / steps, bounds[0]), min(w + 1 / steps, bounds[1])) for w in weights.values()]
+        steps *= finer
+    return weights, best["score"]
+
+
 def uniform_score(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     return scores(wide.withColumn("y_pred", blended(models, [], None))).select(F.col("score").alias("uniform_score"))
 

@@ -19,6 +19,8 @@ from ..session import materialize
 SLICES = 4_096
 # A range is cut further while it holds more rows than this and more than one value.
 SMALL_GROUP = 1_000_000
+# Key of the single group when no keys are given.
+WHOLE = "_all"
 
 
 def _ranked(df: DataFrame, group: Sequence[str], order: Column) -> DataFrame:
@@ -27,12 +29,28 @@ def _ranked(df: DataFrame, group: Sequence[str], order: Column) -> DataFrame:
     return df.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))
 
 
+def _bracketed(rows: DataFrame, ranges: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows inside their group's range, with the range's columns.
+
+    Without keys there is one range, whose few numbers go into the filter as
+    literals. With keys the stored ranges join by their known size.
+    """
+    if list(group) == [WHOLE]:
+        found = ranges.first()
+        bounds = {c: found[c] if found else None for c in ("_rank", "_lo", "_hi", "_below")}
+        joined = rows.withColumns(
+            {c: F.lit(v).cast("long" if c == "_below" else "double") for c, v in bounds.items()}
+        )
+    else:
+        joined = rows.join(ranges.drop("_n"), list(group))
+    return joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
 def _narrowed(rows: DataFrame, ranges: DataFrame, group: Sequence[str], slices: int) -> DataFrame:
     """Ranges of the open groups, cut to the slice with the wanted rank."""
     half = F.lit(0.5)  # halved, so that the width of the range cannot overflow
     position = (F.col("_v") * half - F.col("_lo") * half) / (F.col("_hi") * half - F.col("_lo") * half)
-    inside = rows.join(ranges, list(group)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counted = inside.groupBy(*group, F.floor(position * slices).alias("_slice")).agg(
+    counted = _bracketed(rows, ranges, group).groupBy(*group, F.floor(position * slices).alias("_slice")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
@@ -67,9 +85,9 @@ def exact_quantiles(
     Groups without a value are absent from the result. ``df`` is read at least
     twice, so it should be a stored table or cheap to compute.
     """
-    group = list(keys) or ["_all"]
+    group = list(keys) or [WHOLE]
     rows = df.select(
-        *[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")
+        *[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias(WHOLE)]), F.col(value).cast("double").alias("_v")
     ).where(F.col("_v").isNotNull())
     ranges = (
         rows.groupBy(*group)
@@ -88,8 +106,7 @@ def exact_quantiles(
     for part in settled[1:]:
         ranges = ranges.unionByName(part)
     counted = (
-        rows.join(ranges.drop("_n"), group)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        _bracketed(rows, ranges, group)
         .groupBy(*group, "_v")
         .agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"), F.first("_below").alias("_below"))
     )

@@ -22,13 +22,12 @@ from .quantiles import exact_quantiles, unpivoted
 
 def standardized(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """Zero mean, unit population deviation, nulls ignored; constants are only centred."""
-    moments = df.agg(
-        F.struct(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("dev")).alias(c) for c in columns]).alias("m")
-    ).scalar()
+    wanted = [m for c in columns for m in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_dev"))]
+    moments = df.agg(*wanted).first()
     scaled = {}
     for c in columns:
-        dev = moments[c]["dev"]
-        scaled[c + suffix] = (F.col(c) - moments[c]["mean"]) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)
+        mean, dev = moments[f"{c}_mean"], moments[f"{c}_dev"]
+        scaled[c + suffix] = (F.col(c) - F.lit(mean).cast("double")) / F.lit(dev or 1.0)
     return df.withColumns(scaled)
 
 

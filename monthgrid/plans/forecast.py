@@ -40,7 +40,8 @@ def forecast(
 
 
 def submission(predictions: DataFrame, ids: DataFrame | None, months: Sequence[str] = ()) -> DataFrame:
-    """One row per given id, or for every month and sector if there is no id list."""
+    """One row per given id, in the order of the list, or for every month and sector if there is none."""
     if ids is not None:
-        return forecasting.submission_for_ids(ids, predictions)
+        placed = ids.withColumn("_place", F.monotonically_increasing_id())
+        return forecasting.submission_for_ids(placed, predictions).orderBy("_place").drop("_place")
     return forecasting.submission_grid(predictions, months)

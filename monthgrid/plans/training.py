@@ -71,8 +71,7 @@ def train(
     if wide.isEmpty():
         raise ValueError("no row has a prediction of every model")
     candidates = materialize(blending.candidate_scores(wide, models, steps), "candidates")
-    best = blending.best_candidate(candidates, models).first()
-    weights = {m: best[f"weight_{m}"] for m in models}
+    weights, score = blending.search_weights(wide, models, steps)
     artefacts.write_weights(spark, models, list(weights.values()), f"{out_dir}/weights")
     artefacts.write_features(spark, features, f"{out_dir}/features")
     return TrainingResult(
@@ -81,6 +80,6 @@ def train(
         evaluation.summarize(stacked, ["model", "fold"]),
         candidates,
         weights,
-        best["score"],
+        score,
         blending.uniform_score(wide, models).first()[0],
     )

@@ -313,6 +313,10 @@ def test_blend_and_search(spark):
     assert abs(best.weight_a - 20 / 30) < 1e-9 and abs(best.score - 1.0) < 1e-9
     assert best.score >= bl.uniform_score(known, ["a", "b"]).first()[0]
     assert bl.candidate_scores(known, ["a", "b"], 10, bounds=(0.2, 0.8)).count() == 7
+    coarse, coarse_score = bl.search_weights(known, ["a", "b"], 10, refinements=0)
+    fine, fine_score = bl.search_weights(known, ["a", "b"], 10, refinements=3)
+    assert coarse == {"a": 0.7, "b": 0.3} and fine_score > coarse_score and abs(fine["a"] - 2 / 3) < 0.001
+    assert bl.candidate_scores(known.withColumn("pred_c", F.lit(1.0)), ["a", "b", "c"], 4).count() == 15
     with pytest.raises(ValueError):
         bl.candidate_scores(known, list("abcdefghij"), 50)
 
