@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import horizon_flag, month_index
+from ..functions.names import DERIVED_MARKERS, has_marker
 from ..functions.numeric import all_present
 from ..session import materialize
 
@@ -103,13 +104,9 @@ def add_presence_flags(df: DataFrame, flags: Mapping[str, Sequence[str]]) -> Dat
     return df.withColumns({flag: all_present(list(columns)) for flag, columns in flags.items()})
 
 
-# Markers of derived columns, which get no missing flag.
-DERIVED_MARKERS = ("_lag", "_diff", "_pctchg", "_roll", "_ewm", "_yoy")
-
-
 def add_missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``missing_<c>`` for each raw column that has no such flag yet."""
-    raw = [c for c in columns if not any(marker in c for marker in DERIVED_MARKERS)]
+    raw = [c for c in columns if not has_marker(c, DERIVED_MARKERS)]
     new = {f"missing_{c}": F.col(c).isNull().cast("int") for c in raw if f"missing_{c}" not in df.columns}
     return df.withColumns(new) if new else df
 

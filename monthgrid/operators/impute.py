@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import ZERO_FILL_MARKERS, has_marker
 from ..session import materialize
 from .quantiles import exact_quantiles, unpivoted
 from .series import filled
@@ -81,10 +82,6 @@ def month_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(MONTH).agg(*[F.max(c).alias(c) for c in columns])
 
 
-# Markers of the columns that the optional zero fill covers.
-ZERO_FILL_MARKERS = ("_lag", "_diff", "_pctchg")
-
-
 def fill_lags_with_zero(df: DataFrame) -> DataFrame:
-    marked = [c for c in df.columns if any(marker in c for marker in ZERO_FILL_MARKERS)]
+    marked = [c for c in df.columns if has_marker(c, ZERO_FILL_MARKERS)]
     return df.fillna(0, subset=marked) if marked else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import holiday_flags, horizon_flag, month_index, parse_month, seasonality
+from ..functions.names import UNIMPUTED_MARKERS, has_marker
 from ..operators import citywide, folds, grid, impute, learners, screening, sectors, series, statics
 from ..session import materialize
 from ..sources.tables import CITY_PREFIXES, SECTOR_PREFIXES, SOURCE_TABLES, keyed
@@ -182,21 +183,17 @@ def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions) ->
     df = sector_features(panel, metrics, options)
     df = df.withColumns(seasonality(MONTH) | holiday_flags(MONTH, options.holidays))
     city = city_table(sources, start, end, options)
-    fill_city = [c for c in numeric_columns(city) if c.startswith(CITY_PREFIXES) and not _derived(c)]
+    fill_city = [c for c in numeric_columns(city) if c.startswith(CITY_PREFIXES) and not has_marker(c, UNIMPUTED_MARKERS)]
     city = materialize(impute.impute_months(city, fill_city), "city_imputed")
     df = df.join(city, MONTH, "left").join(static_table(sources["poi"], index, options), KEY, "left")
     df = materialize(df, "panel_features")
-    columns = [c for c in numeric_columns(df, [*MANDATORY, options.target]) if not _derived(c) and not c.startswith(CITY_PREFIXES)]
+    columns = [c for c in numeric_columns(df, [*MANDATORY, options.target]) if not has_marker(c, UNIMPUTED_MARKERS) and not c.startswith(CITY_PREFIXES)]
     df = impute.impute_panel(df, columns, options.fill_method)
     if options.zero_fill_lags:
         df = impute.fill_lags_with_zero(df)
     return materialize(df, "panel_imputed")
 
 
-def _derived(column: str) -> bool:
-    return any(marker in column for marker in ("_lag", "_diff", "_pctchg", "_roll", "_ewm"))
-
-
 def selected_features(panel: DataFrame, options: PanelOptions) -> list[str]:
     """Names that survive the variance, correlation and importance stages, sorted."""
     train = panel.where(F.col(MONTH) <= F.lit(options.train_end).cast("date"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import parse_month
+from ..functions.names import DERIVED_MARKERS, has_marker
 from ..functions.numeric import nan_to_null
 
 
@@ -104,8 +105,6 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
 
 def column_roles(df: DataFrame, target: str) -> dict[str, str]:
     """``key, target, flag, derived, static, city_metric, sector_metric`` or ``other``."""
-    from ..operators.grid import DERIVED_MARKERS
-
     roles = {}
     for c in df.columns:
         if c in ("sector_id", "sector_label", "panel_month", "month_idx", "is_future_horizon"):
@@ -114,7 +113,7 @@ def column_roles(df: DataFrame, target: str) -> dict[str, str]:
             roles[c] = "target"
         elif c.startswith(("has_", "missing_", "imputed_", "is_")):
             roles[c] = "flag"
-        elif any(marker in c for marker in DERIVED_MARKERS):
+        elif has_marker(c, DERIVED_MARKERS):
             roles[c] = "derived"
         elif c.startswith("poi_"):
             roles[c] = "static"
