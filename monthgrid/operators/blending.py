@@ -67,7 +67,8 @@ def candidate_scores(wide: DataFrame, models: Sequence[str], steps: int = 20, bo
     shares = [f"_k{i}" for i in range(len(models))]
     grid = wide.select("y_true", *[f"pred_{m}" for m in models]).withColumn("_left", F.lit(steps))
     for share, (lo, hi) in zip(shares[:-1], box):
-        fitting = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: k <= F.col("_left"))
+        most = F.least(F.lit(hi), F.col("_left"))
+        fitting = F.when(most >= lo, F.sequence(F.lit(lo), most))
         grid = grid.withColumn(share, F.explode(fitting)).withColumn("_left", F.col("_left") - F.col(share))
     grid = grid.withColumnRenamed("_left", shares[-1]).where(F.col(shares[-1]).between(*box[-1]))
     pred = reduce(add, [F.col(s) / F.lit(float(steps)) * F.col(f"pred_{m}") for s, m in zip(shares, models)])
