@@ -131,12 +131,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         word_count(split_words(text_or_empty("_t"))).alias("n_words"),
         (F.element_at(split_words(text_or_empty("_t")), 1) == "").cast("int").alias("_lead"),
     )
-    same = lambda other: rows["_id"].eqNullSafe(other["_id"]) & (rows["text_key"] == other["text_key"])
+    places = places.toDF("_id_p", "_key_p", "spans")
+    items = items.toDF("_id_i", "_key_i", "items")
+    same = lambda x: F.col("_id").eqNullSafe(F.col(f"_id_{x}")) & (F.col("text_key") == F.col(f"_key_{x}"))
     inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     return (
-        rows.join(places, same(places), "left").join(items, same(items), "left")
+        rows.join(places, same("p"), "left").join(items, same("i"), "left")
         .select(
-            rows["_id"].alias(id_col), rows["text_key"], "n_words",
+            F.col("_id").alias(id_col), "text_key", "n_words",
             F.coalesce(F.transform(F.array_sort(F.array_distinct(inside)), lambda i: i - F.col("_lead")), F.array().cast("array<int>")).alias("hits"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         )
