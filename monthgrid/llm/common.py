@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthgrid.session import materialize, scratch_path
 
-__all__ = ["content_key", "materialize", "read", "scratch_path", "shuffle_width", "text_or_empty"]
+__all__ = ["content_key", "materialize", "read", "scratch_path", "ship", "shuffle_width", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,3 +29,16 @@ def content_key(col: str = "text") -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        folder = tempfile.mkdtemp(prefix="package-")  # of the driver, which serves it to the executors
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/monthgrid_package", "zip", root, "monthgrid"))
+        _SHIPPED.add(app)

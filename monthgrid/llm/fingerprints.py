@@ -1,12 +1,14 @@
 """Document fingerprints: MinHash signatures of word shingles.
 
-Universal permutations of shingle hashes are minimised with numpy; the 128 minima, in hex, are the
-fingerprint, and the share of equal minima estimates the Jaccard similarity of two texts. For
-finding similar documents, bands of the signatures are joined in Spark and the pairs are verified.
+Universal permutations of the shingle hashes are minimised with numpy. The 128 minima, in hex, are
+the fingerprint, and the share of equal minima estimates the Jaccard similarity of two texts. To
+find similar documents, bands of the signatures are joined in Spark and the pairs verified on the
+full sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +22,160 @@ from monthgrid.llm.common import materialize, shuffle_width, text_or_empty
 HASHES = 128
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
+SIMILAR_PERCENT = 75
+#: Parts of the id order per shuffle partition, so that hashing them to partitions stays even.
+PARTS = 4
 
+_FINGERPRINT = "fingerprint binary"
 
-def signatures(texts: pa.Array) -> np.ndarray:
-    sets = wh.Words(*wh.text_buffer(texts), lower=True).shingles(SHINGLE_WORDS)
-    return _PERMUTATIONS.minima(sets)
 
+def signatures(texts: pa.Array, minhash: wh.MinHash) -> np.ndarray:
+    """(rows, HASHES) minima. Texts without words share one signature, unlike any other."""
+    return minhash.minima(wh.Words(*wh.text_buffer(texts), lower=True).shingles(SHINGLE_WORDS))
 
-_PERMUTATIONS = wh.MinHash(HASHES, seed=23)
 
+def permutations() -> wh.MinHash:
+    return wh.MinHash(HASHES, seed=23)
 
-def to_hex(minima: np.ndarray) -> list[str]:
-    return [row.astype(">u4").tobytes().hex() for row in minima]
 
+def _bytes(minima: np.ndarray) -> pa.Array:
+    return pa.array([row.astype(">u4").tobytes() for row in minima], pa.binary())
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.mean(a == b))
+
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, row_key and ``fingerprint`` (the minima as big-endian 32-bit numbers), one row per input row.
+
+    Equal texts have equal fingerprints; NULL counts as empty; NULL ids are carried. Other columns
+    are not read; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("row_key"), text_or_empty(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = permutations()
+        for batch in batches:
+            for part in wh.slices(batch, "text"):
+                prints = _bytes(signatures(part.column("text"), minhash))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row_key"), prints], ["id", "row_key", "fingerprint"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {id_type}, row_key bigint, {_FINGERPRINT}").withColumnRenamed("id", id_col)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (u, v, jaccard) between ids, u > v: pairs that share a band with v its smallest id, verified.
+
+    Each bucket of the join pairs its members with its smallest id only, so a group of copies makes
+    as many rows as it has members. Rows with NULL ids or without words are left out; rows that repeat
+    an id are linked if any of their texts is.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text")).where("id IS NOT NULL")
+    prints = materialize(fingerprint(rows, "id", "text"), "fingerprints").where(F.col("fingerprint") != F.lit(b"\xff" * 4 * HASHES))
+    width = 4 * ROWS
+    bands = F.array(*[F.concat(F.lit(f"{b}:"), F.hex(F.substring("fingerprint", b * width + 1, width))) for b in range(BANDS)])
+    entries = prints.select("id", F.explode(bands).alias("band"))
+    firsts = entries.groupBy("band").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = entries.join(firsts, "band").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    pairs = pairs.join(rows.toDF("u", "text_u"), "u").join(rows.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wh.slices(batch, "text_u"):
+                a, b = (wh.Words(*wh.text_buffer(part.column(c)), lower=True).shingles(SHINGLE_WORDS) for c in ("text_u", "text_v"))
+                shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], float)
+                union = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)]) - shared
+                keep = 100 * shared >= SIMILAR_PERCENT * union
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("u").filter(keep), part.column("v").filter(keep), pa.array((shared / union)[keep])], ["u", "v", "jaccard"]
+                )
+
+    return pairs.mapInArrow(verify, "u bigint, v bigint, jaccard double").groupBy("u", "v").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _count_below(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending ``bounds`` are <= value, by binary search; 0 for NULL."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    held = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda low, step: F.when(F.get(held, low + step - 1) <= value, low + step).otherwise(low),
+    )
+
+
+def with_successors(rows: DataFrame) -> DataFrame:
+    """``rows``: id (bigint), row_key, text. Adds ``part`` and ``guest`` and deals the rows by part, in id order.
+
+    The id order is cut at quantiles into parts. The first row of each part also visits the part
+    before it as a guest, and the very first row the last part, so each part knows the successor of
+    its last row. NULL ids come first; rows that share an id are ordered by their text's hash.
+    """
+    width = shuffle_width(rows.sparkSession)
+    n = width * PARTS
+    facts = rows.agg(
+        F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("cuts"), F.min("id").alias("least"),
+        F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"),
+    ).first()
+    cuts = sorted(set(facts["cuts"] or []))
+    first = F.lit(None if facts["nulls"] else facts["least"]).cast("bigint")
+    home = rows.withColumn("part", _count_below(cuts, F.col("id")))
+    starts = F.col("id").isin(cuts) if cuts else F.lit(False)
+    stays = F.array(
+        F.struct("part", F.lit(0).alias("guest")),
+        F.when(starts, F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("guest"))),
+        F.when(F.col("id").eqNullSafe(first), F.struct(F.lit(len(cuts)).alias("part"), F.lit(1).alias("guest"))),
+    )
+    dealt = home.withColumn("stay", F.explode(F.array_compact(stays))).select("stay.part", "stay.guest", "id", "row_key", "text")
+    return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", "id", "row_key")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``with_successors``; the row before waits for its successor."""
+    minhash = permutations()
+    waiting = None  # part, id, text, minima
+    done = False  # the part has met its guest
+    for batch in batches:
+        for piece in wh.slices(batch, "text"):
+            minima = signatures(piece.column("text"), minhash)
+            columns = [piece.column(c).to_pylist() for c in ("part", "guest", "id", "text")]
+            pairs = []
+            for i, (part, guest, doc, text) in enumerate(zip(*columns, strict=True)):
+                if waiting is not None and waiting[0] == part and not done:
+                    pairs.append((waiting, text, minima[i]))
+                if waiting is None or waiting[0] != part:
+                    done = False
+                done = done or bool(guest)
+                waiting = (part, doc, text, minima[i])
+            if not pairs:
+                continue
+            edited = []
+            for (_, _, text, _), after, _ in pairs:
+                quarter = len(text) // 4
+                edited.append(text[: len(text) - quarter] + after[:quarter])
+            changed = signatures(pa.array(edited, pa.string()), minhash)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p[0][1] for p in pairs], pa.int64()), pa.array([len(p[0][2]) for p in pairs], pa.int64()),
+                    pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+                    _bytes(np.array([p[0][3] for p in pairs])), _bytes(changed),
+                    pa.array([float(np.mean(p[0][3] == c)) for p, c in zip(pairs, changed, strict=True)]),
+                    pa.array([float(np.mean(p[0][3] == p[2])) for p in pairs]),
+                ],
+                ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
+
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of each text and of its edited form, and how alike they are.
+
+    The edited text has its last quarter replaced by the start of the next document's. One row per
+    input row. NULL texts count as empty; two texts without words are alike (1), one without is unlike
+    any other (0). In a table of one row that row is its own successor. Other columns are not read;
+    an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text")).withColumn("row_key", F.xxhash64("text"))
+    schema = (
+        "id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
+        "near_edited double, near_next double"
+    )
+    return with_successors(rows).mapInArrow(_compare, schema).withColumnRenamed("id", id_col)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthgrid.llm import decontaminate as dc
-from monthgrid.llm import licenses, neardup, secrets, substring
-from monthgrid.llm.common import read
+from monthgrid.llm import fingerprints, language, licenses, neardup, secrets, substring
+from monthgrid.llm.common import read, ship
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +15,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -177,3 +181,19 @@ FROM docs LEFT JOIN lists USING (doc_id)"""
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    profiles = language.learn(docs.where(F.coalesce(~held_out, F.lit(True))))
+    found = language.identify(docs, profiles, ["doc_id"])
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_with_edits(read(spark, sf_dir, "documents"))
+    prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
