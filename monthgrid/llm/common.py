@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from monthgrid.session import materialize, scratch_path
 
-__all__ = ["content_key", "materialize", "read", "scratch_path", "ship", "shuffle_width", "text_or_empty"]
+__all__ = ["Remembered", "content_key", "materialize", "read", "scratch_path", "ship", "shuffle_width", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,3 +42,23 @@ def ship(spark: SparkSession) -> None:
         folder = tempfile.mkdtemp(prefix="package-")  # of the driver, which serves it to the executors
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/monthgrid_package", "zip", root, "monthgrid"))
         _SHIPPED.add(app)
+
+
+class Remembered:
+    """A bounded memory of what was made before: what is still in use when it fills up outlives the rest."""
+
+    def __init__(self, make, limit: int) -> None:
+        self.make, self.limit = make, limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.make(key)
+            if len(self.new) >= self.limit:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+        return value

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthgrid.llm import decontaminate as dc
-from monthgrid.llm import fingerprints, language, licenses, neardup, secrets, substring
+from monthgrid.llm import bpe, fingerprints, language, licenses, neardup, secrets, substring, tokenfiles
 from monthgrid.llm.common import read, ship
 
 QUERIES = {}
@@ -197,3 +198,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compare_with_edits(read(spark, sf_dir, "documents"))
     prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(read(spark, sf_dir, "documents"), ["doc_id"], RANKS, PATTERN, decoded=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfiles.round_trip(read(spark, sf_dir, "documents"), WORDS)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
