@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthgrid.llm import decontaminate as dc
-from monthgrid.llm import bpe, fingerprints, language, licenses, neardup, secrets, substring, tokenfiles
+from monthgrid.llm import bpe, fingerprints, language, licenses, lines, neardup, secrets, substring, tokenfiles
 from monthgrid.llm.common import read, ship
 
 QUERIES = {}
@@ -219,3 +219,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokenfiles.round_trip(read(spark, sf_dir, "documents"), WORDS)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+LINE_SQL = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
+lines AS (
+  SELECT doc_id, i, trim(raw[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, raw, unnest(range(1, len(raw) + 1)) AS i FROM docs)),
+full_lines AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE line <> ''),
+pairs AS (SELECT a.doc_id, a.k, a.line AS x, b.line AS y FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, k) AS r FROM pairs),
+gone AS (SELECT DISTINCT doc_id, k + o AS k FROM ranked, (VALUES (0), (1)) t(o) WHERE r > 1),
+cut AS (SELECT doc_id, list(i) AS gone FROM gone JOIN full_lines USING (doc_id, k) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM full_lines GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN coalesce(text, '')
+              ELSE array_to_string(list_filter(raw, lambda x, i: NOT list_contains(gone, i)), chr(10)) END) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+
+@query("op7_line_dedup", LINE_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    )
