@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from monthgrid.llm import wordhash as wh
 from monthgrid.llm.common import Remembered
@@ -339,8 +340,8 @@ def encode(docs: DataFrame, id_cols: list[str], ranks_path: str, pattern: str, t
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(run, f"{fields}, ids array<int>" + ", decoded string" * decoded)
+    out = [*[rows.schema[c] for c in id_cols], StructField("ids", ArrayType(IntegerType()))]
+    return rows.mapInArrow(run, StructType(out + [StructField("decoded", StringType())] * decoded))
 
 
 def _decode(lists: Iterable[np.ndarray], ranks_path: str) -> list[bytes]:
@@ -358,5 +359,4 @@ def decode(df: DataFrame, id_cols: list[str], ranks_path: str, ids_col: str = "i
             texts = pa.array(_decode(lists, ranks_path), pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in id_cols], texts], [*id_cols, "decoded"])
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in id_cols], StructField("decoded", StringType())]))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from monthgrid.llm import wordhash as wh
 
@@ -205,5 +206,5 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_cols: list[str
                         [*columns, pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))], [*id_cols, "lang_pred", "score"]
                     )
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    out = [*[rows.schema[c] for c in id_cols], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return rows.mapInArrow(run, StructType(out))
