@@ -313,9 +313,11 @@ FROM predictions
     ("predictions",),
 )
 def fold_union(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of the folds, stacked one by one as the learners return them."""
     df = fx.predictions(spark, d)
     columns = ["model", "fold", KEY, MONTH, "y_true", "y_pred", "ape", "weights"]
-    return rounded(df.select(columns), ["weights"])
+    parts = [df.where(F.col("fold") == f.fold).select(columns) for f in fx.FOLDS]
+    return rounded(le.stacked(parts), ["weights"])
 
 
 STEPS = 20
@@ -344,6 +346,21 @@ def ensemble_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bl.candidate_scores(wide, MODELS, STEPS), ["score", "bad_ratio"])
 
 
+@query("weight_search", "SELECT TRUE AS weights_sum_to_one, TRUE AS at_least_uniform, TRUE AS at_least_each_model, TRUE AS at_least_grid")
+def weight_search(spark: SparkSession, d: str) -> DataFrame:
+    """The searched weights against equal weights, every single model and the plain grid."""
+    wide = materialize(bl.merge_predictions(fx.predictions(spark, d), MODELS), "wide_predictions")
+    weights, score = bl.search_weights(wide, MODELS, STEPS)
+    single = np.eye(len(MODELS), dtype="int64")
+    alone = bl.best_candidate(bl.share_scores(wide, MODELS, single, 1), MODELS).first()["score"]
+    coarse = bl.best_candidate(bl.candidate_scores(wide, MODELS, 4), MODELS).first()["score"]
+    equal = bl.uniform_score(wide, MODELS).first()[0]
+    row = (abs(sum(weights.values()) - 1) < 1e-9, score >= equal, score >= alone, score >= coarse)
+    return spark.createDataFrame(
+        [row], "weights_sum_to_one boolean, at_least_uniform boolean, at_least_each_model boolean, at_least_grid boolean"
+    )
+
+
 WEIGHTS = [0.41421356, 0.31415927, 0.27162717]
 
 
@@ -514,7 +531,8 @@ def null_ratio(spark: SparkSession, d: str) -> DataFrame:
 )
 def low_variance(spark: SparkSession, d: str) -> DataFrame:
     """The constant column goes, the empty one has no variance and stays."""
-    return sr.variances(screened(spark, d), SCREENED).where(F.col("variance") < 1e-6).select("feature")
+    found = sr.low_variance_columns(screened(spark, d), SCREENED)
+    return spark.createDataFrame([(c,) for c in found], "feature string")
 
 
 PAIRED = [*_MEASURES, "total_num"]
@@ -536,9 +554,8 @@ def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
     _WIDE_NEEDS,
 )
 def corr_drop(spark: SparkSession, d: str) -> DataFrame:
-    """From masked products, the way that wide tables take."""
     df = materialize(screened(spark, d), "screened")
-    return sr.correlated_drops(sr.correlation_pairs(df, PAIRED, "products"), 0.5)
+    return sr.correlated_drops(sr.correlation_pairs(df, PAIRED), 0.5)
 
 
 _IMPORTANCE = "SELECT p_brand || ' ' || p_type AS feature, SUM(CAST(round(p_retailprice * 100) AS BIGINT))::DOUBLE / 100 AS importance FROM part GROUP BY ALL"
@@ -630,7 +647,7 @@ def _complete_statics(spark: SparkSession, d: str) -> DataFrame:
     return materialize(st.cluster_imputed(df, fx.STATIC_COLUMNS, "given_cluster"), "statics_complete")
 
 
-@query("static_clusters")
+@query("static_clusters", "SELECT COUNT(*) AS sectors, COUNT(*) AS labelled, least(4, COUNT(*)) AS clusters FROM statics", ("statics",))
 def static_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters on the filled, scaled columns: every sector has one of at most four."""
     out = st.add_clusters(materialize(fx.statics(spark, d), "statics"), fx.STATIC_COLUMNS)
@@ -641,9 +658,13 @@ def static_clusters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("static_pca")
+@query(
+    "static_pca",
+    "SELECT component::INTEGER AS component, TRUE AS share_is_measured, TRUE AS orthonormal, TRUE AS falling "
+    f"FROM range(1, least(5, {len(fx.STATIC_COLUMNS)}) + 1) t(component)",
+)
 def static_pca(spark: SparkSession, d: str) -> DataFrame:
-    """Variance share per component, its measured variance and its deviation from orthonormal."""
+    """Per component: its share is the variance of its values over that of all columns, loadings are orthonormal, shares fall."""
     out, shares, loadings = st.components(_complete_statics(spark, d), fx.STATIC_COLUMNS, 5)
     gram = np.array(loadings) @ np.array(loadings).T
     off = np.abs(gram - np.eye(len(shares))).max(axis=1)
@@ -652,14 +673,24 @@ def static_pca(spark: SparkSession, d: str) -> DataFrame:
     measured = measured.unpivot([], measured.columns, "component", "measured_variance")
     table = spark.createDataFrame(rows, "component int, variance_share double, orthonormal boolean")
     joined = table.join(measured.withColumn("component", F.col("component").cast("int")), "component")
-    return rounded(joined, ["variance_share", "measured_variance"])
+    # Standardised columns have a variance of one each, so the total is their number.
+    whole = float(len(fx.STATIC_COLUMNS))
+    before = F.lag("variance_share").over(Window.orderBy("component"))
+    return joined.select(
+        "component", (F.abs(F.col("measured_variance") / whole - F.col("variance_share")) < 1e-6).alias("share_is_measured"), "orthonormal",
+        F.coalesce(F.col("variance_share") <= before, F.lit(True)).alias("falling"),
+    )
 
 
 # --- models ----------------------------------------------------------------
 
 FEATURES = ["month", "quarter", "amount_lag1", "amount_lag12", "amount_roll6_mean", "missing_lag1", "missing_lag12"]
-SMALL = {"maxIter": 5, "maxDepth": 3}
-MODEL_FOLDS = fx.FOLDS[-2:]
+# Sizes of the fitted ensembles; the jobs take theirs from their options.
+BOOSTED = {"maxIter": 20, "maxDepth": 3}
+FOREST = {"numTrees": 20, "maxDepth": 5}
+_FOLD_ROWS = """
+r AS (SELECT f.fold, c.sector_id, c.panel_month FROM cells c JOIN folds f ON c.panel_month BETWEEN f.valid_start AND f.valid_end),
+k AS (SELECT fold, COUNT(*) AS n FROM r GROUP BY fold)"""
 
 
 def model_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -674,67 +705,106 @@ def observed(rows: DataFrame) -> DataFrame:
     return fo.training_rows(rows, fx.END, "amount")
 
 
-@query("feature_importance")
+def _importance(spark: SparkSession, d: str) -> DataFrame:
+    return le.fold_importance(observed(model_rows(spark, d)), fx.FOLDS, FEATURES, "amount", BOOSTED)
+
+
+@query("feature_importance", f"SELECT fold, {len(FEATURES)}::BIGINT AS features, TRUE AS shares_sum_to_one, TRUE AS none_negative FROM folds", ("folds",))
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    """Gain share per fold and feature of boosted trees."""
-    return le.fold_importance(observed(model_rows(spark, d)), MODEL_FOLDS, FEATURES, "amount", SMALL)
+    """Gain shares of boosted trees on every fold: all features, none negative, summing to one."""
+    return _importance(spark, d).groupBy("fold").agg(
+        F.count_distinct("feature").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("shares_sum_to_one"),
+        (F.min("importance") >= 0).alias("none_negative"),
+    )
 
 
-@query("importance_mean")
+@query("importance_mean", "SELECT rank::INTEGER AS rank, TRUE AS falling, rank = {0} AS is_whole FROM range(1, {0} + 1) t(rank)".format(len(FEATURES)))
 def importance_mean(spark: SparkSession, d: str) -> DataFrame:
-    per_fold = le.fold_importance(observed(model_rows(spark, d)), MODEL_FOLDS, FEATURES, "amount", SMALL)
-    return sr.rank_features(sr.mean_importance(per_fold))
+    """The mean shares in falling order; with the last rank all of the importance is covered."""
+    ranked = sr.rank_features(sr.mean_importance(_importance(spark, d)))
+    before = F.lag("importance").over(Window.orderBy("rank"))
+    return ranked.select(
+        "rank", F.coalesce(F.col("importance") <= before, F.lit(True)).alias("falling"),
+        (F.lead("rank").over(Window.orderBy("rank")).isNull() & (F.abs(F.col("cumulative_share") - 1) < 1e-9)).alias("is_whole"),
+    )
 
 
-@query("fold_scores")
+@query(
+    "fold_scores",
+    ", " + _FOLD_ROWS + """
+SELECT model, fold, n AS row_count, TRUE AS score_in_range, TRUE AS weights_average_one
+FROM k CROSS JOIN (VALUES ('boosted_scaled'), ('random_forest')) m(model)""",
+    ("cells", "folds"),
+)
 def fold_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Two learners fitted and scored on two folds with in-fold encoding."""
+    """Two learners fitted and scored on every fold with in-fold encoding: each validation row once."""
     rows = observed(model_rows(spark, d))
-    out = None
-    for learner, params in (("boosted_scaled", SMALL), ("random_forest", {"numTrees": 10, "maxDepth": 5})):
-        part = le.fold_predictions(rows, MODEL_FOLDS, learner, [*FEATURES, "sector_id_te"], "amount", params)
-        out = part if out is None else out.unionByName(part)
-    return ev.summarize(out, ["model", "fold"])
+    parts = [
+        le.fold_predictions(rows, fx.FOLDS, learner, [*FEATURES, "sector_id_te"], "amount", params)
+        for learner, params in (("boosted_scaled", BOOSTED), ("random_forest", FOREST))
+    ]
+    found = materialize(le.stacked(parts), "fold_predictions")
+    scored = ev.scores(found, ["model", "fold"])
+    counted = found.groupBy("model", "fold").agg(
+        F.count_distinct(KEY, MONTH).alias("row_count"), (F.abs(F.avg("weights") - 1) < 1e-9).alias("weights_average_one")
+    )
+    return counted.join(scored, ["model", "fold"]).select(
+        "model", "fold", "row_count", F.col("score").between(0, 1).alias("score_in_range"), "weights_average_one"
+    )
 
 
-@query("param_search")
+@query(
+    "param_search",
+    "SELECT trial::INTEGER AS trial, fold, TRUE AS score_in_range, TRUE AS best_is_highest FROM folds CROSS JOIN range(3) t(trial)",
+    ("folds",),
+)
 def param_search(spark: SparkSession, d: str) -> DataFrame:
-    """Two seeded random settings on two folds; the history and which trial is best."""
-    space = {"maxDepth": {"type": "int", "low": 2, "high": 5}, "stepSize": {"type": "loguniform", "low": 0.05, "high": 0.3},
-             "maxIter": {"type": "categorical", "choices": [3, 5]}}
+    """Three seeded random settings on every fold; the best trial has the highest mean score."""
+    space = {"maxDepth": {"type": "int", "low": 2, "high": 4}, "stepSize": {"type": "loguniform", "low": 0.05, "high": 0.3},
+             "maxIter": {"type": "categorical", "choices": [5, 10]}}
     rows = observed(model_rows(spark, d))
-    history = materialize(
-        le.search(rows, MODEL_FOLDS, "boosted", FEATURES, "amount", le.sample_params(space, 2)), "trials"
-    )
-    best = le.best_trial(history).select("trial").scalar()
-    return history.withColumn("is_best", F.col("trial") == best)
+    history = le.search(rows, fx.FOLDS, "boosted", FEATURES, "amount", le.sample_params(space, 3))
+    best = le.best_trial(history).first()
+    means = {r.trial: r.m for r in history.groupBy("trial").agg(F.avg("score").alias("m")).collect()}
+    highest = abs(means[best.trial] - max(means.values())) < 1e-12
+    return history.select("trial", "fold", F.col("score").between(0, 1).alias("score_in_range"), F.lit(highest).alias("best_is_highest"))
 
 
-@query("final_fit")
+@query(
+    "final_fit",
+    f"SELECT COUNT(*) AS row_count, COUNT(*) AS equal_rows, TRUE AS none_negative FROM cells WHERE panel_month <= DATE '{fx.TRAIN_END}'",
+    ("cells",),
+)
 def final_fit(spark: SparkSession, d: str) -> DataFrame:
     """Refit on all training rows, saved and loaded: both give the same forecasts."""
     rows = model_rows(spark, d)
     train = fo.training_rows(rows, fx.TRAIN_END, "amount")
     path = scratch_path(spark, "model")
-    fitted = le.final_fit(train, "boosted_scaled", FEATURES, "amount", SMALL, fx.TRAIN_END, path=path)
+    fitted = le.final_fit(train, "boosted_scaled", FEATURES, "amount", BOOSTED, fx.TRAIN_END, path=path)
     loaded = PipelineModel.load(path)
     both = le.predict(loaded, le.predict(fitted, train, FEATURES, "fitted"), FEATURES, "loaded")
     return both.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(F.col("fitted") == F.col("loaded")).alias("equal_rows"),
-        F.min("fitted").alias("smallest"),
+        (F.min("fitted") >= 0).alias("none_negative"),
     )
 
 
-@query("score_horizon")
+@query(
+    "score_horizon",
+    f"SELECT sector_id, panel_month, TRUE AS boosted_scored, TRUE AS forest_scored FROM panel WHERE panel_month >= DATE '{fx.HORIZON}'",
+    ("panel",),
+)
 def score_horizon(spark: SparkSession, d: str) -> DataFrame:
     """Saved models on the horizon rows, one column per model."""
     rows = model_rows(spark, d)
     train = fo.training_rows(rows, fx.TRAIN_END, "amount")
     models = {}
-    for name, params in (("boosted", SMALL), ("random_forest", {"numTrees": 10, "maxDepth": 5})):
+    for name, params in (("boosted", BOOSTED), ("random_forest", FOREST)):
         path = scratch_path(spark, name)
         le.final_fit(train, name, FEATURES, "amount", params, fx.TRAIN_END, path=path)
         models[name] = PipelineModel.load(path)
     horizon = fc.horizon_rows(rows, fx.HORIZON_MONTHS)
-    return le.score_horizon(horizon, models, FEATURES).select(KEY, MONTH, "pred_boosted", "pred_random_forest")
+    scored = le.score_horizon(horizon, models, FEATURES)
+    ok = lambda c: F.coalesce(F.col(c) >= 0, F.lit(False))
+    return scored.select(KEY, MONTH, ok("pred_boosted").alias("boosted_scored"), ok("pred_random_forest").alias("forest_scored"))

@@ -80,12 +80,15 @@ FROM orders
 """,
 )
 def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
-    """Stored rows with the month cast to a date; three columns are read."""
-    return spark.read.parquet(f"{d}/orders.parquet").select(
+    """A stored panel read back, its month a date again."""
+    stored = spark.read.parquet(f"{d}/orders.parquet").select(
         (F.col("o_custkey") + 1).alias(KEY),
-        F.to_date("o_orderdate").alias(MONTH),
+        F.col("o_orderdate").alias(MONTH),
         F.col("o_totalprice").alias("amount"),
     )
+    path = scratch_path(spark, "panel")
+    si.write_parquet(stored, path)
+    return ta.read_panel(spark, path)
 
 
 @query(

@@ -170,6 +170,23 @@ def zero_rule(spark: SparkSession, d: str) -> DataFrame:
     return se.add_zero_rule(fx.panel(spark, d), "amount", [KEY], MONTH).select(KEY, MONTH, "had_zero")
 
 
+@query(
+    "zero_rule_horizon",
+    f"""
+, o AS (SELECT sector_id, CAST(COUNT(*) FILTER (WHERE COALESCE(amount, 0.0) = 0) > 0 AS INTEGER) AS had_zero FROM panel
+       WHERE panel_month > DATE '{fx.TRAIN_END}' - INTERVAL 6 MONTH AND panel_month <= DATE '{fx.TRAIN_END}' GROUP BY sector_id)
+SELECT sector_id, panel_month, had_zero FROM panel JOIN o USING (sector_id) WHERE panel_month >= DATE '{fx.HORIZON}'
+""",
+    ("panel",),
+)
+def zero_rule_horizon(spark: SparkSession, d: str) -> DataFrame:
+    """On a panel whose horizon is empty, all its months take the state at the last observed month."""
+    observed = F.when(F.col(MONTH) <= F.lit(fx.TRAIN_END).cast("date"), F.col("amount"))
+    df = fx.panel(spark, d).withColumn("amount", observed)
+    ruled = se.add_zero_rule(df, "amount", [KEY], MONTH, origin=fx.TRAIN_END)
+    return ruled.where(F.col(MONTH) >= F.lit(fx.HORIZON).cast("date")).select(KEY, MONTH, "had_zero")
+
+
 # --- imputation ------------------------------------------------------------
 
 _BFILL = "first_value(amount IGNORE NULLS) OVER (PARTITION BY sector_id ORDER BY panel_month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"

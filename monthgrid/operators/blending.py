@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import floored
-from .evaluation import scores
+from .evaluation import BAD_ERROR, BAD_SHARE_LIMIT, scores
 
 ROW_KEYS = ["sector_id", "panel_month", "fold", "y_true"]
-MAX_CANDIDATES = 200_000
+# Candidates and rows that are blended at once.
+CANDIDATE_BLOCK, BATCH_ROWS = 1_024, 2_048
 Bounds = tuple[float, float] | Sequence[tuple[float, float]]
 
 
@@ -22,9 +25,16 @@ def merge_predictions(predictions: DataFrame, models: Sequence[str]) -> DataFram
     """One row per forecast row with ``pred_<model>`` columns.
 
     Same as inner joins of the per-model tables on the row keys, in one
-    shuffle: rows that lack a model are dropped.
+    shuffle: rows that lack a model are dropped. Two predictions of one model
+    for one row are an error.
     """
-    picks = [F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"pred_{m}") for m in models]
+
+    def only(m: str) -> Column:
+        own = F.col("model") == m
+        twice = F.raise_error(F.lit(f"several predictions of {m} for one row")).cast("double")
+        return F.when(F.count(F.when(own, 1)) > 1, twice).otherwise(F.max(F.when(own, F.col("y_pred"))))
+
+    picks = [only(m).alias(f"pred_{m}") for m in models]
     wide = predictions.where(F.col("model").isin(list(models))).groupBy(*ROW_KEYS).agg(*picks)
     return wide.dropna(subset=[f"pred_{m}" for m in models])
 
@@ -51,53 +61,116 @@ def _box(models: int, steps: int, bounds: Bounds) -> list[tuple[int, int]]:
     return [(max(math.ceil(low * steps - 1e-9), 0), min(math.floor(high * steps + 1e-9), steps)) for low, high in each]
 
 
+def _grid(total: int, box: Sequence[tuple[int, int]], by: int = 1) -> np.ndarray:
+    """All whole shares inside the box that sum to ``total``, in steps of ``by`` from each lower bound but for the last."""
+    rows = np.zeros((1, 0), np.int64)
+    for low, high in box[:-1]:
+        own = np.arange(low, high + 1, by)
+        rows = np.concatenate([np.repeat(rows, len(own), 0), np.tile(own, len(rows))[:, None]], 1)
+        rows = rows[rows.sum(1) <= total]
+    rows = np.concatenate([rows, total - rows.sum(1, keepdims=True)], 1)
+    return rows[(rows[:, -1] >= box[-1][0]) & (rows[:, -1] <= box[-1][1])]
+
+
+def share_scores(wide: DataFrame, models: Sequence[str], shares: np.ndarray, steps: int) -> DataFrame:
+    """Score of each row of ``shares``, weights in ``1 / steps``.
+
+    A task blends its rows with a block of candidates at a time and sends one
+    packed row of sums for each block, so what is shuffled depends on tasks and
+    candidates, not on rows. A null truth or prediction is an error.
+    """
+    blocks = range(0, len(shares), CANDIDATE_BLOCK)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, len(shares)))
+        for batch in batches:
+            table = batch.to_numpy(dtype="float64")
+            if np.isnan(table).any():
+                raise ValueError("a row without truth or prediction cannot be scored")
+            for at in range(0, len(table), BATCH_ROWS):
+                truth, preds = table[at : at + BATCH_ROWS, 0], table[at : at + BATCH_ROWS, 1:]
+                for b in blocks:
+                    own = slice(b, b + CANDIDATE_BLOCK)
+                    # Summed in the order of the models, so that errors of exactly 1 stay exact.
+                    blend = reduce(add, [preds[:, i, None] * (shares[own, i] / float(steps)) for i in range(len(models))])
+                    error = np.abs(blend - truth[:, None]) / np.where(truth == 0, 1.0, np.abs(truth))[:, None]
+                    good = error <= BAD_ERROR
+                    total[:, own] += [good.shape[0] - good.sum(0), np.where(good, error, 0.0).sum(0), np.full(good.shape[1], good.shape[0])]
+        yield pd.DataFrame([(i, total[:, b : b + CANDIDATE_BLOCK].tobytes()) for i, b in enumerate(blocks)], columns=["block", "packed"])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in batch.itertuples(index=False):
+                held[i] = held.get(i, 0) + np.frombuffer(packed).reshape(3, -1)
+        for i, (bad, error, n) in held.items():
+            ratio = bad / np.maximum(n, 1)
+            mean = error / np.maximum(n - bad, 1)
+            score = np.where(ratio > BAD_SHARE_LIMIT, 0.0, np.maximum(0.0, 1 - mean / np.where(ratio < 1, 1 - ratio, 1.0)))
+            out = pd.DataFrame(shares[blocks[i] : blocks[i] + CANDIDATE_BLOCK] / float(steps), columns=[f"weight_{m}" for m in models])
+            yield out.assign(score=score, bad_ratio=ratio)[n > 0]
+
+    rows = wide.select(*[F.col(c).cast("double").alias(c) for c in ["y_true", *[f"pred_{m}" for m in models]]])
+    parts = rows.mapInPandas(sums, "block int, packed binary").repartition("block")
+    schema = ", ".join(f"weight_{m} double" for m in models) + ", score double, bad_ratio double"
+    return parts.mapInPandas(finish, schema)
+
+
 def candidate_scores(wide: DataFrame, models: Sequence[str], steps: int = 20, bounds: Bounds = (0.0, 1.0)) -> DataFrame:
     """Score of every weight vector on a grid of step ``1 / steps`` that sums to 1.
 
-    ``bounds`` limits all weights, or each weight in turn. Each row expands to
-    the candidates, one nested sequence per free weight; the sums per candidate
-    combine map-side, so a task sends one row per candidate and the shuffle
-    does not depend on the number of rows.
+    ``bounds`` limits all weights, or each weight in turn.
     """
-    box = _box(len(models), steps, bounds)
-    if min(candidate_count(len(models), steps), math.prod(hi - lo + 1 for lo, hi in box[:-1])) > MAX_CANDIDATES:
-        raise ValueError("too many candidates; use fewer steps and refine around the best")
-    if any(lo > hi for lo, hi in box):
+    shares = _grid(steps, _box(len(models), steps, bounds))
+    if not len(shares):
         raise ValueError("bounds leave no weight on the grid")
-    shares = [f"_k{i}" for i in range(len(models))]
-    grid = wide.select("y_true", *[f"pred_{m}" for m in models]).withColumn("_left", F.lit(steps))
-    for share, (lo, hi) in zip(shares[:-1], box):
-        most = F.least(F.lit(hi), F.col("_left"))
-        fitting = F.when(most >= lo, F.sequence(F.lit(lo), most))
-        grid = grid.withColumn(share, F.explode(fitting)).withColumn("_left", F.col("_left") - F.col(share))
-    grid = grid.withColumnRenamed("_left", shares[-1]).where(F.col(shares[-1]).between(*box[-1]))
-    pred = reduce(add, [F.col(s) / F.lit(float(steps)) * F.col(f"pred_{m}") for s, m in zip(shares, models)])
-    t = F.col("y_true")
-    error = F.abs(pred - t) / F.when(t == 0, F.lit(1.0)).otherwise(F.abs(t))
-    result = scores(grid, shares, error)
-    return result.select(
-        *[(F.col(s) / F.lit(float(steps))).alias(f"weight_{m}") for s, m in zip(shares, models)], "score", "bad_ratio"
-    )
+    return share_scores(wide, models, shares, steps)
 
 
 def search_weights(
     wide: DataFrame, models: Sequence[str], steps: int = 20, refinements: int = 1, finer: int = 4,
     bounds: tuple[float, float] = (0.0, 1.0),
 ) -> tuple[dict[str, float], float]:
-    """The best weights of the grid, then of finer grids one old step around them.
+    """The best weights found from a coarse grid by ever finer shifts, or equal weights if those score higher.
 
-    A finer grid holds the best point of the grid before, so the score never
-    falls, and its size stays small however fine it gets.
+    A round shifts weight between any two models, so its size grows with the
+    square of the number of models. Shifts are halved down to ``1 / steps`` when
+    none helps, and ``refinements`` times ``finer`` after that. The score never falls.
     """
-    box: Bounds = bounds
-    for _ in range(refinements + 1):
-        best = best_candidate(candidate_scores(wide, models, steps, box), models).first()
-        if best is None or best["score"] is None:
+    count = len(models)
+
+    def best_of(shares: np.ndarray, total: int) -> tuple[float, list[int]]:
+        row = best_candidate(share_scores(wide, models, shares, total), models).first()
+        if row is None or row["score"] is None:
             raise ValueError("no row to score")
-        weights = {m: best[f"weight_{m}"] for m in models}
-        box = [(max(w - 1 / steps, bounds[0]), min(w + 1 / steps, bounds[1])) for w in weights.values()]
-        steps *= finer
-    return weights, best["score"]
+        return row["score"], [round(row[f"weight_{m}"] * total) for m in models]
+
+    coarse = max(steps // 4, 1)
+    start = _grid(steps, _box(count, steps, bounds), coarse)
+    if not len(start):
+        start = _grid(steps, _box(count, steps, bounds))[:1]
+    if not len(start):
+        raise ValueError("bounds leave no weight on the grid")
+    score, best = best_of(start, steps)
+    total, shift = steps, coarse
+    for level in range(refinements + 1):
+        box = _box(count, total, bounds)
+        while shift:
+            moved = np.array([best] + [
+                [b + shift * ((i == x) - (i == y)) for i, b in enumerate(best)] for x in range(count) for y in range(count) if x != y
+            ])
+            inside = np.all([(moved[:, i] >= low) & (moved[:, i] <= high) for i, (low, high) in enumerate(box)], axis=0)
+            found, place = best_of(moved[inside], total) if inside.any() else (score, best)
+            if found > score:
+                score, best = found, place
+            else:
+                shift //= 2
+        if level < refinements:
+            total, best, shift = total * finer, [b * finer for b in best], finer // 2
+    equal = uniform_score(wide, models).first()[0]
+    if equal > score and bounds[0] <= 1 / count <= bounds[1]:
+        return {m: 1 / count for m in models}, equal
+    return {m: b / total for m, b in zip(models, best)}, score
 
 
 def uniform_score(wide: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ def id_months(ids: DataFrame, column: str = "id") -> DataFrame:
 def horizon_rows(panel: DataFrame, months: Sequence[str] | DataFrame) -> DataFrame:
     """Panel rows of the given months, a list or a table of months."""
     if isinstance(months, DataFrame):
-        return panel.join(F.broadcast(months.select(MONTH).distinct()), MONTH, "left_semi")
+        return panel.join(months.select(MONTH).distinct(), MONTH, "left_semi")
     return panel.where(F.col(MONTH).isin([F.lit(m).cast("date") for m in sorted(set(months))]))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.calendar import horizon_flag, month_index
 from ..functions.names import DERIVED_MARKERS, has_marker
 from ..functions.numeric import all_present
-from ..session import materialize
 
 KEY = "sector_id"
 MONTH = "panel_month"
@@ -111,24 +110,33 @@ def add_missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
+def unique_by(table: DataFrame, key: str, name: str) -> DataFrame:
+    """``table`` if each key has one row; reading a repeated key fails."""
+    others = [c for c in table.columns if c != key]
+    once = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_row"))
+    repeated = F.raise_error(F.lit(f"repeated {key} in {name}"))
+    # The check sits in the values that are used, so that no pruning of columns can drop it.
+    row = F.when(F.col("_n") > 1, repeated.cast(once.schema["_row"].dataType)).otherwise(F.col("_row"))
+    return once.select(key, row.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
 def merge_static(panel: DataFrame, statics: DataFrame, flag: str = "has_poi") -> DataFrame:
-    """Left join of one row per sector; a repeated sector would multiply rows.
+    """Left join of one row per sector; a repeated sector is an error.
 
     No hint: the sector dimension grows with the data, so its size decides.
     """
     columns = [c for c in statics.columns if c != KEY]
-    return add_presence_flags(panel.join(statics, KEY, "left"), {flag: columns})
+    return add_presence_flags(panel.join(unique_by(statics, KEY, "statics"), KEY, "left"), {flag: columns})
 
 
 def merge_months(panel: DataFrame, by_month: DataFrame, flag: str) -> DataFrame:
-    """Left join of one row per calendar month.
+    """Left join of one row per calendar month; a repeated month is an error.
 
-    The month table is stored first, so its known size decides: a calendar of
-    any usual length is broadcast and the panel is not shuffled.
+    At run time the month table's size decides: a calendar of any usual length
+    is broadcast and the panel is not shuffled.
     """
     columns = [c for c in by_month.columns if c != MONTH]
-    stored = materialize(by_month, "by_month")
-    return add_presence_flags(panel.join(stored, MONTH, "left"), {flag: columns})
+    return add_presence_flags(panel.join(unique_by(by_month, MONTH, "the month table"), MONTH, "left"), {flag: columns})
 
 
 def panel_checks(panel: DataFrame, sectors: DataFrame, start: str, end: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import absolute_percentage_error, floored, inverse_log_target, log_target
+from ..session import materialize
 from .evaluation import scores
-from .folds import Decay, Fold, add_decay_weights, assigned, category_means, encode
+from .folds import Decay, Fold, add_decay_weights, assigned, category_means, encode, encoding_default
 
 LABEL, FEATURES, RAW = "_label", "_features", "_raw"
 
@@ -61,26 +63,46 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], output
 
 
 def fold_part(
-    df: DataFrame, fold: Fold, role: str, decay: Decay, column: str, target: str, default: float = 0.0
+    df: DataFrame, fold: Fold, role: str, decay: Decay, column: str, target: str, unknown: float | str = 0.0
 ) -> DataFrame:
-    """One fold's training or validation rows, encoded on its training rows, weighted."""
+    """One fold's training or validation rows, encoded on its training rows, weighted.
+
+    ``unknown`` is what a category without training rows is encoded as, a number
+    or a statistic of the fold's training rows.
+    """
     train = assigned(df, [fold], "train")
     means = category_means(train, column, target)
+    default = encoding_default(train, target, unknown)
     part = train if role == "train" else assigned(df, [fold], "valid")
     weighted = add_decay_weights(part, decay, F.col("reference_month"), by=["fold"])
     return encode(weighted, means, column, f"{column}_te", default)
 
 
+def fold_tables(
+    df: DataFrame, folds: Sequence[Fold], target: str, decay: Decay = Decay(), column: str = "sector_id", unknown: float | str = 0.0
+) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Encoded, weighted training and validation rows by fold, written once for any number of fits."""
+    made = {}
+    for fold in folds:
+        parts = (fold_part(df, fold, role, decay, column, target, unknown) for role in ("train", "valid"))
+        made[fold.fold] = tuple(materialize(p, f"fold_{fold.fold}") for p in parts)
+    return made
+
+
 def fold_predictions(
     df: DataFrame, folds: Sequence[Fold], learner: str, features: Sequence[str], target: str,
     params: Mapping[str, object], decay: Decay = Decay(), column: str = "sector_id", seed: int = 42,
-    parallelism: int = 2,
+    parallelism: int = 2, unknown: float | str = 0.0, tables: Mapping[int, tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
-    """Validation predictions of all folds: one fitted model per fold, rows stacked."""
+    """Validation predictions of all folds: one fitted model per fold, rows stacked.
+
+    ``tables`` are those of ``fold_tables``, made here if not given.
+    """
+    made = fold_tables(df, folds, target, decay, column, unknown) if tables is None else tables
 
     def one(fold: Fold) -> DataFrame:
-        model = fit(fold_part(df, fold, "train", decay, column, target), learner, features, target, params, seed)
-        valid = fold_part(df, fold, "valid", decay, column, target)
+        train, valid = made[fold.fold]
+        model = fit(train, learner, features, target, params, seed)
         scored = predict(model, valid, features, "y_pred")
         return scored.select(
             F.lit(learner).alias("model"),
@@ -94,11 +116,12 @@ def fold_predictions(
         )
 
     with ThreadPool(min(parallelism, len(folds))) as pool:
-        parts = pool.map(one, folds)
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+        return stacked(pool.map(one, folds))
+
+
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all parts, matched by column name."""
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_importance(
@@ -143,18 +166,18 @@ def sample_params(space: Mapping[str, Mapping[str, object]], trials: int, seed:
 
 def search(
     df: DataFrame, folds: Sequence[Fold], learner: str, features: Sequence[str], target: str,
-    settings: Sequence[Mapping[str, object]], decay: Decay = Decay(), seed: int = 42,
+    settings: Sequence[Mapping[str, object]], decay: Decay = Decay(), seed: int = 42, unknown: float | str = 0.0,
+    tables: Mapping[int, tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """``(trial, fold, score, bad_ratio, params)`` for every setting on every fold."""
-    table = None
+    made = fold_tables(df, folds, target, decay, unknown=unknown) if tables is None else tables
+    found = []
     for trial, params in enumerate(settings):
-        predictions = fold_predictions(df, folds, learner, features, target, params, decay, seed=seed)
-        entries = [x for name, value in params.items() for x in (F.lit(name), F.lit(str(value)))]
-        row = scores(predictions, ["fold"]).select(
-            F.lit(trial).alias("trial"), "fold", "score", "bad_ratio", F.create_map(*entries).alias("params")
-        )
-        table = row if table is None else table.unionByName(row)
-    return table
+        predictions = fold_predictions(df, folds, learner, features, target, params, decay, seed=seed, tables=made)
+        # Scored at once: only a row per fold is kept of a trial, not its models.
+        named = {name: str(value) for name, value in params.items()}
+        found += [(trial, r.fold, r.score, r.bad_ratio, named) for r in scores(predictions, ["fold"]).collect()]
+    return df.sparkSession.createDataFrame(found, "trial int, fold int, score double, bad_ratio double, params map<string,string>")
 
 
 def best_trial(history: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ from ..session import materialize
 
 SLICES = 4_096
 # A range is cut further while it holds more rows than this and more than one value.
-SMALL_GROUP = 1_000_000
+# Every group takes this way; the number only says when there is nothing left to gain.
+FEW_ROWS = 4_096
+INFINITE = float("inf")
 # Key of the single group when no keys are given.
 WHOLE = "_all"
 
@@ -78,27 +80,45 @@ def _narrowed(rows: DataFrame, ranges: DataFrame, group: Sequence[str], slices:
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantile: float = 0.5, output: str = "quantile",
-    slices: int = SLICES, small_group: int = SMALL_GROUP,
+    slices: int = SLICES, few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """``quantile`` of ``value`` per group, linear between neighbours, nulls ignored.
 
-    Groups without a value are absent from the result. ``df`` is read at least
-    twice, so it should be a stored table or cheap to compute.
+    Groups without a value are absent from the result. Infinite values stand at
+    their ends of the order; only finite ones are cut into slices. ``df`` is read
+    at least twice, so it should be a stored table or cheap to compute.
     """
     group = list(keys) or [WHOLE]
     rows = df.select(
         *[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias(WHOLE)]), F.col(value).cast("double").alias("_v")
     ).where(F.col("_v").isNotNull())
+    inside = F.when(F.abs("_v") < INFINITE, F.col("_v"))
     ranges = (
         rows.groupBy(*group)
-        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(*group, (F.lit(quantile) * (F.col("_n") - 1)).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_n")
+        .agg(
+            F.count("_v").alias("_all_rows"),
+            F.count(inside).alias("_n"),
+            F.min(inside).alias("_lo"),
+            F.max(inside).alias("_hi"),
+            F.count(F.when(F.col("_v") == -INFINITE, 1)).alias("_below"),
+        )
+        .withColumn("_rank", F.lit(quantile) * (F.col("_all_rows") - 1))
     )
     ranges = materialize(ranges, "ranges")
-    large = (F.col("_n") > small_group) & (F.col("_lo") < F.col("_hi"))
+    # Ranks that fall on infinite values are known from the counts.
+    first, last = F.floor("_rank"), F.ceil("_rank")
+
+    def end(place: Column) -> Column:
+        return F.when(place < F.col("_below"), F.lit(-INFINITE)).when(place >= F.col("_below") + F.col("_n"), F.lit(INFINITE))
+
+    ends = ranges.select(*group, end(first).alias("_low_end"), end(last).alias("_high_end"), (F.col("_rank") - first).alias("_share"))
+    rows = rows.where(inside.isNotNull())
+    ranges = ranges.where("_n > 0").select(*group, "_rank", "_lo", "_hi", "_below", "_n")
+    large = (F.col("_n") > few_rows) & (F.col("_lo") < F.col("_hi"))
     settled = [ranges.where(~large)]
     opened = ranges.where(large)
     while not opened.isEmpty():
+        # The two ends of a finite range fall into different slices, so every pass shrinks it.
         cut = materialize(_narrowed(rows, opened, group, slices), "ranges")
         settled.append(cut.where(~large))
         opened = cut.where(large)
@@ -112,14 +132,14 @@ def exact_quantiles(
     )
     # Without a count of what lies below, the range ends are the two neighbours.
     ranked = _ranked(counted, group, F.col("_v"))
-    between = F.first("_rank") - F.floor(F.first("_rank"))
     lower = F.min(F.when(F.col("_below").isNull() | (F.col("_upto") > F.floor("_rank")), F.col("_v")))
     upper = F.coalesce(F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_v"))), F.max("_v"))
-    return (
-        ranked.groupBy(*group)
-        .agg(lower.alias("_a"), upper.alias("_b"), between.alias("_share"))
-        .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias(output))
-    )
+    a, b = F.coalesce("_low_end", "_a"), F.coalesce("_high_end", "_b")
+    share = F.col("_share")
+    endless = (F.abs(a) == INFINITE) | (F.abs(b) == INFINITE)
+    value_at = F.when((share == 0) | (a == b), a).when(endless, a * (1 - share) + b * share).otherwise(a + (b - a) * share)
+    found = ranked.groupBy(*group).agg(lower.alias("_a"), upper.alias("_b"))
+    return ends.join(found, group, "left").select(*keys, value_at.alias(output))
 
 
 def unpivoted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -6,16 +6,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 
-# Up to this many pairs the built-in aggregate is used; one aggregate per pair
-# would outgrow generated code beyond it.
-BUILTIN_PAIR_LIMIT = 120
-# A column counts as constant if its variance is this small next to its mean square.
-CONSTANT_TOLERANCE = 1e-13
+# Columns of a block of the correlation table, and rows that are multiplied at once.
+COLUMN_BLOCK = 64
+BATCH_ROWS = 4_096
+# Squared deviations this small next to the squares they are the difference of are not trusted.
+CANCELLED = 1e-6
 
 
 def per_column(df: DataFrame, columns: Sequence[str], output: str, measure) -> DataFrame:
@@ -44,103 +44,99 @@ def low_variance_columns(df: DataFrame, columns: Sequence[str], threshold: float
     return [c for c in columns if found[c] is not None and found[c] < threshold]
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
-    """``(left_pos, right_pos, left, right, corr)`` for every pair in column order.
+def _pair_moments(values: np.ndarray) -> np.ndarray:
+    """Rows shared by each pair of columns: count, both means, both squared deviations, co-deviation.
 
-    Rows where either column is null are left out of that pair.
+    ``(6, width, width)``; the first column of a pair is the row index. Masked
+    matrix products of values shifted by the column means are exact enough for
+    most pairs. Where they cancel, because the shared rows lie far from the
+    column mean next to their own spread, the pair is computed around its own means.
     """
-    pairs = len(columns) * (len(columns) - 1) // 2
-    if method == "auto":
-        method = "builtin" if pairs <= BUILTIN_PAIR_LIMIT else "products"
-    if method == "builtin":
-        return _pairs_builtin(df, columns)
-    if method == "products":
-        return _pairs_from_products(df, columns)
-    raise ValueError(f"unknown method {method!r}")
-
-
-def _spread(squares: str, total: str) -> Column:
-    """``n`` times the deviation; 0 where only rounding separates the two terms."""
-    whole = F.col("n") * F.col(squares)
-    rest = whole - F.col(total) * F.col(total)
-    return F.when(rest <= whole * CONSTANT_TOLERANCE, F.lit(0.0)).otherwise(F.sqrt(rest))
-
-
-def _names(columns: Sequence[str]) -> Column:
-    return F.array(*[F.lit(c) for c in columns])
-
-
-def _pair_correlation(a: str, b: str) -> Column:
-    """Null if either column is constant over the shared rows (``corr`` would raise)."""
-    both_a, both_b = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return finite(F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b)))
-
-
-def _pairs_builtin(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    entries = [
-        F.struct(
-            F.lit(i).alias("left_pos"),
-            F.lit(j).alias("right_pos"),
-            F.lit(columns[i]).alias("left"),
-            F.lit(columns[j]).alias("right"),
-            _pair_correlation(columns[i], columns[j]).alias("corr"),
-        )
-        for i, j in pairs
-    ]
-    return df.agg(F.array(*entries).alias("_pairs")).select(F.inline("_pairs"))
-
-
-def _pairs_from_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Masked products of column blocks, summed over partitions.
+    seen = ~np.isnan(values)
+    there = seen.astype("float64")
+    n = there.T @ there
+    count = np.maximum(n, 1)
+    shift = np.where(seen.any(0), np.nanmean(np.where(seen.any(0), values, 0.0), axis=0), 0.0)
+    x = np.where(seen, values - shift, 0.0)
+    sx, sxx, sxy = x.T @ there, (x**2).T @ there, x.T @ x
+    mean = sx / count
+    square = sxx - sx * mean
+    cross = sxy - sx * mean.T
+    doubtful = np.triu((square <= CANCELLED * sxx) | (square <= CANCELLED * sxx).T, k=1) & (n > 0)
+    mean = mean + shift[:, None]
+    for i, j in np.argwhere(doubtful):
+        both = seen[:, i] & seen[:, j]
+        a, b = values[both, i], values[both, j]
+        # A mean of equal values may miss them by a rounding error.
+        ma, mb = (v[0] if v.min() == v.max() else v.mean() for v in (a, b))
+        mean[i, j], mean[j, i] = ma, mb
+        square[i, j], square[j, i] = ((a - ma) ** 2).sum(), ((b - mb) ** 2).sum()
+        cross[i, j] = cross[j, i] = ((a - ma) * (b - mb)).sum()
+    return np.stack([n, mean, mean.T, square, square.T, cross])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of the rows of both, pair by pair."""
+    n = a[0] + b[0]
+    share = np.where(n > 0, b[0] / np.maximum(n, 1), 0.0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    weight = a[0] * share
+    return np.stack([
+        n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight,
+        a[5] + b[5] + dx * dy * weight,
+    ])
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(left_pos, right_pos, left, right, corr)`` for every pair in column order.
 
-    Columns are shifted by their means first, so the sums do not cancel. Each
-    task sends one row per pair, whatever its number of rows.
+    Rows where either column is null are left out of that pair; the result is
+    null if either column is constant over the shared rows. Each task merges the
+    centred moments of its batches and sends one packed row for each pair of
+    column blocks; the tasks' rows of a block pair are merged as they stream in.
     """
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    shift = np.array([0.0 if m is None else m for m in means], dtype="float64")
     width = len(columns)
-    left, right = np.triu_indices(width, k=1)
+    edges = [(at, min(at + COLUMN_BLOCK, width)) for at in range(0, width, COLUMN_BLOCK)]
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sx, sxx, sxy = (np.zeros((width, width)) for _ in range(4))
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for batch in batches:
-            values = batch.to_numpy(dtype="float64") - shift
-            seen = (~np.isnan(values)).astype("float64")
-            values = np.nan_to_num(values, nan=0.0)
-            n += seen.T @ seen
-            sx += values.T @ seen
-            sxx += (values**2).T @ seen
-            sxy += values.T @ values
-        yield pd.DataFrame(
-            {
-                "left_pos": left.astype("int32"),
-                "right_pos": right.astype("int32"),
-                "n": n[left, right],
-                "sl": sx[left, right],
-                "sr": sx[right, left],
-                "sll": sxx[left, right],
-                "srr": sxx[right, left],
-                "slr": sxy[left, right],
-            }
-        )
-
-    sums = ["n", "sl", "sr", "sll", "srr", "slr"]
-    schema = "left_pos int, right_pos int, " + ", ".join(f"{s} double" for s in sums)
+            values = batch.to_numpy(dtype="float64")
+            for at in range(0, len(values), BATCH_ROWS):
+                part = _pair_moments(values[at : at + BATCH_ROWS])
+                total = part if total is None else _merged(total, part)
+        if total is not None:
+            packed = [(i, j, total[:, a:b, c:d].tobytes()) for i, (a, b) in enumerate(edges) for j, (c, d) in enumerate(edges) if i <= j]
+            yield pd.DataFrame(packed, columns=["block", "other", "packed"])
+
+    def correlations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+        for batch in batches:
+            for i, j, packed in batch.itertuples(index=False):
+                (a, b), (c, d) = edges[i], edges[j]
+                part = np.frombuffer(packed).reshape(6, b - a, d - c)
+                if at is not None and at != (i, j):
+                    yield finished(at, total)
+                    total = None
+                at, total = (i, j), part if total is None else _merged(total, part)
+        if at is not None:
+            yield finished(at, total)
+
+    def finished(at: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
+        left, right = np.meshgrid(np.arange(*edges[at[0]]), np.arange(*edges[at[1]]), indexing="ij")
+        own = left < right
+        spread = np.sqrt(total[3][own]) * np.sqrt(total[4][own])
+        corr = np.divide(total[5][own], spread, out=np.full(own.sum(), np.nan), where=spread > 0)
+        return pd.DataFrame({"left_pos": left[own].astype("int32"), "right_pos": right[own].astype("int32"), "corr": corr})
+
     doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    total = (
-        doubles.mapInPandas(products, schema).groupBy("left_pos", "right_pos").agg(*[F.sum(s).alias(s) for s in sums])
-    )
-    c = F.col
-    covariance = c("n") * c("slr") - c("sl") * c("sr")
-    spread = _spread("sll", "sl") * _spread("srr", "sr")
-    names = _names(columns)
-    return total.select(
-        "left_pos",
-        "right_pos",
-        F.get(names, c("left_pos")).alias("left"),
-        F.get(names, c("right_pos")).alias("right"),
-        finite(F.try_divide(covariance, spread)).alias("corr"),
+    parts = doubles.mapInPandas(moments, "block int, other int, packed binary")
+    dealt = parts.repartition(max(len(edges), 1), "block", "other").sortWithinPartitions("block", "other")
+    found = dealt.mapInPandas(correlations, "left_pos int, right_pos int, corr double")
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(
+        "left_pos", "right_pos", F.get(names, F.col("left_pos")).alias("left"), F.get(names, F.col("right_pos")).alias("right"),
+        finite(F.col("corr")).alias("corr"),
     )
 
 

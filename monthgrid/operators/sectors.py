@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Numbers per numbering bucket; see ``dense_numbers``.
-BUCKET_WIDTH = 1_000_000
+from ..session import materialize
 
 
 def sector_union(tables: Iterable[DataFrame], label: str = "sector") -> DataFrame:
@@ -27,25 +26,26 @@ def label_number(label: str = "sector_label"):
 
 
 def dense_numbers(df: DataFrame, number: str, output: str, tiebreak: str | None = None) -> DataFrame:
-    """1, 2, 3, ... in order of the non-negative integer column ``number``.
+    """1, 2, 3, ... in order of ``number``.
 
     A plain ``row_number`` over the whole table would pull every row into one
-    task. Here rows are numbered inside buckets of ``BUCKET_WIDTH`` consecutive
-    values. Only the table of bucket sizes, a millionth of the number range, is
-    ordered as a whole. The offsets join on the bucket, by which the numbered
-    rows are already partitioned, so the rows are shuffled once.
+    task. Here rows are range-partitioned by row counts, whatever the numbers
+    look like, and numbered inside their partition; only the sizes, one row per
+    partition, are ordered as a whole. The partitions are written first, so that
+    sizes and numbers speak of the same ones.
     """
     order = [number] + ([tiebreak] if tiebreak else [])
-    bucketed = df.withColumn("_bucket", F.floor(F.col(number) / BUCKET_WIDTH).cast("bigint"))
-    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order)
     return (
-        bucketed.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, "_bucket")
+        dealt.withColumn("_row", F.row_number().over(inside))
+        .join(offsets, "_part")
         .withColumn(output, F.col("_row") + F.col("_offset"))
-        .drop("_bucket", "_row", "_offset")
+        .drop("_part", "_row", "_offset")
     )
 
 

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numeric import positive_flag, safe_ratio
 
@@ -88,22 +87,17 @@ def _smoothed(rows: Column, column: str, alpha: float) -> Column:
 
 
 def add_ewm(
-    df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, engine: str = "native",
-    point: str = ".",
+    df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, point: str = ".",
 ) -> DataFrame:
     """``<c>_ewm_alpha<a>``: recursive exponentially weighted mean.
 
     ``point`` replaces the decimal point in the names, for stages that cannot
     take a dotted column.
 
-    Missing values carry the mean forward and decay its weight. ``native``
-    folds the ordered rows of a series in the JVM; a series of months is short.
-    ``pandas`` does the same per series in Arrow batches, for series of many
-    thousand rows, where growing the output array would be quadratic.
+    Missing values carry the mean forward and decay its weight. The ordered rows
+    of a series are folded in the JVM.
     """
     names = {(c, a): f"{c}_ewm_alpha{str(a).replace('.', point)}" for c in columns for a in alphas}
-    if engine == "pandas":
-        return _ewm_pandas(df, names, keys, order)
     others = [c for c in df.columns if c not in keys and c != order]
     rows = F.sort_array(F.collect_list(F.struct(order, *others)))
     grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
@@ -117,19 +111,6 @@ def add_ewm(
     )
 
 
-def _ewm_pandas(df: DataFrame, names: Mapping[tuple[str, float], str], keys: Keys, order: str) -> DataFrame:
-    added = [T.StructField(name, T.DoubleType()) for name in names.values()]
-    schema = T.StructType([*df.schema.fields, *added])
-
-    def smooth(series):
-        series = series.sort_values(order)
-        for (column, alpha), name in names.items():
-            series[name] = series[column].astype("float64").ewm(alpha=alpha, adjust=False).mean()
-        return series
-
-    return df.groupBy(*keys).applyInPandas(smooth, schema)
-
-
 def add_interpolation(df: DataFrame, columns: Sequence[str], keys: Keys, order: str, suffix: str = "_interp") -> DataFrame:
     """Straight line between known values; leading gaps stay, trailing repeat."""
     w = series_window(keys, order)
@@ -176,12 +157,25 @@ def add_event_flag(
 
 
 def add_zero_rule(
-    df: DataFrame, column: str, keys: Keys, order: str, months: int = 6, output: str = "had_zero"
+    df: DataFrame, column: str, keys: Keys, order: str, months: int = 6, output: str = "had_zero",
+    origin: str | None = None, gaps_are_zero: bool = True,
 ) -> DataFrame:
-    """1 where any of the previous ``months`` values is zero; a gap counts as zero."""
-    frame = series_window(keys, order).rowsBetween(-months, -1)
-    size = F.abs(F.coalesce(F.col(column), F.lit(0.0)))
-    return df.withColumn(output, F.coalesce(F.min(size).over(frame) == 0, F.lit(False)).cast("int"))
+    """1 where any of the previous ``months`` values is zero; a gap counts as zero by argument.
+
+    ``origin`` is the last observed month. Rows after it are empty by nature, so
+    they all take the state at the origin: the last ``months`` rows up to it.
+    """
+    w = series_window(keys, order)
+    size = F.abs(F.coalesce(F.col(column), F.lit(0.0)) if gaps_are_zero else F.col(column))
+    before = F.coalesce(F.min(size).over(w.rowsBetween(-months, -1)) == 0, F.lit(False))
+    if origin is None:
+        return df.withColumn(output, before.cast("int"))
+    last = F.lit(origin).cast(df.schema[order].dataType)
+    here = F.coalesce(F.min(size).over(w.rowsBetween(-(months - 1), 0)) == 0, F.lit(False))
+    placed = df.withColumn("_here", F.when(F.col(order) <= last, here))
+    state = F.last("_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    flag = F.when(F.col(order) > last, F.coalesce(state, F.lit(False))).otherwise(before)
+    return placed.withColumn(output, flag.cast("int")).drop("_here")
 
 
 def add_ratios(df: DataFrame, ratios: Mapping[str, tuple[str, str]]) -> DataFrame:

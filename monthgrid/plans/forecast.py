@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blending, folds, forecasting, learners
+from ..operators import blending, folds, forecasting, learners, series
 from ..sources import artefacts
 
 KEY, MONTH = "sector_id", "panel_month"
@@ -20,8 +22,16 @@ def forecast(
     months: Sequence[str] | DataFrame,
     overrides: DataFrame | None = None,
     minimum: float = 0.0,
+    zero_column: str | None = None,
+    zero_months: int = 6,
 ) -> DataFrame:
-    """``pred_<model>`` columns and the clipped, overridden ``pred_ensemble``."""
+    """``pred_<model>`` columns and the clipped, overridden ``pred_ensemble``.
+
+    With ``zero_column`` a sector that had a zero, or a gap, in that column in
+    one of the last ``zero_months`` months before the horizon is forecast as 0.
+    ``overridden`` marks these cells and those listed in ``overrides``; its sum is
+    the number of updates.
+    """
     spark = panel.sparkSession
     means, default = artefacts.read_encoding(spark, f"{model_dir}/encoding")
     models, weights = artefacts.read_weights(spark, f"{model_dir}/weights")
@@ -36,7 +46,23 @@ def forecast(
     out = scored.withColumn("pred_ensemble", blending.blended(models, weights, minimum)).select(
         *kept, *[f"pred_{m}" for m in models], "pred_ensemble"
     )
-    return out if overrides is None else forecasting.zero_overridden(out, overrides).drop("overridden")
+    listed = [overrides.select(MONTH, KEY)] if overrides is not None else []
+    if zero_column is not None:
+        listed.append(zero_overrides(panel, months, zero_column, zero_months))
+    if not listed:
+        return out.withColumn("overridden", F.lit(0))
+    return forecasting.zero_overridden(out, reduce(DataFrame.unionByName, listed))
+
+
+def zero_overrides(panel: DataFrame, months: Sequence[str] | DataFrame, column: str, last: int = 6) -> DataFrame:
+    """(panel_month, sector_id) of the horizon cells that the zero rule sets to 0."""
+    rows = forecasting.horizon_rows(panel, months)
+    first = rows.agg(F.min(MONTH)).first()[0]
+    if first is None:
+        return rows.select(MONTH, KEY)
+    origin = (first.replace(day=1) - dt.timedelta(days=1)).replace(day=1)
+    ruled = series.add_zero_rule(panel.select(KEY, MONTH, column), column, [KEY], MONTH, last, origin=str(origin))
+    return forecasting.horizon_rows(ruled, months).where("had_zero = 1").select(MONTH, KEY)
 
 
 def submission(predictions: DataFrame, ids: DataFrame | None, months: Sequence[str] = ()) -> DataFrame:

@@ -136,8 +136,8 @@ def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions) -> Dat
     sparse = screening.sparse_columns(table, columns, options.static_missing_limit)
     kept = [c for c in columns if c not in sparse]
     if not kept:
-        return table.drop(*sparse)
-    flagged = grid.add_missing_flags(table.drop(*sparse), kept)
+        return grid.add_missing_flags(table, columns).drop(*sparse)
+    flagged = grid.add_missing_flags(table, columns).drop(*sparse)
     labelled = materialize(statics.add_clusters(flagged, kept, options.static_clusters, options.seed), "static_clusters")
     filled = statics.cluster_imputed(labelled, kept)
     filled = materialize(series.add_ratios(filled, options.static_ratios), "static_filled")
@@ -185,8 +185,10 @@ def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions) ->
     city = city_table(sources, start, end, options)
     fill_city = [c for c in numeric_columns(city) if c.startswith(CITY_PREFIXES) and not has_marker(c, UNIMPUTED_MARKERS)]
     city = materialize(impute.impute_months(city, fill_city), "city_imputed")
-    df = df.join(city, MONTH, "left").join(static_table(sources["poi"], index, options), KEY, "left")
+    fixed = grid.unique_by(static_table(sources["poi"], index, options), KEY, "statics")
+    df = df.join(grid.unique_by(city, MONTH, "the city table"), MONTH, "left").join(fixed, KEY, "left")
     df = materialize(df, "panel_features")
+    grid.validate_panel(df, index, start, end)
     columns = [c for c in numeric_columns(df, [*MANDATORY, options.target]) if not has_marker(c, UNIMPUTED_MARKERS) and not c.startswith(CITY_PREFIXES)]
     df = impute.impute_panel(df, columns, options.fill_method)
     if options.zero_fill_lags:

@@ -56,10 +56,11 @@ def train(
     full = folds.encode(rows, artefacts.read_encoding(spark, f"{out_dir}/encoding")[0], KEY, encoded, default)
     features = artefacts.numeric_features(full, features)
     histories, predictions = [], []
+    made = learners.fold_tables(rows, usable, target, decay, unknown=unknown)
     for learner, tried in settings.items():
-        history = materialize(learners.search(rows, usable, learner, features, target, tried, decay, seed), "trials")
+        history = materialize(learners.search(rows, usable, learner, features, target, tried, decay, seed, unknown, made), "trials")
         best = tried[learners.best_trial(history).first().trial]
-        found = learners.fold_predictions(rows, usable, learner, features, target, best, decay, seed=seed)
+        found = learners.fold_predictions(rows, usable, learner, features, target, best, decay, seed=seed, tables=made)
         predictions.append(materialize(found, "fold_predictions"))
         learners.final_fit(full, learner, features, target, best, train_end, decay, f"{out_dir}/{learner}", seed)
         histories.append(history.select(F.lit(learner).alias("model"), "*"))

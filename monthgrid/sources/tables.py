@@ -71,15 +71,17 @@ def schema_for(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, KEY_TYPES.get(c, T.DoubleType())) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "FAILFAST") -> DataFrame:
     """A headed CSV file. Without a schema only the header line is read ahead.
 
-    ``enforceSchema`` is off, so a header that differs from the schema fails.
+    ``enforceSchema`` is off, so a header that differs from the schema fails. A
+    cell that does not read as its type, such as ``1,234.5`` or ``12%``, fails
+    when it is read; ``mode="PERMISSIVE"`` makes it NULL instead. Empty cells are NULL.
     """
     reader = spark.read.option("header", True)
     if schema is None:
         schema = schema_for(reader.csv(path).columns)
-    table = reader.schema(schema).option("enforceSchema", False).option("nanValue", "NaN").csv(path)
+    table = reader.schema(schema).option("enforceSchema", False).option("nanValue", "NaN").option("mode", mode).csv(path)
     doubles = {f.name: nan_to_null(f.name) for f in schema if isinstance(f.dataType, T.DoubleType)}
     return table.withColumns(doubles) if doubles else table
 
