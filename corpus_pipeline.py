@@ -36,12 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents written in one of the languages of the ``lang`` column.
 
     Profiles are learned from all rows with text and language. A text without any letter, NULL and
-    empty ones among them, goes, as does one with no likeness (score 0) to any profile.
+    empty ones among them, has no language and goes. However short or odd, a text with letters stays:
+    the cosine of a few trigrams says too little to reject it.
     """
     ship(spark)
     profiles = language.learn(docs)
     found = language.identify(_packed(docs), profiles, ["row"])
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select("row.*")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
