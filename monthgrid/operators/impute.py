@@ -64,13 +64,17 @@ def impute_panel(df: DataFrame, columns: Sequence[str], method: str = "bfill") -
 
 
 def impute_months(by_month: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """City columns on the month table: empty months take the column's median.
+    """City columns on the month table: empty months take the column's median; ``imputed_<c>`` where there are any.
 
     On a dense panel every month has the same number of rows, so the median
     over months equals the median over panel rows.
     """
-    overall = column_medians(by_month, columns)
-    flagged = by_month.withColumns({f"imputed_{c}": F.col(c).isNull().cast("int") for c in columns})
+    gaps = by_month.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict() if columns else {}
+    empty = [c for c in columns if gaps[c]]
+    if not empty:
+        return by_month
+    overall = column_medians(by_month, empty)
+    flagged = by_month.withColumns({f"imputed_{c}": F.col(c).isNull().cast("int") for c in empty})
     return flagged.fillna({c: v for c, v in overall.items() if v is not None})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blending, folds, forecasting, learners, series
-from ..sources import artefacts
+from ..sources import artefacts, sinks
 
 KEY, MONTH = "sector_id", "panel_month"
 
@@ -71,3 +71,9 @@ def submission(predictions: DataFrame, ids: DataFrame | None, months: Sequence[s
         placed = ids.withColumn("_place", F.monotonically_increasing_id())
         return forecasting.submission_for_ids(placed, predictions).orderBy("_place").drop("_place")
     return forecasting.submission_grid(predictions, months)
+
+
+def write_outputs(predictions: DataFrame, submitted: DataFrame, out_dir: str) -> None:
+    """The scored table, and the submission as CSV with six decimals."""
+    sinks.write_parquet(predictions, f"{out_dir}/predictions")
+    sinks.write_csv(submitted, f"{out_dir}/submission", decimals=6)

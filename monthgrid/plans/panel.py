@@ -13,6 +13,7 @@ from ..functions.calendar import holiday_flags, horizon_flag, month_index, parse
 from ..functions.names import UNIMPUTED_MARKERS, has_marker
 from ..operators import citywide, folds, grid, impute, learners, screening, sectors, series, statics
 from ..session import materialize
+from ..sources import artefacts, sinks
 from ..sources.tables import CITY_PREFIXES, SECTOR_PREFIXES, SOURCE_TABLES, keyed
 
 KEY, MONTH = "sector_id", "panel_month"
@@ -127,7 +128,7 @@ def city_table(sources: Mapping[str, DataFrame], start: str, end: str, options:
     return materialize(series.add_changes(lagged, measured, options.change_lags), "city_features")
 
 
-def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions) -> DataFrame:
+def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions, out_dir: str | None = None) -> DataFrame:
     """One row per sector of the index: flags, clusters, ratios and components."""
     renamed = grid.prefixed(poi, "poi_", keep=["sector"]).withColumnRenamed("sector", "sector_label")
     columns = [c for c in renamed.columns if c != "sector_label"]
@@ -141,7 +142,9 @@ def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions) -> Dat
     labelled = materialize(statics.add_clusters(flagged, kept, options.static_clusters, options.seed), "static_clusters")
     filled = statics.cluster_imputed(labelled, kept)
     filled = materialize(series.add_ratios(filled, options.static_ratios), "static_filled")
-    out, _, _ = statics.components(filled, kept, options.static_components)
+    out, shares, loadings = statics.components(filled, kept, options.static_components)
+    if out_dir:
+        artefacts.write_components(poi.sparkSession, kept, shares, loadings, f"{out_dir}/static_components")
     return materialize(out, "static_features")
 
 
@@ -174,9 +177,11 @@ def merged_panel(sources: Mapping[str, DataFrame], index: DataFrame, start: str,
     return panel
 
 
-def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions) -> DataFrame:
+def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions, out_dir: str | None = None) -> DataFrame:
     """Merge, derive all features and impute; stored."""
     index = index_sectors(sources)
+    if out_dir:
+        artefacts.write_sector_index(index, f"{out_dir}/sector_index")
     start, end = calendar_bounds(sources, options)
     panel = merged_panel(sources, index, start, end, options)
     metrics = [c for c in numeric_columns(panel, MANDATORY) if c.startswith(SECTOR_PREFIXES)]
@@ -185,7 +190,7 @@ def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions) ->
     city = city_table(sources, start, end, options)
     fill_city = [c for c in numeric_columns(city) if c.startswith(CITY_PREFIXES) and not has_marker(c, UNIMPUTED_MARKERS)]
     city = materialize(impute.impute_months(city, fill_city), "city_imputed")
-    fixed = grid.unique_by(static_table(sources["poi"], index, options), KEY, "statics")
+    fixed = grid.unique_by(static_table(sources["poi"], index, options, out_dir), KEY, "statics")
     df = df.join(grid.unique_by(city, MONTH, "the city table"), MONTH, "left").join(fixed, KEY, "left")
     df = materialize(df, "panel_features")
     grid.validate_panel(df, index, start, end)
@@ -196,25 +201,38 @@ def engineered_panel(sources: Mapping[str, DataFrame], options: PanelOptions) ->
     return materialize(df, "panel_imputed")
 
 
-def selected_features(panel: DataFrame, options: PanelOptions) -> list[str]:
+def selected_features(panel: DataFrame, options: PanelOptions, out_dir: str | None = None) -> list[str]:
     """Names that survive the variance, correlation and importance stages, sorted."""
     train = panel.where(F.col(MONTH) <= F.lit(options.train_end).cast("date"))
     features = numeric_columns(train, [*MANDATORY, options.target])
     flat = set(screening.low_variance_columns(train, features, options.low_variance))
     features = [c for c in features if c not in flat]
     pairs = screening.correlation_pairs(train, features)
-    dropped = {r.dropped for r in screening.correlated_drops(pairs, options.correlation_limit).collect()}
+    drops = materialize(screening.correlated_drops(pairs, options.correlation_limit), "correlation_drops")
+    dropped = {r.dropped for r in drops.collect()}
     features = [c for c in features if c not in dropped]
     per_fold = learners.fold_importance(
         train, folds.numbered_folds(options.importance_folds), features, options.target, options.importance_params, options.seed
     )
+    if out_dir:
+        sinks.write_parquet(drops, f"{out_dir}/correlation_drops")
+        sinks.write_parquet(per_fold, f"{out_dir}/importance")
     always = [*MANDATORY, options.target]
     chosen = screening.select_features(screening.mean_importance(per_fold), options.top_n, options.cumulative_importance, always)
     return [r.feature for r in chosen.collect()]
 
 
-def build_panel(spark: SparkSession, sources: Mapping[str, DataFrame], options: PanelOptions = PanelOptions()) -> tuple[DataFrame, list[str]]:
-    """The panel with its selected columns, and their names."""
-    panel = engineered_panel(sources, options)
-    names = selected_features(panel, options)
+def build_panel(
+    spark: SparkSession, sources: Mapping[str, DataFrame], options: PanelOptions = PanelOptions(), out_dir: str | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The panel with its selected columns, and their names.
+
+    With ``out_dir`` the panel is written there by year, beside the feature list, the sector index,
+    the dropped correlations, the importances of each fold and the components of the static columns.
+    """
+    panel = engineered_panel(sources, options, out_dir)
+    names = selected_features(panel, options, out_dir)
+    if out_dir:
+        sinks.write_panel(panel.select(names), f"{out_dir}/panel")
+        artefacts.write_features(spark, names, f"{out_dir}/features")
     return panel.select(names), names

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blending, evaluation, folds, learners
 from ..session import materialize
-from ..sources import artefacts
+from ..sources import artefacts, sinks
 
 KEY, MONTH = "sector_id", "panel_month"
 
@@ -39,11 +39,13 @@ def train(
     unknown: float | str = 0.0,
     steps: int = 20,
     seed: int = 42,
+    weight_bounds: tuple[float, float] = (0.0, 1.0),
 ) -> TrainingResult:
     """Search each learner's settings on the folds, refit the best, weigh the blend.
 
     ``settings`` maps a learner to the parameter settings to try. Models, the
-    encoding and the weights go to ``out_dir``.
+    encoding, the features and the weights go to ``out_dir``, as do the trials, the
+    validation predictions of the best trials, alone and blended, and the scores.
     """
     spark = panel.sparkSession
     rows = materialize(folds.training_rows(panel, train_end, target), "training_rows")
@@ -71,10 +73,16 @@ def train(
     wide = materialize(blending.merge_predictions(stacked, models), "wide_predictions")
     if wide.isEmpty():
         raise ValueError("no row has a prediction of every model")
-    candidates = materialize(blending.candidate_scores(wide, models, steps), "candidates")
-    weights, score = blending.search_weights(wide, models, steps)
+    candidates = materialize(blending.candidate_scores(wide, models, steps, weight_bounds), "candidates")
+    weights, score = blending.search_weights(wide, models, steps, bounds=weight_bounds)
     artefacts.write_weights(spark, models, list(weights.values()), f"{out_dir}/weights")
     artefacts.write_features(spark, features, f"{out_dir}/features")
+    equal = blending.uniform_score(wide, models).first()[0]
+    blends = {"pred_ensemble": blending.blended(models, list(weights.values())), "pred_uniform": blending.blended(models, [])}
+    sinks.write_parquet(history, f"{out_dir}/trials")
+    sinks.write_parquet(stacked, f"{out_dir}/validation")
+    sinks.write_parquet(wide.withColumns(blends), f"{out_dir}/validation_blended")
+    sinks.write_parquet(spark.createDataFrame([(score, equal)], "score double, uniform_score double"), f"{out_dir}/blend_score")
     return TrainingResult(
         history,
         stacked,
@@ -82,5 +90,5 @@ def train(
         candidates,
         weights,
         score,
-        blending.uniform_score(wide, models).first()[0],
+        equal,
     )

@@ -41,6 +41,13 @@ def read_weights(spark: SparkSession, path: str) -> tuple[list[str], list[float]
     return [r.model for r in rows], [r.weight for r in rows]
 
 
+def write_components(spark: SparkSession, columns: Sequence[str], shares: Sequence[float], loadings: Sequence[Sequence[float]], path: str) -> None:
+    """``(component, variance_share, column, loading)``; bounded by the columns' number."""
+    rows = [(i + 1, shares[i], c, v) for i, row in enumerate(loadings) for c, v in zip(columns, row)]
+    table = spark.createDataFrame(rows, "component int, variance_share double, column string, loading double")
+    table.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def write_features(spark: SparkSession, features: Sequence[str], path: str) -> None:
     """One feature name per line, in order."""
     spark.createDataFrame([(f,) for f in features], "value string").coalesce(1).write.mode("overwrite").text(path)

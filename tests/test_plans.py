@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from monthgrid.operators import forecasting as fc
-from monthgrid.plans.forecast import forecast, submission
+from monthgrid.plans.forecast import forecast, submission, write_outputs
 from monthgrid.plans.panel import PanelOptions, build_panel
 from monthgrid.plans.training import train
-from monthgrid.sources import sinks, tables
+from monthgrid.sources import artefacts, sinks, tables
 
 SF = "/root/testdata/sf0.001"
 TARGET = "nh_amount"
@@ -77,7 +77,15 @@ def test_build_train_forecast(spark, base_dir, tmp_path):
         top_n=12,
         shift=1,
     )
-    panel, names = build_panel(spark, sources, options)
+    built = str(tmp_path / "built")
+    panel, names = build_panel(spark, sources, options, built)
+    assert tables.read_panel(spark, f"{built}/panel").count() == panel.count()
+    assert artefacts.read_features(spark, f"{built}/features") == names
+    assert artefacts.read_sector_index(spark, f"{built}/sector_index").count() == 300
+    assert spark.read.parquet(f"{built}/correlation_drops").columns == ["dropped", "kept"]
+    assert spark.read.parquet(f"{built}/importance").select("fold").distinct().count() == len(BOUNDS)
+    loadings = spark.read.parquet(f"{built}/static_components")
+    assert abs(loadings.groupBy("component").agg(F.sum(F.col("loading") ** 2).alias("n")).agg(F.max(F.abs(F.col("n") - 1))).first()[0]) < 1e-9
     assert names == sorted(names)
     assert {"sector_id", "sector_label", "panel_month", "month_idx", "is_future_horizon", TARGET} <= set(names)
     assert len(names) >= 12
@@ -99,12 +107,27 @@ def test_build_train_forecast(spark, base_dir, tmp_path):
     )
     assert result.score >= best_single
     assert result.summary.count() == 4
+    assert result.score >= result.uniform_score
+    assert spark.read.parquet(f"{out_dir}/trials").count() == 3 * 2
+    assert spark.read.parquet(f"{out_dir}/validation").count() == result.predictions.count()
+    assert spark.read.parquet(f"{out_dir}/validation_blended").where("pred_ensemble is null or pred_uniform is null").isEmpty()
+    assert spark.read.parquet(f"{out_dir}/blend_score").first().score == result.score
 
     ids = sources["test"]
     months = fc.id_months(ids)
     predicted = forecast(panel, out_dir, months)
     assert predicted.count() == 300 * 12
     assert predicted.where("pred_ensemble < 0 or pred_ensemble is null").isEmpty()
+    assert predicted.agg(F.sum("overridden")).first()[0] == 0
+    ruled = forecast(panel, out_dir, months, zero_column=TARGET)
+    zeroed = ruled.where("overridden = 1")
+    last = [f"2000-{m:02d}-01" for m in range(3, 9)]
+    alive = panel.where(F.col("panel_month").isin([F.lit(m).cast("date") for m in last]) & (F.col(TARGET) != 0)).groupBy("sector_id").count()
+    assert zeroed.where("pred_ensemble <> 0").isEmpty()
+    assert zeroed.count() == 12 * (300 - alive.where("count = 6").count())
+    write_outputs(ruled, submission(ruled, ids), str(tmp_path / "out"))
+    lines = spark.read.option("header", True).csv(str(tmp_path / "out/submission")).collect()
+    assert len(lines) == ids.count() and all(len(r[1].split(".")[1]) == 6 for r in lines)
     table = submission(predicted, ids)
     assert [r.id for r in table.collect()] == [r.id for r in ids.collect()]
     assert submission(predicted, None, fx.HORIZON_MONTHS).count() == 300 * 12
