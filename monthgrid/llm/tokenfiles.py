@@ -130,7 +130,9 @@ class TokenFile:
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and never joins words across it.
 
-    Words between white space are encoded by the library once and remembered.
+    Words between white space are encoded by the library once and remembered, in two generations of
+    bounded size. Texts of the first Latin blocks are put in lower case first, as the tokenizer would
+    do, so that a word counts as one however it is written.
     """
 
     def __init__(self, path: str) -> None:
@@ -139,33 +141,42 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lowers = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > MAX_WORDS:
-            self.before, self.known = self.known, {}
-        unknown = []
-        for w in words:
-            if w in self.before:
-                self.known[w] = self.before[w]
+    def _words(self, text: str) -> list[str]:
+        if self.lowers and not _OTHER.search(text):
+            text = text.lower()
+        # The control characters are white space for str.split, but not for the tokenizer.
+        return _WHITE.split(text) if _CONTROL.search(text) else text.split()
+
+    def _learn(self, unknown: list[str]) -> None:
+        fresh = []
+        for w in unknown:
+            ids = self.before.get(w)
+            if ids is None:
+                fresh.append(w)
             else:
-                unknown.append(w)
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+                self.known[w] = ids
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each text as 32-bit integers, then ``end``."""
-        split = [_WHITE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
-        unknown = {w for words in split for w in words if w not in self.known}
+        if len(self.known) > MAX_WORDS:
+            self.before, self.known = self.known, {}
+        split = [self._words(t) for t in texts]
+        unknown = set().union(*split).difference(self.known)
         if unknown:
-            self._learn(list(unknown | ({w for words in split for w in words} if len(self.known) + len(unknown) > MAX_WORDS else set())))
+            self._learn(list(unknown))
         known = self.known
         return [b"".join([known[w] for w in words]) + end for words in split]
 
 
-MAX_WORDS = 300_000
-_CONTROL = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
+MAX_WORDS = 500_000
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")  # beyond these, lower case may depend on the library
+_CONTROL = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
 
 
