@@ -5,9 +5,10 @@ non-deterministic form has a state for each (last token, place in the token trie
 walks the trie, and where a token ends, the walk may start anew with that token as the last one, if
 the two tokens are a valid neighbourhood, that is if merging their joined bytes gives back the pair.
 A sequence is the BPE encoding exactly if all its neighbours are valid. The machine is made
-deterministic lazily: a state is the set of open walks with the tokens each still owes, built when
-first reached; tokens that all walks share are emitted, so output lags behind by one token's length
-at most. The cache of states is bounded and starts anew when full.
+deterministic lazily: a state is the set of open walks, built when first reached, and a step says
+which walks go on and which token was finished; what the walks owe is kept beside. Tokens are
+emitted as soon as one walk is left or all walks agree on them, which takes a token's length at
+most. The cache of states is bounded and starts anew when full.
 
 Decoding. Token bytes run through a UTF-8 state machine that keeps an unfinished character across
 tokens and chunks; malformed bytes become U+FFFD, one for each maximal part of a character.
@@ -30,12 +31,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from monthgrid.llm import wordhash as wh
 from monthgrid.llm.common import Remembered
 
-MAX_STATES = 30_000
-MAX_PAIRS = 200_000
-MAX_UNITS = 60_000
-MAX_PIECES = 250_000
+MAX_STATES = 100_000
+MAX_PAIRS = 400_000
+MAX_UNITS = 100_000
+MAX_PIECES = 400_000
 _ROOT = 0
 _NEVER = 1 << 60
+#: A walk is one number: the last token plus one, then the node.
+_SHIFT = 32
+_NODES = (1 << _SHIFT) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,17 +91,18 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.walks: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state(((-1, _ROOT, ()),))
-
-    def _state(self, walks: tuple) -> int:
-        if walks not in self.states:
-            self.states[walks] = len(self.walks)
+        self.states: dict[tuple[int, ...], int] = {}
+        self.walks: list[tuple[int, ...]] = []
+        self.steps: list[dict[int, tuple]] = []
+        self.start = self._state((_ROOT,))
+
+    def _state(self, walks: tuple[int, ...]) -> int:
+        number = self.states.get(walks)
+        if number is None:
+            number = self.states[walks] = len(self.walks)
             self.walks.append(walks)
             self.steps.append({})
-        return self.states[walks]
+        return number
 
     def _edge(self, token: int, right: bool) -> list[tuple[bytes, int]]:
         """Parts of ``token`` that touch its right or left end while it is merged, with the rank that uses each up."""
@@ -135,57 +140,88 @@ class Transducer:
             else:
                 j += 1
 
-    def _build(self, walks: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """The walks after one more byte, oldest first, and the tokens that all of them share by now."""
-        after = []
+    def _build(self, walks: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+        """The walks after one more byte, oldest first, then the finished one.
+
+        Also which walks go on, and of the finished one where it comes from and its token.
+        """
+        after, kept = [], []
         trie, token_at, inner, pairs = self.trie, self.token_at, self.inner, self.pairs
-        for last, node, owed in walks:
-            to = trie.get(node << 8 | byte)
+        source = finished = -1
+        for i, walk in enumerate(walks):
+            to = trie.get((walk & _NODES) << 8 | byte)
             if to is None:
                 continue
             if inner[to]:
-                after.append((last, to, owed))
+                after.append((walk & ~_NODES) | to)
+                kept.append(i)
             token = token_at[to]
-            if token >= 0:
-                pair = (last << 32) + token
+            if token >= 0 and finished < 0:
+                pair = (walk & ~_NODES) << 8 | token
                 follows = pairs.get(pair)
                 if follows is None:
                     if len(pairs) >= MAX_PAIRS:
                         pairs.clear()
-                    follows = pairs[pair] = self._follows(last, token)
+                    follows = pairs[pair] = self._follows((walk >> _SHIFT) - 1, token)
                 if follows:
-                    done = (token, _ROOT, (*owed, token))
-        after.append(done)
-        shared = after[0][2]
-        if not shared:
-            return tuple(after), shared
-        for _, _, owed in after[1:]:
-            n = 0
-            while n < len(shared) and n < len(owed) and shared[n] == owed[n]:
-                n += 1
-            shared = shared[:n]
-        return tuple([(a, b, c[len(shared) :]) for a, b, c in after]) if shared else tuple(after), shared
+                    source, finished = i, token
+        after.append((finished + 1) << _SHIFT)
+        return tuple(after), tuple(kept), source, finished
 
     def encode(self, piece: bytes) -> list[int]:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
         out: list[int] = []
-        state = self.start
-        for byte in piece:
-            step = self.steps[state].get(byte)
+        # What each walk owes: its last token and what came before, or None.
+        owed: list = [None]
+        state, steps = self.start, self.steps
+        for place, byte in enumerate(piece):
+            step = steps[state].get(byte)
             if step is None:
-                walks, shared = self._build(self.walks[state], byte)
+                walks, kept, source, finished = self._build(self.walks[state], byte)
                 if len(self.walks) >= MAX_STATES:
                     self._forget()
+                    steps = self.steps
                     state = self._state(walks)
-                    out += shared
-                    continue
-                step = self.steps[state][byte] = (self._state(walks), shared)
-            state = step[0]
-            out += step[1]
-        # One walk has just finished a token: it is the encoding.
-        return out + list(next(owed for _, node, owed in self.walks[state] if node == _ROOT))
+                else:
+                    to = self._state(walks)
+                    steps[state][byte] = (to, kept, source, finished)
+                    state = to
+            else:
+                state, kept, source, finished = step
+            done = (finished, owed[source])
+            owed = [owed[i] for i in kept]
+            owed.append(done)
+            if not kept:
+                # One walk is left: what it owes is settled.
+                out += _listed(done)
+                owed = [None]
+            elif place & 1023 == 1023:
+                out += _settle(owed)
+        # The walk that has just finished a token is the encoding.
+        return out + _listed(owed[-1])
+
+
+def _listed(owed: tuple | None) -> list[int]:
+    tokens = []
+    while owed is not None:
+        tokens.append(owed[0])
+        owed = owed[1]
+    return tokens[::-1]
+
+
+def _settle(owed: list) -> list[int]:
+    """Takes the tokens that all walks share off them, so that a long piece is not held back whole."""
+    chains = [_listed(x) for x in owed]
+    n = 0
+    while all(len(c) > n for c in chains) and len({c[n] for c in chains}) == 1:
+        n += 1
+    for i, chain in enumerate(chains):
+        owed[i] = None
+        for token in chain[n:]:
+            owed[i] = (token, owed[i])
+    return chains[0][:n]
 
 
 class Encoder:
