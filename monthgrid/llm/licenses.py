@@ -4,13 +4,17 @@ A text is cut into sentences, each sentence is normalised and looked up among kn
 license sentences, and the resulting sequence of identifiers is matched against ordered
 rules. A rule names a license by a run of adjacent identifiers; a run that matched is
 consumed, so a later, more general rule cannot claim it again. Sentences that are not
-known stand as one ``?`` however many follow each other. The tables of sentences and
-rules are configuration of a fixed size, so they travel inside the plan. Built-in
-functions only, and no shuffle: a row is scanned where it is read.
+known stand as one ``?`` however many follow each other. A line end closes a sentence, since
+titles stand on lines of their own, but a known sentence is also found wrapped over lines.
+The tables of sentences and rules are configuration of a fixed size, so they travel inside
+the plan. Built-in functions only, and no shuffle: a row is scanned where it is read.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +98,45 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Public-Domain", ("PUBLIC_DOMAIN",)),
 )
 
+# Heads of license files, which give the version on a line of its own.
+FILE_SENTENCES: dict[str, str] = {
+    "apache license version 2.0 january 2004": "APACHE_2_HEAD",
+    "gnu general public license version 2 june 1991": "GPL_2_HEAD",
+    "gnu general public license version 3 29 june 2007": "GPL_3_HEAD",
+    "gnu lesser general public license version 2.1 february 1999": "LGPL_2_1_HEAD",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL_3_HEAD",
+    "gnu affero general public license version 3 19 november 2007": "AGPL_3_HEAD",
+    "mozilla public license version 2.0": "MPL_2_HEAD",
+    "bsd 2 clause license": "BSD_2_HEAD",
+    "bsd 3 clause license": "BSD_3_HEAD",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSD_GRANT",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_ENDORSE",
+}
+
+# These come before ``RULES``. A number of a clause stands as ``?`` before it.
+FILE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("Apache-2.0", ("APACHE_2_HEAD",)),
+    ("GPL-2.0", ("GPL_2_HEAD",)),
+    ("GPL-3.0", ("GPL_3_HEAD",)),
+    ("LGPL-2.1", ("LGPL_2_1_HEAD",)),
+    ("LGPL-3.0", ("LGPL_3_HEAD",)),
+    ("AGPL-3.0", ("AGPL_3_HEAD",)),
+    ("MPL-2.0", ("MPL_2_HEAD",)),
+    ("BSD-3-Clause", ("BSD_SOURCE", "?", "BSD_BINARY", "?", "BSD_ENDORSE")),
+    ("BSD-3-Clause", ("BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE")),
+    ("BSD-3-Clause", ("BSD_3_HEAD",)),
+    ("BSD-2-Clause", ("BSD_2_HEAD",)),
+    ("BSD", ("BSD_SOURCE", "?", "BSD_BINARY")),
+)
+
 UNKNOWN = "?"
 #: Ends of sentences: line ends, or closing marks before white space or the end of the text.
 SENTENCE_END = r"[\n\r]+|[.!?;:]+(?:[ \t\n\r\f]+|\z)"
 NOT_KEPT = r"[^a-z0-9.]+"
+#: A line end and what stands before the first word of the next line, such as indents and comment marks.
+LINE_START = r"(?:\r\n|[\n\r])[^a-z0-9.\n\r]*"
+#: Short forms whose dot does not end a sentence.
+SHORT_FORM = r"\b(v|ver|no|inc|ltd|co|corp)\.(?:[ \t\f]+\n?|\n)(?!\n)"
 
 
 def sentences(text: Column) -> Column:
@@ -106,6 +145,24 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_KEPT, " "))), lambda s: s != "")
 
 
+def unwrapped(text: Column, known: dict[str, str]) -> Column:
+    """As ``sentences``, but a known sentence is one entry even if it is wrapped over lines.
+
+    A sentence runs on over a single line end, comment marks of the next line included, and over the dot
+    of a short form, not over a blank line or another closing mark.
+    """
+    # "|" is a sure end, "\n" one that a known sentence may run over.
+    marked = F.regexp_replace(F.translate(F.lower(text), "|", " "), LINE_START, "\n")
+    marked = F.regexp_replace(F.regexp_replace(marked, SHORT_FORM, "$1\n"), r"[.!?;:]+(?:[ \t\n\r\f]+|\z)|\n\n+", "|")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"[^a-z0-9.\n|]+", " "), r" *([\n|]) *", "$1")
+    longest = sorted(known, key=len, reverse=True)
+    either = "|".join("[ \n]".join(re.escape(w) for w in s.split(" ")) for s in longest)
+    # The entries at odd places are known sentences.
+    parts = F.split(F.regexp_replace(F.trim(marked), rf"(?<![^\n|])(?:{either})(?![^\n|])", "\x01$0\x01"), "\x01", -1)
+    lists = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(F.translate(p, "\n", " "))).otherwise(F.split(p, r"[\n|]", -1)))
+    return F.filter(F.transform(F.flatten(lists), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def identify(found: Column, known: dict[str, str]) -> Column:
     """Identifiers of normalised sentences, ``?`` for those not known."""
     by_id: dict[str, list[str]] = {}
@@ -120,17 +177,22 @@ def identify(found: Column, known: dict[str, str]) -> Column:
     return F.transform(found, one)
 
 
-def scan_licenses(docs: DataFrame, id_cols: list[str], text_col: str = "text", known: dict[str, str] = SENTENCES,
-                  rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_cols: list[str], text_col: str = "text", known: dict[str, str] = SENTENCES | FILE_SENTENCES,
+                  rules: tuple[tuple[str, tuple[str, ...]], ...] = FILE_RULES + RULES) -> DataFrame:
     """``id_cols`` with n_sentences, sentence_ids (known ones in order), licenses and unclaimed.
 
+    ``n_sentences`` counts every line end as an end; a known sentence wrapped over lines is one identifier.
     ``licenses`` holds each license once, in the order of the rules; ``unclaimed`` the known
     identifiers that no rule consumed, in order. One row per input row, also for repeated
     rows; NULL and empty texts have no sentences and empty lists; NULL ids are carried; other
     columns are not read, so their names cannot clash. An empty table gives an empty result.
     """
     df = docs.select(*id_cols, text_or_empty(text_col).alias("_text"))
-    df = df.withColumn("_found", sentences(F.col("_text"))).withColumn("_ids", identify(F.col("_found"), known))
+    df = df.withColumn("_found", sentences(F.col("_text"))).withColumn("_flat", F.array_join("_found", " "))
+    # Only a text that holds the words of a known sentence, wrapped or not, is read a second time.
+    holds = reduce(lambda a, b: a | b, [F.contains("_flat", F.lit(s)) for s in known], F.lit(False))
+    whole = F.when(holds, unwrapped(F.col("_text"), known)).otherwise(F.col("_found"))
+    df = df.withColumn("_whole", whole).withColumn("_ids", identify(F.col("_whole"), known))
     tagged = F.concat(F.lit("<"), F.array_join("_ids", "><"), F.lit(">"))
     df = df.select(
         *id_cols,

@@ -276,6 +276,74 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none, ["doc_id"]).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+BSD_FILE = """Copyright 2020 Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_NOTICE = """# Copyright 2020 Someone
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+import os
+"""
+MPL_NOTICE = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+APACHE_NOTICE = """// Copyright 2020 Someone
+// Licensed under the Apache License, Version
+// 2.0 (the "License");
+// you may not use this file except in compliance
+// with the License.
+"""
+
+
+def test_licenses_wrapped_over_lines(spark):
+    want = {MIT_FILE: ["MIT"], BSD_FILE: ["BSD-3-Clause"], GPL_NOTICE: ["GPL"], MPL_NOTICE: ["MPL-2.0"], APACHE_NOTICE: ["Apache-2.0"]}
+    want |= {
+        GPL_NOTICE.replace("\n", "\r\n"): ["GPL"], MIT_FILE.replace("\n", "\r"): ["MIT"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright": ["GPL-3.0"],
+        "                                 Apache License\n                           Version 2.0, January 2004\n": ["Apache-2.0"],
+        "Some line\n" * 30 + "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        # A blank line, a closing mark or other words end a sentence.
+        "Licensed under the Apache License\n\nVersion 2.0": [], "Licensed under the Apache License.\nVersion 2.0": [],
+        "Not licensed under the Apache License,\nVersion 2.0": [], "Licensed under the Apache License,\nVersion 2.0 or not": [],
+    }
+    texts = list(want)
+    out = {r.doc_id: r for r in licenses.scan_licenses(table(spark, list(enumerate(texts))), ["doc_id"]).collect()}
+    assert [out[i].licenses for i in range(len(texts))] == [want[t] for t in texts]
+    assert out[0].sentence_ids == ["MIT_TITLE", "MIT_NOTICE"] and out[0].unclaimed == []
+    assert out[1].unclaimed == ["ALL_RIGHTS", "BSD_GRANT"]
+
+
 def test_decontaminate(spark, docs, rows, none, monkeypatch):
     source = words(lowered(dict(rows)[0]))
     items = [
