@@ -531,6 +531,26 @@ def test_similar_documents(spark, docs, rows):
         assert r.u > r.v and abs(r.jaccard - len(a & b) / len(a | b)) < 1e-9 and r.jaccard >= 0.75
 
 
+def test_similar_documents_misses_no_link(spark, monkeypatch):
+    # A smallest id that shares a band with each text but is similar to none.
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base[:60]))]
+    for i in range(1, 12):
+        own = list(base)
+        own[rng.randrange(120)] = f"n{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(20, rows[3][1]), (21, rows[3][1])]
+    sets = {i: shingles(t) for i, t in rows if i < 20}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a > b}
+    want = {k for k, j in share.items() if j >= 0.75} | {(20, 3), (21, 3)}
+    assert len(want) > 50 and not any(0 in k for k in want)
+    for block in (512, 3):
+        monkeypatch.setattr(fingerprints, "BLOCK_MEMBERS", block)
+        links = fingerprints.similar_documents(table(spark, rows)).collect()
+        assert sorted((r.u, r.v) for r in links) == sorted(want)
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["a b", "ab", "b a", "a\x0bb", "é e", "", "A b"]
     data, offsets = wh.text_buffer(__import__("pyarrow").array(texts))
