@@ -132,7 +132,8 @@ class WordTokenizer:
 
     Words between white space are encoded by the library once and remembered, in two generations of
     bounded size. Texts of the first Latin blocks are put in lower case first, as the tokenizer would
-    do, so that a word counts as one however it is written.
+    do, so that a word counts as one however it is written. Strings of the tokenizer's added tokens in a
+    text become these tokens, as is the library's default.
     """
 
     def __init__(self, path: str) -> None:
@@ -140,7 +141,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A text with an added token's string, in any case, is left to the library as a whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.lowers = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -166,12 +169,16 @@ class WordTokenizer:
         """Ids of each text as 32-bit integers, then ``end``."""
         if len(self.known) > MAX_WORDS:
             self.before, self.known = self.known, {}
-        split = [self._words(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)}
+        split = [[] if i in whole else self._words(t) for i, t in enumerate(texts)]
         unknown = set().union(*split).difference(self.known)
         if unknown:
             self._learn(list(unknown))
         known = self.known
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        out = [b"".join([known[w] for w in words]) + end for words in split]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes() + end
+        return out
 
 
 MAX_WORDS = 500_000

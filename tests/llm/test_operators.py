@@ -499,6 +499,13 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert len(own.known) <= 120
 
 
+def test_added_tokens_in_texts_are_recognised():
+    known, own = tokenizers.Tokenizer.from_file(WORDS), tokenfiles.WordTokenizer(WORDS)
+    texts = ["one <|endoftext|> two", "one two", "a<|startoftext|>b <|endoftext|>", "x <|ENDOFTEXT|> y", "<|endof text|>", "Élan <|endoftext|>\n\x1cé 漢", ""]
+    assert own.encode(texts, b"") == [np.array(known.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    assert 49407 in np.frombuffer(own.encode(texts, b"")[0], np.uint32)
+
+
 def test_fingerprints(spark, docs, rows, none):
     by_id = sorted(((i, t or "") for i, t in plain(rows).items()))
     df = table(spark, [(i, t or None) for i, t in by_id])
