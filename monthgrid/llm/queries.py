@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthgrid.llm import decontaminate as dc
-from monthgrid.llm import bpe, fingerprints, language, licenses, lines, neardup, secrets, substring, tokenfiles
+from monthgrid.llm import bpe, fim, fingerprints, importance, language, licenses, lines, nearest, neardup, secrets, substring, tokenfiles
 from monthgrid.llm.common import read, ship
 
 QUERIES = {}
@@ -244,3 +244,82 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query("op11_nearest_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+IMPORTANCE_SQL = r"""
+WITH RECURSIVE steps(b, i, c) AS (
+  SELECT b, 0, b FROM range(256) t(b) UNION ALL
+  SELECT b, i + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS effect FROM steps WHERE i = 8),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+doc_features AS (
+  SELECT doc_id, f, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS f FROM docs UNION ALL
+        SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs)) GROUP BY doc_id, f),
+item_features AS (
+  SELECT f, count(*) AS n
+  FROM (SELECT unnest(w) AS f FROM items UNION ALL
+        SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM items)) GROUP BY f),
+distinct_features AS (SELECT f FROM doc_features UNION SELECT f FROM item_features),
+octets AS (
+  SELECT f, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes
+  FROM distinct_features),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c // 256, effect[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM octets, crc),
+raw_counts AS (SELECT bucket, sum(n)::DOUBLE AS s FROM doc_features JOIN hashed USING (f) GROUP BY bucket),
+aim_counts AS (SELECT bucket, sum(n)::DOUBLE AS t FROM item_features JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT coalesce((SELECT sum(s) FROM raw_counts), 0) AS s_all, coalesce((SELECT sum(t) FROM aim_counts), 0) AS t_all),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((coalesce(s, 0) + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN raw_counts USING (bucket) LEFT JOIN aim_counts USING (bucket), totals),
+sums AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total
+         FROM doc_features JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, floor(coalesce(total / n_features, 0))::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM docs LEFT JOIN sums USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+@query("op12_importance_resampling", IMPORTANCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+FILL_IN_MIDDLE_SQL = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+dice AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (length(text) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (length(text) + 1) AS b,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS d FROM hashed),
+formed AS (
+  SELECT doc_id, text, n, least(a, b) AS low, greatest(a, b) AS high,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM dice),
+cut AS (SELECT *, substr(text, 1, low) AS p, substr(text, low + 1, high - low) AS m, substr(text, high + 1) AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut"""
+
+
+@query("op13_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("n_units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
