@@ -229,7 +229,9 @@ lines AS (
 full_lines AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE line <> ''),
 pairs AS (SELECT a.doc_id, a.k, a.line AS x, b.line AS y FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, k) AS r FROM pairs),
-gone AS (SELECT DISTINCT doc_id, k + o AS k FROM ranked, (VALUES (0), (1)) t(o) WHERE r > 1),
+long_lines AS (SELECT doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS r FROM full_lines
+               WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20),
+gone AS (SELECT doc_id, k + o AS k FROM ranked, (VALUES (0), (1)) t(o) WHERE r > 1 UNION SELECT doc_id, k FROM long_lines WHERE r > 1),
 cut AS (SELECT doc_id, list(i) AS gone FROM gone JOIN full_lines USING (doc_id, k) GROUP BY doc_id),
 counts AS (SELECT doc_id, count(*) AS n FROM full_lines GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,

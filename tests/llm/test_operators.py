@@ -189,18 +189,30 @@ def test_equal_hashes_are_compared_by_words(monkeypatch):
     assert out.column("id").to_pylist() == [3]
 
 
-def test_lines(docs, rows, none):
-    seen, expect = set(), {}
-    for i, t in sorted(plain(rows).items()):
+def lines_left(texts):
+    """(lines, lines removed, text left) of each text, in order of ids, by definition."""
+    blank, pairs, longs, out = " \t\n\x0b\x0c\r", set(), set(), {}
+    for i, t in sorted(texts.items()):
         raw = (t or "").split("\n")
-        full = [p for p, x in enumerate(raw) if x.strip(" \t\n\x0b\x0c\r")]
+        full = [p for p, x in enumerate(raw) if x.strip(blank)]
         gone = set()
         for a, b in zip(full, full[1:]):
-            pair = (raw[a].strip(" \t\n\x0b\x0c\r"), raw[b].strip(" \t\n\x0b\x0c\r"))
-            if pair in seen:
+            pair = (raw[a].strip(blank), raw[b].strip(blank))
+            if pair in pairs:
                 gone |= {a, b}
-            seen.add(pair)
-        expect[i] = (len(full), len(gone), None if t is None else "\n".join(x for p, x in enumerate(raw) if p not in gone))
+            pairs.add(pair)
+        for a in full:
+            line = raw[a].strip(blank)
+            if len(words(line)) >= 20:
+                if line in longs:
+                    gone.add(a)
+                longs.add(line)
+        out[i] = (len(full), len(gone), None if t is None else "\n".join(x for p, x in enumerate(raw) if p not in gone))
+    return out
+
+
+def test_lines(docs, rows, none):
+    expect = lines_left(plain(rows))
     out = lines.dedup_lines(docs).collect()
     assert len(out) == len(rows) + len(ODD)
     assert sum(e[1] for e in expect.values()) > 8
@@ -211,6 +223,15 @@ def test_lines(docs, rows, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_long_lines_go_alone_and_short_ones_with_a_neighbour(spark):
+    long, short = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(19))
+    texts = {1: long, 2: f"own a\n  {long}\t\nown b", 3: f"{short}\nx", 4: f"{short}\ny", 5: long.replace(" ", "  "), 6: f"{long}\n{long}", 7: None, 8: ""}
+    out = {r.row.doc_id: r.kept_text for r in lines.dedup_lines(table(spark, list(texts.items()))).collect()}
+    assert out == {**{i: t for i, t in texts.items()}, 2: "own a\nown b", 6: ""} == {i: x[2] for i, x in lines_left(texts).items()}
+    out = {r.row.doc_id: r.n_removed for r in lines.dedup_lines(table(spark, list(texts.items())), long_words=19).collect()}
+    assert out[4] == 1 and out[3] == 0
+
+
 def test_winnowing_selects_a_line_of_every_window(spark):
     rng = random.Random(4)
     run = [f"shared {i}" for i in range(9)]
@@ -219,6 +240,19 @@ def test_winnowing_selects_a_line_of_every_window(spark):
         out = {r.row.doc_id: r.n_removed for r in lines.dedup_lines(table(spark, rows), window=window).collect()}
         # Neighbours share three lines of the run.
         assert out == {i: 3 if i and window <= 3 else 0 for i in range(5)}
+        hashes, counts = np.random.default_rng(window).integers(0, 1 << 63, 3000, dtype=np.uint64), np.array([0, 1, window, 2995 - window, 4])
+        picked = lines.selected(hashes, counts, window)
+        ends = np.cumsum(counts)
+        assert all(picked[a : a + window].any() for e, c in zip(ends, counts) for a in range(e - c, e - window + 1))
+        assert picked.sum() < 0.75 * 3000
+
+
+def test_lines_of_a_long_text_and_of_many_copies(spark):
+    rng = random.Random(12)
+    texts = {0: "\n".join(" ".join(rng.choices("abcdefgh", k=rng.randint(1, 30))) for _ in range(2500))}
+    texts |= {i: f"head {i}\nsame line\nanother same line\nfoot {i}" for i in range(1, 400)}
+    out = lines.dedup_lines(table(spark, list(texts.items())).repartition(8)).collect()
+    assert {r.row.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in out} == lines_left(texts)
 
 
 def test_secrets(spark, docs, rows, none):

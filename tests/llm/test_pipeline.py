@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from monthgrid.llm.common import scratch_path
-from tests.llm.test_operators import ODD, SCHEMA, corpus, lowered, reference_tokenizer, shingles, table, words
+from tests.llm.test_operators import ODD, SCHEMA, corpus, lines_left, lowered, reference_tokenizer, shingles, table, words
 
 
 @pytest.fixture(scope="module")
@@ -44,18 +44,8 @@ def test_language_stage_drops_only_texts_without_letters(stages):
 
 def test_line_stage(stages):
     before, after = stages[2]["line dedup"]
-    seen, kept = set(), []
-    for r in sorted((r for r in before if r.doc_id not in (None, 903)), key=lambda r: r.doc_id):
-        raw = r.text.split("\n")
-        full = [i for i, x in enumerate(raw) if x.strip(" \t\n\x0b\x0c\r")]
-        own = [(raw[a].strip(" \t\n\x0b\x0c\r"), raw[b].strip(" \t\n\x0b\x0c\r"), a, b) for a, b in zip(full, full[1:])]
-        gone = set()
-        for x, y, a, b in own:
-            if (x, y) in seen:
-                gone |= {a, b}
-            seen.add((x, y))
-        if not gone or len(gone) < len(full):
-            kept.append((r.doc_id, "\n".join(x for i, x in enumerate(raw) if i not in gone)))
+    left = lines_left({r.doc_id: r.text for r in before if r.doc_id not in (None, 903)})
+    kept = [(i, text) for i, (n, gone, text) in left.items() for r in before if r.doc_id == i and (not gone or gone < n)]
     assert sorted(kept) == sorted((r.doc_id, r.text) for r in after if r.doc_id not in (None, 903))
     changed = {r.doc_id: r for r in after} and [r for r in after if (r.doc_id, r.text) not in {(b.doc_id, b.text) for b in before}]
     assert changed and all(r.n_chars == len(r.text) for r in changed)
