@@ -8,8 +8,8 @@ the place where the window would have to start; places outside the document are
 rest is compared word for word. The documents are never shuffled for this: the benchmark side is
 broadcast, in as many blocks as its measured size asks for.
 
-Words are runs of letters, digits and non-ASCII characters with A-Z in lower case. Joins use the
-fully lower-cased word, which only adds candidates; the comparison is exact.
+Words are runs of letters, digits and non-ASCII characters with A-Z, and nothing else, in lower case:
+other capitals stay, since their lower case can depend on what stands beside them.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def lowered(text: Column) -> Column:
+    """``text`` with A-Z in lower case. For ASCII the built-in does just that, and faster."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def split_words(text: Column) -> Column:
     """Words in order; the first and last element may be empty."""
     return F.split(text, SEPARATORS, -1)
@@ -39,8 +44,8 @@ def word_count(words: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """item_id, window (its words, spaced), n (words). Items without words have none."""
-    lowered = F.translate(text_or_empty(text_col), UPPER, LOWER)
-    words = benchmark.select(F.col(id_col).alias("item_id"), F.array_remove(split_words(lowered), "").alias("w")).where(F.size("w") > 0)
+    words = split_words(lowered(text_or_empty(text_col)))
+    words = benchmark.select(F.col(id_col).alias("item_id"), F.array_remove(words, "").alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     return words.select("item_id", "w", F.explode(starts).alias("s")).select(
         "item_id", F.array_join(F.slice("w", F.col("s"), F.lit(width)), " ").alias("window"),
@@ -66,9 +71,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def prefixes(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
     """For each distinct window its rarest word: token, at (its offset in the window), window, n."""
     distinct = windows.select("window", "n").distinct()
-    placed = distinct.select("window", "n", F.posexplode(F.split(F.lower("window"), " ")).alias("at", "token"))
+    placed = distinct.select("window", "n", F.posexplode(F.split("window", " ")).alias("at", "token"))
     vocabulary = materialize(placed.select("token").distinct(), "vocabulary")
-    words = docs.select(F.explode(split_words(F.lower(text_or_empty(text_col)))).alias("token"))
+    words = docs.select(F.explode(split_words(lowered(text_or_empty(text_col)))).alias("token"))
     counted = _union([
         words.join(F.broadcast(part), "token").groupBy("token").agg(F.count("*").alias("seen"))
         for part in _blocks(vocabulary, F.octet_length("token") + 16, "token")
@@ -86,24 +91,15 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_cols: list[str], text_co
     ``text_key`` tells rows with equal ids and different texts apart.
     """
     index = materialize(prefixes(docs, windows, text_col), "prefixes")
-    words = docs.select(*id_cols, text_or_empty(text_col).alias("_text")).select(
-        *id_cols, "_text", split_words(F.lower("_text")).alias("_words")
-    )
-    placed = words.select(*id_cols, "_text", "_words", F.posexplode("_words").alias("_pos", "token"))
+    words = docs.select(*id_cols, F.xxhash64(text_or_empty(text_col)).alias("text_key"), split_words(lowered(text_or_empty(text_col))).alias("_words"))
+    placed = words.select(*id_cols, "text_key", "_words", F.posexplode("_words").alias("_pos", "token"))
     found = []
     for part in _blocks(index, F.octet_length("window") + F.octet_length("token") + 32, "window"):
         start = F.col("_pos") - F.col("at")
         near = placed.join(F.broadcast(part), "token").where((start >= 0) & (start + F.col("n") <= F.size("_words")))
-        # The exact words are cut out of the text only for the places that are left. Filters may be
-        # evaluated in any order, so the slices must not fail outside the bounds either.
-        first = F.greatest(F.col("_start"), F.lit(0)) + 1
-        near = near.withColumn("_start", start).where(F.array_join(F.slice("_words", first, F.col("n")), " ") == F.lower("window"))
-        exact = F.translate(F.array_join(F.slice(split_words(F.col("_text")), first, F.col("n")), " "), UPPER, LOWER)
-        found.append(
-            near.where(exact == F.col("window")).select(
-                *id_cols, F.xxhash64("_text").alias("text_key"), F.col("_start").alias("start"), "n", "window"
-            )
-        )
+        # Filters may be evaluated in any order, so the slice must not fail outside the bounds either.
+        there = F.array_join(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("n")), " ")
+        found.append(near.where(there == F.col("window")).select(*id_cols, "text_key", start.alias("start"), "n", "window"))
     return _union(found)
 
 

@@ -409,6 +409,13 @@ def test_decontaminate(spark, docs, rows, none, monkeypatch):
     assert len(clean) == len(rows) + len(ODD) and not any(r.hits for r in clean)
 
 
+def test_only_ascii_capitals_are_lowered(spark):
+    benchmark = spark.createDataFrame([(1, "ΟΔΟΣ Α"), (2, "İstanbul KELVIN \u212a")], "item_id bigint, text string")
+    texts = [(1, "ΟΔΟΣ.Α"), (2, "ΟΔΟΣ Α"), (3, "οδος α"), (4, "x İSTANBUL kelvin \u212a"), (5, "istanbul kelvin k"), (6, "İstanbul, Kelvin: \u212a")]
+    out = {r.doc_id: len(r.hits) for r in decontaminate.decontaminate(table(spark, texts), benchmark).collect()}
+    assert out == {1: 2, 2: 2, 3: 0, 4: 3, 5: 0, 6: 3}
+
+
 def reference_tokenizer():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
