@@ -3,7 +3,10 @@
 Each letter, and the gap between words, has a random vector of +1 and -1. A trigram binds the
 vectors of its letters, rotated by their place, by multiplication; a text bundles its trigrams by
 addition. The profile of a language is the bundle of all its learning texts, and a text belongs to
-the language whose profile has the largest cosine with it.
+the language whose profile has the largest cosine with it. The cosine of a text of ``n`` letters grows
+like sqrt(n / (n + a)), as its noise fades. ``a``, and how far labelled texts fall behind that, are
+learned too. A text is in none of the languages if its cosine is no more than that of unrelated texts
+can be, and far below that of labelled texts of its length.
 """
 
 from __future__ import annotations
@@ -13,14 +16,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from monthgrid.llm import wordhash as wh
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+#: Cosines of unrelated texts spread around 0 by the root of the dimensions; so many times that is taken for chance.
+CHANCE = 3.0
+#: A score of this share of the low quantile of labelled texts, next to what their length lets expect, is never rejected.
+LEVEL_SHARE, LEVEL_QUANTILE = 0.4, 0.01
+_ACCURACY = 10_000
 #: Trigrams whose vectors are held at once.
 _BLOCK = 4096
 _CODES = 0x110000
@@ -176,7 +184,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` with lang_pred and score, the largest cosine (0 if negative), one row per input row.
+    """``id_cols`` with lang_pred, score, the largest cosine (0 if negative), and n_letters, one row per input row.
 
     A NULL or empty text, or one without a letter, or any text if nothing was learned, is ``und`` with
     score 0. Ties go to the language first in order. Ids may be NULL or repeated; other columns are not
@@ -201,10 +209,32 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_cols: list[str
                     best = cosines.argmax(1) if names else np.zeros(piece.num_rows, int)
                     score = np.clip(cosines[np.arange(len(best)), best], 0, 1) if names else np.zeros(piece.num_rows)
                     labels = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                    columns = [piece.column(c) for c in id_cols]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))], [*id_cols, "lang_pred", "score"]
-                    )
+                    letters = np.bincount(found[0], weights=found[2], minlength=piece.num_rows).astype(np.int64)
+                    columns = [*[piece.column(c) for c in id_cols], pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(letters)]
+                    yield pa.RecordBatch.from_arrays(columns, [*id_cols, "lang_pred", "score", "n_letters"])
 
-    out = [*[rows.schema[c] for c in id_cols], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    new = [("lang_pred", StringType()), ("score", DoubleType()), ("n_letters", LongType())]
+    out = [*[rows.schema[c] for c in id_cols], *[StructField(n, t) for n, t in new]]
     return rows.mapInArrow(run, StructType(out))
+
+
+def _expected(fade: float) -> Column:
+    letters = F.greatest(F.col("n_letters"), F.lit(1)).cast("double")
+    return F.sqrt(letters / (letters + F.lit(fade)))
+
+
+def levels(labelled: DataFrame) -> tuple[float, float]:
+    """From identified rows with a label: the letters at which half of a score's square is noise, and the least score
+    as a share of what the length lets expect. Two sketches; without rows nothing is expected and 0 is enough.
+    """
+    scored = labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    noise = F.col("n_letters") * (1 / F.col("score") ** 2 - 1)
+    fade = max(0.0, scored.agg(F.percentile_approx(noise, 0.5, _ACCURACY)).first()[0] or 0.0)
+    low = scored.agg(F.percentile_approx(F.col("score") / _expected(fade), LEVEL_QUANTILE, _ACCURACY)).first()[0] or 0.0
+    return fade, LEVEL_SHARE * low
+
+
+def accepted(fade: float, least: float, dimensions: int = DIMENSIONS) -> Column:
+    """True for an identified row whose text is in one of the languages."""
+    level = F.least(F.lit(least) * _expected(fade), F.lit(CHANCE / dimensions**0.5))
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= level)

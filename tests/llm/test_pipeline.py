@@ -1,11 +1,13 @@
 """The stages of the pipeline against brute force, each on its own input."""
 
 import hashlib
+import math
 
 import corpus_pipeline as cp
 import public_tokenizers
 import pytest
 
+from monthgrid.llm import language
 from monthgrid.llm.common import scratch_path
 from tests.llm.test_operators import ODD, SCHEMA, corpus, lines_left, lowered, reference_tokenizer, shingles, table, words
 
@@ -36,10 +38,39 @@ def test_order_and_columns(stages):
         assert after and list(after[0].asDict()) == SCHEMA.names, name
 
 
-def test_language_stage_drops_only_texts_without_letters(stages):
+ALIEN = [
+    "Привет, как дела сегодня, друзья мои хорошие, приходите к нам вечером на чай с пирогами и вареньем из смородины",
+    "我喜欢吃苹果和香蕉今天天气很好我们去公园散步然后回家做饭看书明天还要去学校上课下午打球晚上写作业",
+    "xqzj kvbw wqxz jjkq zzxv bqwk vvxj qqzw xkjq vbzw kqxj zzvw qjxk wvbz jqkx vzwb xqjk bvwz kjxq zvbw qkjx wbzv",
+    "Сьогодні гарна погода, і ми підемо гуляти до лісу разом із друзями та нашим старим собакою на цілий день",
+]
+
+
+def test_language_stage_rejects_what_was_not_learned(spark, stages):
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    short = [" ".join(r.text.split()[:3]) for r in known[:60]]
+    fields = [(100_000 + i, t) for i, t in enumerate(ALIEN + ["", None, "12 -- 7"])] + [(200_000 + i, t) for i, t in enumerate(short)]
+    rows = [tuple(r) for r in known] + [(i, t, None, "web", len(t or "")) for i, t in fields]
+    docs = spark.createDataFrame(rows, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema)
+    kept = cp.language_id(spark, docs.repartition(4), stages[0]).collect()
+    clean = {r.doc_id for r in known if any(c.isalpha() for c in r.text or "")} | {200_000 + i for i, t in enumerate(short) if any(c.isalpha() for c in t)}
+    assert {r.doc_id for r in kept} == clean
+    by_id = {r[0]: r for r in rows}
+    assert all(tuple(r) == by_id[r.doc_id] for r in kept)
+
+
+def test_language_stage_by_definition(spark, stages):
     before, after = stages[2]["language ID"]
-    kept = [r for r in before if any(c.isalpha() for c in r.text or "")]
-    assert len(kept) < len(before) and sorted(map(str, kept)) == sorted(map(str, after))
+    docs = table(spark, []).unionByName(spark.createDataFrame(before, SCHEMA))
+    found = language.identify(docs, language.learn(docs), ["doc_id", "text", "lang"]).collect()
+    letters = [r for r in found if any(c.isalpha() for c in r.text or "")]
+    assert all(r.n_letters == sum(c.isalpha() for c in r.text) for r in letters)
+    low = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs)) - 1)]
+    taught = [r for r in letters if r.lang is not None and r.score > 0]
+    fade = max(0.0, low([r.n_letters * (1 / r.score**2 - 1) for r in taught], 0.5))
+    least = 0.4 * low([r.score / math.sqrt(r.n_letters / (r.n_letters + fade)) for r in taught], 0.01)
+    want = sorted((str(r.doc_id), r.text) for r in letters if r.score >= min(3 / 32, least * math.sqrt(r.n_letters / (r.n_letters + fade))))
+    assert least > 0 and len(want) < len(before) and sorted((str(r.doc_id), r.text) for r in after) == want
 
 
 def test_line_stage(stages):
