@@ -35,14 +35,17 @@ KEYS = ["known_id", "no_id", "row_key"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents written in one of the languages of the ``lang`` column.
 
-    Profiles are learned from all rows with text and language. A text without any letter, NULL and
-    empty ones among them, has no language and goes. However short or odd, a text with letters stays:
-    the cosine of a few trigrams says too little to reject it.
+    Profiles are learned from all rows with text and language, as is the cosine that a text has to
+    reach: more than unrelated texts have, or less where the shortness of the text lets expect less, so
+    that short clean texts stay. A text without any letter, NULL and empty ones
+    among them, has no language and goes. Without labelled rows all go.
     """
     ship(spark)
     profiles = language.learn(docs)
-    found = language.identify(_packed(docs), profiles, ["row"])
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    # Written once: all scores are seen before the first row is judged.
+    found = materialize(language.identify(_packed(docs), profiles, ["row"]), "languages")
+    fade, least = language.levels(found.where("row.lang IS NOT NULL"))
+    return found.where(language.accepted(fade, least)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
