@@ -5,10 +5,11 @@ non-deterministic form has a state for each (last token, place in the token trie
 walks the trie, and where a token ends, the walk may start anew with that token as the last one, if
 the two tokens are a valid neighbourhood, that is if merging their joined bytes gives back the pair.
 A sequence is the BPE encoding exactly if all its neighbours are valid. The machine is made
-deterministic lazily: a state is the set of open walks, built when first reached, and a step says
-which walks go on and which token was finished; what the walks owe is kept beside. Tokens are
-emitted as soon as one walk is left or all walks agree on them, which takes a token's length at
-most. The cache of states is bounded and starts anew when full.
+deterministic lazily: a state is the set of open walks, built when first reached from what each walk
+does on the byte, and a step says which token ends there. Exactly one does, since every prefix has one
+encoding, so the tokens that end at each place hold the encodings of all open walks. Those that all
+walks agree on are emitted every so many bytes; walks are never further apart than a token is long.
+The tables of walks and states are bounded and start anew when full.
 
 Decoding. Token bytes run through a UTF-8 state machine that keeps an unfinished character across
 tokens and chunks; malformed bytes become U+FFFD, one for each maximal part of a character.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,15 +33,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from monthgrid.llm import wordhash as wh
 from monthgrid.llm.common import Remembered
 
-MAX_STATES = 100_000
-MAX_PAIRS = 400_000
-MAX_UNITS = 100_000
-MAX_PIECES = 400_000
+MAX_STATES = 200_000
+MAX_MOVES = 1_000_000
+MAX_UNITS = 200_000
+MAX_PIECES = 200_000
 _ROOT = 0
 _NEVER = 1 << 60
-#: A walk is one number: the last token plus one, then the node.
-_SHIFT = 32
-_NODES = (1 << _SHIFT) - 1
+_STUCK = (-1, -1)
+#: Bytes after which what all walks agree on is emitted.
+_LOOK_BACK = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,30 +73,41 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.trie: dict[int, int] = {}
-        self.token_at = [-1]
-        self.inner = [True]
+        self.sizes = {i: len(t) for t, i in ranks.items()}
+        self.trie: list[dict[int, int]] = [{}]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = _ROOT
-            for byte in token:
-                key = node << 8 | byte
-                if key not in self.trie:
-                    self.inner[node] = True
-                    self.trie[key] = len(self.token_at)
+            for place, byte in enumerate(token):
+                to = self.trie[node].get(byte)
+                if to is None:
+                    to = self.trie[node][byte] = len(self.trie)
+                    self.trie.append({})
                     self.token_at.append(-1)
-                    self.inner.append(False)
-                node = self.trie[key]
+                    self.depth.append(place + 1)
+                node = to
             self.token_at[node] = rank
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self._forget()
 
     def _forget(self) -> None:
+        #: Walks: (last token, node) by number, and what a walk does on a byte.
+        self.walk_numbers: dict[tuple[int, int], int] = {}
+        self.walk_at: list[tuple[int, int]] = []
+        self.moves: dict[int, tuple[int, int]] = {}
+        #: States: sets of walks by number, and the next state and finished token by state and byte.
         self.states: dict[tuple[int, ...], int] = {}
         self.walks: list[tuple[int, ...]] = []
-        self.steps: list[dict[int, tuple]] = []
-        self.start = self._state((_ROOT,))
+        self.steps: list[dict[int, tuple[int, int]]] = []
+        self.start = self._state((self._walk(-1, _ROOT),))
+
+    def _walk(self, last: int, node: int) -> int:
+        number = self.walk_numbers.get((last, node))
+        if number is None:
+            number = self.walk_numbers[last, node] = len(self.walk_at)
+            self.walk_at.append((last, node))
+        return number
 
     def _state(self, walks: tuple[int, ...]) -> int:
         number = self.states.get(walks)
@@ -140,88 +153,75 @@ class Transducer:
             else:
                 j += 1
 
-    def _build(self, walks: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
-        """The walks after one more byte, oldest first, then the finished one.
-
-        Also which walks go on, and of the finished one where it comes from and its token.
-        """
-        after, kept = [], []
-        trie, token_at, inner, pairs = self.trie, self.token_at, self.inner, self.pairs
-        source = finished = -1
-        for i, walk in enumerate(walks):
-            to = trie.get((walk & _NODES) << 8 | byte)
-            if to is None:
-                continue
-            if inner[to]:
-                after.append((walk & ~_NODES) | to)
-                kept.append(i)
-            token = token_at[to]
+    def _move(self, walk: int, byte: int) -> tuple[int, int]:
+        """The walk after ``byte`` and the token that may end there, -1 for none."""
+        last, node = self.walk_at[walk]
+        to = self.trie[node].get(byte)
+        if to is None:
+            return _STUCK
+        token = self.token_at[to]
+        if token >= 0 and not self._follows(last, token):
+            token = -1
+        return self._walk(last, to) if self.trie[to] else -1, token
+
+    def _build(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after one more byte, its walks oldest first, and the token that ends there."""
+        moves, after, finished = self.moves, [], -1
+        for walk in self.walks[state]:
+            key = walk << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                move = moves[key] = self._move(walk, byte)
+            to, token = move
+            if to >= 0:
+                after.append(to)
             if token >= 0 and finished < 0:
-                pair = (walk & ~_NODES) << 8 | token
-                follows = pairs.get(pair)
-                if follows is None:
-                    if len(pairs) >= MAX_PAIRS:
-                        pairs.clear()
-                    follows = pairs[pair] = self._follows((walk >> _SHIFT) - 1, token)
-                if follows:
-                    source, finished = i, token
-        after.append((finished + 1) << _SHIFT)
-        return tuple(after), tuple(kept), source, finished
+                finished = token
+        after.append(self._walk(finished, _ROOT))
+        step = self.steps[state][byte] = self._state(tuple(after)), finished
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
+        if len(self.walks) >= MAX_STATES or len(self.moves) >= MAX_MOVES:
+            self._forget()
         out: list[int] = []
-        # What each walk owes: its last token and what came before, or None.
-        owed: list = [None]
-        state, steps = self.start, self.steps
-        for place, byte in enumerate(piece):
-            step = steps[state].get(byte)
-            if step is None:
-                walks, kept, source, finished = self._build(self.walks[state], byte)
-                if len(self.walks) >= MAX_STATES:
+        # The token that ends at each place since the tokens in ``out``. Its length leads back to the one before.
+        ends: list[int] = []
+        state, steps, limit = self.start, self.steps, _LOOK_BACK
+        for byte in piece:
+            try:
+                state, token = steps[state][byte]
+            except KeyError:
+                state, token = self._build(state, byte)
+            ends.append(token)
+            if len(ends) >= limit:
+                out += self._settle(ends, state)
+                limit = len(ends) + _LOOK_BACK
+                if len(self.walks) >= MAX_STATES or len(self.moves) >= MAX_MOVES:
+                    walks = [self.walk_at[w] for w in self.walks[state]]
                     self._forget()
-                    steps = self.steps
-                    state = self._state(walks)
-                else:
-                    to = self._state(walks)
-                    steps[state][byte] = (to, kept, source, finished)
-                    state = to
-            else:
-                state, kept, source, finished = step
-            done = (finished, owed[source])
-            owed = [owed[i] for i in kept]
-            owed.append(done)
-            if not kept:
-                # One walk is left: what it owes is settled.
-                out += _listed(done)
-                owed = [None]
-            elif place & 1023 == 1023:
-                out += _settle(owed)
-        # The walk that has just finished a token is the encoding.
-        return out + _listed(owed[-1])
-
-
-def _listed(owed: tuple | None) -> list[int]:
-    tokens = []
-    while owed is not None:
-        tokens.append(owed[0])
-        owed = owed[1]
-    return tokens[::-1]
-
-
-def _settle(owed: list) -> list[int]:
-    """Takes the tokens that all walks share off them, so that a long piece is not held back whole."""
-    chains = [_listed(x) for x in owed]
-    n = 0
-    while all(len(c) > n for c in chains) and len({c[n] for c in chains}) == 1:
-        n += 1
-    for i, chain in enumerate(chains):
-        owed[i] = None
-        for token in chain[n:]:
-            owed[i] = (token, owed[i])
-    return chains[0][:n]
+                    state, steps = self._state(tuple([self._walk(*w) for w in walks])), self.steps
+        return out + self._chain(ends, len(ends))
+
+    def _chain(self, ends: list[int], place: int) -> list[int]:
+        tokens = []
+        while place > 0:
+            tokens.append(ends[place - 1])
+            place -= self.sizes[tokens[-1]]
+        return tokens[::-1]
+
+    def _settle(self, ends: list[int], state: int) -> list[int]:
+        """Takes off ``ends`` the tokens that all open walks share, so that a long piece is not held back whole."""
+        chains = [self._chain(ends, len(ends) - self.depth[self.walk_at[w][1]]) for w in self.walks[state]]
+        n = 0
+        while all(len(c) > n for c in chains) and len({c[n] for c in chains}) == 1:
+            n += 1
+        settled = chains[0][:n]
+        del ends[: sum(self.sizes[t] for t in settled)]
+        return settled
 
 
 class Encoder:
@@ -231,8 +231,17 @@ class Encoder:
         self.machine = Transducer(ranks)
         # \s as the set of white space of Unicode, whatever the library takes it for.
         self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}"))
-        self.piece = Remembered(lambda p: np.array(self.machine.encode(p.encode()), np.int32).tobytes(), MAX_PIECES)
-        self.unit = Remembered(lambda u: self._encode(" " + u), MAX_UNITS)
+        self.piece = Remembered(self._piece, MAX_PIECES)
+        # Whether a space and plain letters are one piece is up to the pattern; then they need no search.
+        plain = all(self.pattern.findall(f" {x}") == [f" {x}"] for x in ("a", "Zz", "\u00c0\u00f6", "\u0100\u017f", "x" * 99))
+        self.plain = _LETTERS.fullmatch if plain else lambda unit: None
+        self.unit = Remembered(self._unit, MAX_UNITS)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.machine.encode(piece.encode())).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        return self._piece(" " + unit) if self.plain(unit) else self._encode(" " + unit)
 
     def _encode(self, unit: str) -> bytes:
         return b"".join([self.piece(p) for p in self.pattern.findall(unit)])
@@ -250,6 +259,7 @@ class Encoder:
         return self._encode(first) + b"".join(out)
 
 
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 _RUN = re.compile("[\\s\x85\xa0  -     　] ")
 
 

@@ -440,6 +440,10 @@ def test_transducer_on_random_strings(monkeypatch):
     for _ in range(4000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(encoder.encode(text), np.int32).tolist() == known.encode_ordinary(text), repr(text)
+    monkeypatch.setattr(bpe, "_LOOK_BACK", 40)  # so that long pieces are settled often
+    for _ in range(40):
+        text = "".join(rng.choice(["a", "ing", "the", "é", "ttt", "Q"]) for _ in range(rng.randint(50, 900)))
+        assert np.frombuffer(encoder.encode(text), np.int32).tolist() == known.encode_ordinary(text), repr(text)
     ranks = encoder.machine.ranks
     proper = [t for t, whole in encoder.machine.whole.items() if whole]
     for _ in range(3000):
