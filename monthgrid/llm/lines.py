@@ -110,20 +110,21 @@ def repeated_lines(rows: DataFrame, window: int = WINDOW, long_words: int = LONG
     """``rows``: id (bigint, not NULL), row_key, text. Numbers of the lines that repeat earlier ones, by row, not distinct."""
     schema = "fingerprint bigint, second bigint, near array<bigint>, id bigint, row_key bigint, at bigint"
     places = materialize(rows.mapInArrow(_select(window, long_words), schema), "line_places")
-    twice = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # Written, so that the join reads two plain shuffles and can split the rows of a very common line.
+    twice = materialize(places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line_fingerprints")
     # What is extended on either side: the windows around the position, first line ``offset`` lines before it, and a long line alone.
     parts = [
         F.struct(F.lit(o).alias("offset"), F.lit(window).alias("size"), F.slice("near", window - o, window).alias("lines")) for o in range(window)
     ]
     parts.append(F.struct(F.lit(0).alias("offset"), F.lit(1).alias("size"), F.array("second").alias("lines")))
-    around = places.join(twice, "fingerprint", "left_semi").select("fingerprint", "id", "row_key", "at", F.explode(F.array(*parts)).alias("p"))
+    around = places.join(twice.hint("merge"), "fingerprint", "left_semi").select("fingerprint", "id", "row_key", "at", F.explode(F.array(*parts)).alias("p"))
     around = around.where(~F.exists("p.lines", lambda x: x.isNull())).select(
         "fingerprint", "id", "row_key", "at", F.col("p.offset").alias("offset"), F.col("p.size").alias("size"), F.xxhash64("p.lines").alias("lines")
     )
     around = materialize(around, "line_windows")
     match = ["fingerprint", "offset", "size", "lines"]
     first = around.groupBy(*match).agg(F.min(F.struct("id", "row_key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = around.join(first, match).where(F.struct("id", "row_key", "at") > F.col("first"))
+    later = around.join(materialize(first, "line_firsts").hint("merge"), match).where(F.struct("id", "row_key", "at") > F.col("first"))
     start = F.col("at") - F.col("offset")
     return later.select("id", "row_key", F.explode(F.sequence(start, start + F.col("size") - 1)).alias("line"))
 
