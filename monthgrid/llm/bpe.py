@@ -34,7 +34,7 @@ from monthgrid.llm import wordhash as wh
 from monthgrid.llm.common import Remembered
 
 MAX_STATES = 200_000
-MAX_MOVES = 1_000_000
+MAX_WALKS = 400_000
 MAX_UNITS = 200_000
 MAX_PIECES = 200_000
 _ROOT = 0
@@ -92,10 +92,10 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        #: Walks: (last token, node) by number, and what a walk does on a byte.
+        #: Walks: (last token, node) by number, and by byte what a walk does on it.
         self.walk_numbers: dict[tuple[int, int], int] = {}
         self.walk_at: list[tuple[int, int]] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: list[dict[int, tuple[int, int]]] = [{} for _ in range(256)]
         #: States: sets of walks by number, and the next state and finished token by state and byte.
         self.states: dict[tuple[int, ...], int] = {}
         self.walks: list[tuple[int, ...]] = []
@@ -166,17 +166,14 @@ class Transducer:
 
     def _build(self, state: int, byte: int) -> tuple[int, int]:
         """The state after one more byte, its walks oldest first, and the token that ends there."""
-        moves, after, finished = self.moves, [], -1
-        for walk in self.walks[state]:
-            key = walk << 8 | byte
-            move = moves.get(key)
-            if move is None:
-                move = moves[key] = self._move(walk, byte)
-            to, token = move
-            if to >= 0:
-                after.append(to)
-            if token >= 0 and finished < 0:
-                finished = token
+        own, walks = self.moves[byte], self.walks[state]
+        moves = [own.get(w) for w in walks]
+        if None in moves:
+            for i, walk in enumerate(walks):
+                if moves[i] is None:
+                    moves[i] = own[walk] = self._move(walk, byte)
+        after = [to for to, _ in moves if to >= 0]
+        finished = max([token for _, token in moves])
         after.append(self._walk(finished, _ROOT))
         step = self.steps[state][byte] = self._state(tuple(after)), finished
         return step
@@ -185,25 +182,25 @@ class Transducer:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.walks) >= MAX_STATES or len(self.moves) >= MAX_MOVES:
+        if len(self.walks) >= MAX_STATES or len(self.walk_at) >= MAX_WALKS:
             self._forget()
         out: list[int] = []
         # The token that ends at each place since the tokens in ``out``. Its length leads back to the one before.
         ends: list[int] = []
-        state, steps, limit = self.start, self.steps, _LOOK_BACK
-        for byte in piece:
-            try:
-                state, token = steps[state][byte]
-            except KeyError:
-                state, token = self._build(state, byte)
-            ends.append(token)
-            if len(ends) >= limit:
+        state, steps = self.start, self.steps
+        for at in range(0, len(piece), _LOOK_BACK):
+            if at:
                 out += self._settle(ends, state)
-                limit = len(ends) + _LOOK_BACK
-                if len(self.walks) >= MAX_STATES or len(self.moves) >= MAX_MOVES:
+                if len(self.walks) >= MAX_STATES or len(self.walk_at) >= MAX_WALKS:
                     walks = [self.walk_at[w] for w in self.walks[state]]
                     self._forget()
                     state, steps = self._state(tuple([self._walk(*w) for w in walks])), self.steps
+            for byte in piece[at : at + _LOOK_BACK]:
+                try:
+                    state, token = steps[state][byte]
+                except KeyError:
+                    state, token = self._build(state, byte)
+                ends.append(token)
         return out + self._chain(ends, len(ends))
 
     def _chain(self, ends: list[int], place: int) -> list[int]:
