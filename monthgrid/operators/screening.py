@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 
-# Columns of a block of the correlation table, and rows that are multiplied at once.
+# Columns of a tile of the correlation table, tile pairs (of about 200 kB) that a task holds, and cells that are multiplied at once.
 COLUMN_BLOCK = 64
-BATCH_ROWS = 4_096
+TILE_PAIRS = 256
+BATCH_CELLS = 1 << 20
 # Squared deviations this small next to the squares they are the difference of are not trusted.
 CANCELLED = 1e-6
 
@@ -44,35 +47,59 @@ def low_variance_columns(df: DataFrame, columns: Sequence[str], threshold: float
     return [c for c in columns if found[c] is not None and found[c] < threshold]
 
 
-def _pair_moments(values: np.ndarray) -> np.ndarray:
-    """Rows shared by each pair of columns: count, both means, both squared deviations, co-deviation.
+class _Tile:
+    """A block of columns of some rows: values around a shift per column, and which are there.
 
-    ``(6, width, width)``; the first column of a pair is the row index. Masked
-    matrix products of values shifted by the column means are exact enough for
-    most pairs. Where they cancel, because the shared rows lie far from the
-    column mean next to their own spread, the pair is computed around its own means.
+    A column that is constant in the block is shifted by exactly its value, so all its sums are exactly 0.
     """
-    seen = ~np.isnan(values)
-    there = seen.astype("float64")
-    n = there.T @ there
-    count = np.maximum(n, 1)
-    shift = np.where(seen.any(0), np.nanmean(np.where(seen.any(0), values, 0.0), axis=0), 0.0)
-    x = np.where(seen, values - shift, 0.0)
-    sx, sxx, sxy = x.T @ there, (x**2).T @ there, x.T @ x
-    mean = sx / count
-    square = sxx - sx * mean
-    cross = sxy - sx * mean.T
-    doubtful = np.triu((square <= CANCELLED * sxx) | (square <= CANCELLED * sxx).T, k=1) & (n > 0)
-    mean = mean + shift[:, None]
-    for i, j in np.argwhere(doubtful):
-        both = seen[:, i] & seen[:, j]
-        a, b = values[both, i], values[both, j]
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.seen = ~np.isnan(values)
+        self.there = self.seen.astype("float64")
+        self.count = np.maximum(self.there.sum(0), 1)
+        filled = np.where(self.seen, values, 0.0)
+        low = np.where(self.seen, values, np.inf).min(0, initial=np.inf)
+        high = np.where(self.seen, values, -np.inf).max(0, initial=-np.inf)
+        self.shift = np.where(low >= high, np.where(np.isfinite(low), low, 0.0), filled.sum(0) / self.count)
+        self.values = values
+        self.x = np.where(self.seen, values - self.shift, 0.0)
+        self.squares = self.x**2
+
+
+def _own_moments(a: _Tile, i: np.ndarray, b: _Tile, j: int) -> np.ndarray:
+    """(5, columns): both means, both squared deviations and the co-deviation of columns ``i`` with column ``j``, around their own means."""
+    rows = b.seen[:, j]
+    both = a.seen[rows][:, i]
+    n = np.maximum(both.sum(0), 1)
+    out = []
+    for values in (a.values[rows][:, i], np.broadcast_to(b.values[rows, j, None], both.shape)):
+        low, high = np.where(both, values, np.inf).min(0, initial=np.inf), np.where(both, values, -np.inf).max(0, initial=-np.inf)
         # A mean of equal values may miss them by a rounding error.
-        ma, mb = (v[0] if v.min() == v.max() else v.mean() for v in (a, b))
-        mean[i, j], mean[j, i] = ma, mb
-        square[i, j], square[j, i] = ((a - ma) ** 2).sum(), ((b - mb) ** 2).sum()
-        cross[i, j] = cross[j, i] = ((a - ma) * (b - mb)).sum()
-    return np.stack([n, mean, mean.T, square, square.T, cross])
+        mean = np.where(low >= high, np.where(np.isfinite(low), low, 0.0), np.where(both, values, 0.0).sum(0) / n)
+        out.append((mean, np.where(both, values - mean, 0.0)))
+    (ma, da), (mb, db) = out
+    return np.stack([ma, mb, (da**2).sum(0), (db**2).sum(0), (da * db).sum(0)])
+
+
+def _tile_moments(a: _Tile, b: _Tile) -> np.ndarray:
+    """Rows shared by each pair of a column of ``a`` and one of ``b``: count, both means, both squared deviations, co-deviation.
+
+    Masked matrix products of shifted values are exact enough for most pairs. Where they cancel, because
+    the shared rows lie far from the column's shift next to their own spread, the pairs of a column are
+    computed around their own means, together. Constant columns have nothing to cancel.
+    """
+    n = a.there.T @ b.there
+    count = np.maximum(n, 1)
+    sx, sxx = a.x.T @ b.there, a.squares.T @ b.there
+    sy, syy = a.there.T @ b.x, a.there.T @ b.squares
+    mx, my = sx / count, sy / count
+    square, other, cross = sxx - sx * mx, syy - sy * my, a.x.T @ b.x - sx * my
+    out = np.stack([n, mx + a.shift[:, None], my + b.shift, square, other, cross])
+    doubtful = (n > 0) & (((square <= CANCELLED * sxx) & (sxx > 0)) | ((other <= CANCELLED * syy) & (syy > 0)))
+    for j in np.flatnonzero(doubtful.any(0)).tolist():
+        i = np.flatnonzero(doubtful[:, j])
+        out[1:, i, j] = _own_moments(a, i, b, j)
+    return out
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,27 +114,48 @@ def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     ])
 
 
+def tile_groups(width: int, tile: int = COLUMN_BLOCK, pairs: int = TILE_PAIRS) -> list[list[tuple[int, int]]]:
+    """Pairs of column tiles that one pass over the rows computes: squares of tiles, so that few columns are read for many pairs."""
+    tiles = -(-width // tile)
+    side = max(1, int(pairs**0.5))
+    groups = []
+    for i in range(0, tiles, side):
+        for j in range(i, tiles, side):
+            own = [(a, b) for a in range(i, min(i + side, tiles)) for b in range(j, min(j + side, tiles)) if a <= b]
+            groups.append(own)
+    return groups
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(left_pos, right_pos, left, right, corr)`` for every pair in column order.
 
     Rows where either column is null are left out of that pair; the result is
-    null if either column is constant over the shared rows. Each task merges the
-    centred moments of its batches and sends one packed row for each pair of
-    column blocks; the tasks' rows of a block pair are merged as they stream in.
+    null if either column is constant over the shared rows. Columns form tiles. A
+    task owns a bounded group of tile pairs and a range of rows, reads the columns of
+    these tiles only, merges the centred moments of its batches and sends one packed
+    row for each tile pair; the tasks' rows of a pair are merged as they stream in.
     """
     width = len(columns)
     edges = [(at, min(at + COLUMN_BLOCK, width)) for at in range(0, width, COLUMN_BLOCK)]
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            values = batch.to_numpy(dtype="float64")
-            for at in range(0, len(values), BATCH_ROWS):
-                part = _pair_moments(values[at : at + BATCH_ROWS])
-                total = part if total is None else _merged(total, part)
-        if total is not None:
-            packed = [(i, j, total[:, a:b, c:d].tobytes()) for i, (a, b) in enumerate(edges) for j, (c, d) in enumerate(edges) if i <= j]
-            yield pd.DataFrame(packed, columns=["block", "other", "packed"])
+    def moments_of(group: list[tuple[int, int]], tiles: list[int]):
+        place, sizes = {t: k for k, t in enumerate(tiles)}, np.cumsum([0, *[edges[t][1] - edges[t][0] for t in tiles]])
+
+        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[tuple[int, int], np.ndarray] = {}
+            step = max(BATCH_CELLS // int(sizes[-1]), 64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    rows = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns]
+                    made = [_Tile(np.stack(rows[a:b], 1).astype("float64")) for a, b in zip(sizes[:-1], sizes[1:])]
+                    for pair in group:
+                        part = _tile_moments(made[place[pair[0]]], made[place[pair[1]]])
+                        totals[pair] = part if pair not in totals else _merged(totals[pair], part)
+            for (i, j), total in totals.items():
+                columns = [pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([total.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "other", "packed"])
+
+        return moments
 
     def correlations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, total = None, None
@@ -129,9 +177,15 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         corr = np.divide(total[5][own], spread, out=np.full(own.sum(), np.nan), where=spread > 0)
         return pd.DataFrame({"left_pos": left[own].astype("int32"), "right_pos": right[own].astype("int32"), "corr": corr})
 
-    doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    parts = doubles.mapInPandas(moments, "block int, other int, packed binary")
-    dealt = parts.repartition(max(len(edges), 1), "block", "other").sortWithinPartitions("block", "other")
+    parts = []
+    for group in tile_groups(width):
+        tiles = sorted({t for pair in group for t in pair})
+        read = [columns[c] for t in tiles for c in range(*edges[t])]
+        doubles = df.select([F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(read)])
+        parts.append(doubles.mapInArrow(moments_of(group, tiles), "block int, other int, packed binary"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "left_pos int, right_pos int, left string, right string, corr double")
+    dealt = reduce(DataFrame.unionByName, parts).repartition(max(len(edges), 1), "block", "other").sortWithinPartitions("block", "other")
     found = dealt.mapInPandas(correlations, "left_pos int, right_pos int, corr double")
     names = F.array(*[F.lit(c) for c in columns])
     return found.select(

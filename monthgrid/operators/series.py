@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import positive_flag, safe_ratio
+from .scans import smoothed
 
 Keys = Sequence[str]
 
@@ -61,31 +62,6 @@ def add_rolling(
     return df.withColumns(new)
 
 
-def _smoothed(rows: Column, column: str, alpha: float) -> Column:
-    """Ordered fold over one series; a gap lowers the weight of what came before."""
-    empty = F.struct(
-        F.lit(None).cast("double").alias("mean"),
-        F.lit(1.0).alias("weight"),
-        F.array().cast("array<double>").alias("out"),
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        x, mean = row[column].cast("double"), state["mean"]
-        kept = state["weight"] * F.lit(1.0 - alpha)
-        blended = (kept * mean + F.lit(alpha) * x) / (kept + F.lit(alpha))
-        new_mean = F.when(x.isNull() | (x == mean), mean).when(mean.isNull(), x).otherwise(blended)
-        new_weight = F.when(x.isNotNull(), F.lit(1.0)).when(mean.isNull(), state["weight"]).otherwise(kept)
-        # The mean before this row is appended, so each step computes its mean once.
-        return F.struct(
-            new_mean.alias("mean"), new_weight.alias("weight"), F.concat(state["out"], F.array(mean)).alias("out")
-        )
-
-    def finish(state: Column) -> Column:
-        return F.concat(F.slice(state["out"], F.lit(2), F.size(state["out"])), F.array(state["mean"]))
-
-    return F.aggregate(rows, empty, step, finish)
-
-
 def add_ewm(
     df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, point: str = ".",
 ) -> DataFrame:
@@ -94,21 +70,11 @@ def add_ewm(
     ``point`` replaces the decimal point in the names, for stages that cannot
     take a dotted column.
 
-    Missing values carry the mean forward and decay its weight. The ordered rows
-    of a series are folded in the JVM.
+    Missing values carry the mean forward and decay its weight. A series may be
+    of any length: it is scanned in fragments (see ``scans``).
     """
     names = {(c, a): f"{c}_ewm_alpha{str(a).replace('.', point)}" for c in columns for a in alphas}
-    others = [c for c in df.columns if c not in keys and c != order]
-    rows = F.sort_array(F.collect_list(F.struct(order, *others)))
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
-    folded = grouped.withColumns({f"_f{i}": _smoothed(F.col("_rows"), c, a) for i, (c, a) in enumerate(names)})
-    zipped = F.arrays_zip("_rows", *[f"_f{i}" for i in range(len(names))])
-    return folded.select(*keys, F.explode(zipped).alias("_z")).select(
-        *keys,
-        F.col(f"_z._rows.{order}").alias(order),
-        *[F.col(f"_z._rows.{c}").alias(c) for c in others],
-        *[F.col(f"_z._f{i}").alias(name) for i, name in enumerate(names.values())],
-    )
+    return smoothed(df, names, keys, order) if names else df
 
 
 def add_interpolation(df: DataFrame, columns: Sequence[str], keys: Keys, order: str, suffix: str = "_interp") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -330,6 +331,46 @@ def test_correlation_does_not_depend_on_the_width(spark, width):
     assert pairs.count() == width * (width - 1) // 2
 
 
+def test_correlation_of_600_columns_with_200_constant_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(300, 600)) * rng.choice([1e-1, 1, 1e6], 600) + rng.choice([0, 1e7], 600)
+    data[:, 100:300] = rng.choice([0.0, 1.0, 0.1], 200)
+    data[rng.random(data.shape) < 0.1] = np.nan
+    data[:, 7] = np.where(np.isnan(data[:, 8]), rng.normal(size=300), 3.3)  # constant on the rows that both have
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(600)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in pdf.columns)).repartition(3)
+    monkeypatch.setattr(sr, "BATCH_CELLS", 600 * 70)
+    got = np.full((600, 600), np.nan)
+    pairs = sr.correlation_pairs(df, list(pdf.columns)).toPandas()
+    assert len(pairs) == 600 * 599 // 2
+    got[pairs.left_pos, pairs.right_pos] = pairs["corr"]
+    upper = np.triu_indices(600, 1)
+    small = np.triu_indices(90, 1)
+    own = pdf.iloc[:, :90].corr().to_numpy()[small]
+    flat = [k for k, (i, j) in enumerate(zip(*small)) if (i, j) != (7, 8)]
+    np.testing.assert_allclose(got[:90, :90][small][flat], own[flat], atol=1e-6)
+    assert np.isnan(got[7, 8])
+    assert np.isnan(got[:, 100:300][:100]).all() and not np.isnan(got[:100, 300:]).any() and not np.isnan(got[upper]).all()
+
+
+def test_tiles_cover_every_pair_once_and_constants_cost_nothing():
+    for width in (0, 1, 64, 65, 600, 4000):
+        for held in (1, 4, 256):
+            pairs = [p for g in sr.tile_groups(width, pairs=held) for p in g]
+            tiles = -(-width // 64)
+            assert sorted(pairs) == [(i, j) for i in range(tiles) for j in range(i, tiles)]
+            assert all(len(g) <= held for g in sr.tile_groups(width, pairs=held))
+    rng, took = np.random.default_rng(3), []
+    data = rng.normal(size=(4096, 64))
+    for constant in (0, 40):
+        data[:, :constant] = 0.1
+        start = time.process_time()
+        for _ in range(5):
+            sr._tile_moments(sr._Tile(data), sr._Tile(data))
+        took.append(time.process_time() - start)
+    assert took[1] < 3 * took[0] + 0.1
+
+
 def test_blend_and_search(spark):
     wide = spark.createDataFrame([(10.0, 8.0, 14.0), (20.0, 18.0, 24.0), (30.0, None, 1.0)], "y_true double, pred_a double, pred_b double")
     blends = [r[0] for r in wide.select(bl.blended(["a", "b"], [0.75, 0.25])).collect()]
