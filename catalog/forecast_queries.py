@@ -129,6 +129,41 @@ def fold_target_encode(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fo.encode(valid, means, KEY, "sector_te", 0.0, by=["fold"]), ["sector_te"])
 
 
+@query(
+    "oof_target_encode",
+    f"""
+, t AS (SELECT sector_id, panel_month, round(amount * 100)::BIGINT AS cents, (year(panel_month) * 12 + month(panel_month)) % 5 AS part
+        FROM cells WHERE panel_month <= DATE '{fx.TRAIN_END}' AND amount IS NOT NULL)
+SELECT sector_id, panel_month,
+       COALESCE((SUM(cents) OVER c - SUM(cents) OVER p)::DOUBLE / NULLIF(COUNT(cents) OVER c - COUNT(cents) OVER p, 0), 0.0) AS sector_te
+FROM t WINDOW c AS (PARTITION BY sector_id), p AS (PARTITION BY sector_id, part)""",
+    ("cells",),
+)
+def oof_target_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Each training row's sector mean without the months of its own part. Whole cents, so that both engines start alike."""
+    rows = fo.training_rows(fx.cells(spark, d), fx.TRAIN_END, "amount").select(KEY, MONTH, fx.cents("amount").cast("double").alias("cents"))
+    return fo.encode_out_of_fold(rows, KEY, "cents", "sector_te", 0.0).drop("cents")
+
+
+@query(
+    "target_rules",
+    """
+, t AS (SELECT sector_id, panel_month, amount - 150000 AS x FROM cells)
+SELECT sector_id, panel_month, ROUND(ln(greatest(x, 0.0) + 0.001::DOUBLE), 9) AS log_label, ROUND(greatest(x, 0.0), 3) AS log_forecast,
+       ROUND(ln(greatest(x, 0.0) + 1), 9) AS wide_label, x AS plain_label, x AS plain_forecast, greatest(x, 10.0) AS limited_forecast FROM t""",
+    ("cells",),
+)
+def target_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What the learners are fitted on and how forecasts are read back, by logarithm or plain, limited or not."""
+    log, wide, plain, limited = le.TargetRule(), le.TargetRule(epsilon=1.0), le.TargetRule(log=False, minimum=None), le.TargetRule(log=False, minimum=10.0)
+    rows = fx.cells(spark, d).select(KEY, MONTH, (F.col("amount") - 150000).alias("x"))
+    rows = rows.select(KEY, MONTH, log.label("x").alias("log_label"), wide.label("x").alias("wide_label"), plain.label("x").alias("plain_label"))
+    read = rows.withColumns({
+        "log_forecast": log.forecast("log_label"), "plain_forecast": plain.forecast("plain_label"), "limited_forecast": limited.forecast("plain_label"),
+    })
+    return rounded(rounded(read, ["log_label", "wide_label"], 9), ["log_forecast"], 3)
+
+
 # --- errors and scores -----------------------------------------------------
 
 
@@ -346,21 +381,70 @@ def ensemble_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bl.candidate_scores(wide, MODELS, STEPS), ["score", "bad_ratio"])
 
 
-@query("weight_search", "SELECT TRUE AS weights_sum_to_one, TRUE AS at_least_uniform, TRUE AS at_least_each_model, TRUE AS at_least_grid")
+@query("weight_search", "SELECT TRUE AS weights_sum_to_one, TRUE AS at_least_uniform, TRUE AS at_least_each_model, TRUE AS at_least_grid, TRUE AS no_better_line")
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
     """The searched weights against equal weights, every single model and the plain grid."""
     wide = materialize(bl.merge_predictions(fx.predictions(spark, d), MODELS), "wide_predictions")
-    weights, score = bl.search_weights(wide, MODELS, STEPS)
+    weights, score = bl.search_weights(wide, MODELS, STEPS, line_rounds=20)
     single = np.eye(len(MODELS), dtype="int64")
     alone = bl.best_candidate(bl.share_scores(wide, MODELS, single, 1), MODELS).first()["score"]
     coarse = bl.best_candidate(bl.candidate_scores(wide, MODELS, 4), MODELS).first()["score"]
     equal = bl.uniform_score(wide, MODELS).first()[0]
-    row = (abs(sum(weights.values()) - 1) < 1e-9, score >= equal, score >= alone, score >= coarse)
+    lines = bl.line_optima(wide, MODELS, list(weights.values())).agg(F.max("score")).first()[0]
+    row = (abs(sum(weights.values()) - 1) < 1e-9, score >= equal, score >= alone, score >= coarse, lines <= score + 1e-8)
     return spark.createDataFrame(
-        [row], "weights_sum_to_one boolean, at_least_uniform boolean, at_least_each_model boolean, at_least_grid boolean"
+        [row], "weights_sum_to_one boolean, at_least_uniform boolean, at_least_each_model boolean, at_least_grid boolean, no_better_line boolean"
     )
 
 
+START = [0.5, 0.3, 0.2]
+_LINES = [(x, y) for x in range(3) for y in range(x + 1, 3)]
+_LINE_ROWS = " UNION ALL ".join(
+    f"SELECT '{MODELS[x]}' AS raised, '{MODELS[y]}' AS lowered, (pred_{MODELS[x]} - pred_{MODELS[y]}) / s AS g, r, "
+    f"CAST(-{START[x]} AS DOUBLE) AS lo, CAST({START[y]} AS DOUBLE) AS hi FROM scaled"
+    for x, y in _LINES
+)
+_LINE_SQL = f"""
+, scaled AS (
+  SELECT *, ({" + ".join(f"CAST({w} AS DOUBLE) * pred_{m}" for w, m in zip(START, MODELS))} - y_true) / s AS r
+  FROM (SELECT *, CASE WHEN y_true = 0 THEN 1.0::DOUBLE ELSE abs(y_true) END AS s FROM wide_predictions)),
+lines AS (SELECT *, abs(g) AS b, sign(g) * r AS a FROM ({_LINE_ROWS})),
+alive AS (SELECT * FROM lines WHERE CASE WHEN g = 0 THEN abs(r) <= 1 ELSE (1 - a) / b >= lo AND (-1 - a) / b <= hi END),
+changes AS (
+  SELECT raised, lowered, hi, CASE WHEN g = 0 THEN lo ELSE greatest((-1 - a) / b, lo) END AS t, 1.0::DOUBLE AS n1,
+         CASE WHEN g = 0 THEN abs(r) ELSE -a END AS a1, -b AS b1, 0.0::DOUBLE AS n2, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS b2 FROM alive
+  UNION ALL SELECT raised, lowered, hi, greatest(-a / b, lo), 0, 2 * a, 2 * b, 0, 0, 0 FROM alive WHERE g <> 0
+  UNION ALL SELECT raised, lowered, hi, (1 - a) / b, 0, 0, 0, 1, a, b FROM alive WHERE g <> 0
+  UNION ALL SELECT raised, lowered, hi, unnest([lo, hi]), 0, 0, 0, 0, 0, 0 FROM (SELECT DISTINCT raised, lowered, lo, hi FROM lines)),
+summed AS (SELECT raised, lowered, t, sum(n1) AS n1, sum(a1) AS a1, sum(b1) AS b1, sum(n2) AS n2, sum(a2) AS a2, sum(b2) AS b2
+           FROM changes WHERE t <= hi GROUP BY raised, lowered, t),
+sides AS (
+  SELECT raised, lowered, t, side, sum(n1) OVER u - CASE WHEN side < 0 THEN n1 ELSE 0 END - sum(n2) OVER u + CASE WHEN side > 0 THEN 0 ELSE n2 END AS good,
+         sum(a1) OVER u - CASE WHEN side < 0 THEN a1 ELSE 0 END - sum(a2) OVER u + CASE WHEN side > 0 THEN 0 ELSE a2 END AS a,
+         sum(b1) OVER u - CASE WHEN side < 0 THEN b1 ELSE 0 END - sum(b2) OVER u + CASE WHEN side > 0 THEN 0 ELSE b2 END AS b,
+         min(t) OVER p AS lo, max(t) OVER p AS hi
+  FROM summed CROSS JOIN (VALUES (-1), (0), (1)) v(side)
+  WINDOW u AS (PARTITION BY raised, lowered, side ORDER BY t), p AS (PARTITION BY raised, lowered)),
+running AS (SELECT * FROM sides WHERE side = 0 OR (side < 0 AND t > lo) OR (side > 0 AND t < hi)),
+size AS (SELECT count(*) AS n FROM wide_predictions)
+SELECT raised, lowered, ROUND(max(CASE WHEN (n - good) / n > 0.3 OR good = 0 THEN 0.0
+                                       ELSE greatest(0.0, 1 - greatest(a + b * t, 0.0) / good / (good / n)) END), 6) AS score
+FROM running, size GROUP BY raised, lowered"""
+
+
+@query(
+    "line_search",
+    _LINE_SQL,
+    ("wide_predictions",),
+)
+def line_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best score that a shift of weight between two of the three models can reach, from the weights of START."""
+    wide = materialize(bl.merge_predictions(fx.predictions(spark, d), MODELS), "wide_predictions")
+    names = F.array(*[F.lit(m) for m in MODELS])
+    best = bl.line_optima(wide, MODELS, START)
+    return rounded(best.select(F.get(names, "x").alias("raised"), F.get(names, "y").alias("lowered"), "score"), ["score"])
+
+
 WEIGHTS = [0.41421356, 0.31415927, 0.27162717]
 
 

@@ -174,3 +174,28 @@ def encode(df: DataFrame, means: DataFrame, column: str, output: str, default: f
     return df.drop(output).join(table, [*by, column], "left").withColumn(
         output, F.coalesce(F.col(output), F.lit(float(default)))
     )
+
+
+def month_parts(parts: int) -> Column:
+    """Months dealt in turn to ``parts`` parts, so that whole months are left out together."""
+    return F.pmod(F.year(MONTH) * 12 + F.month(MONTH), F.lit(parts))
+
+
+def encode_out_of_fold(
+    df: DataFrame, column: str, target: str, output: str, default: float, parts: int = 5, part: Column | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Each row's category mean over the rows of all other parts; no row sees its own target.
+
+    Sums per category and part are made in one aggregate; all sums less a part's own give its complement,
+    which goes back to the rows in one join. ``part`` deals the rows, by default by month. Null categories
+    and those without a target in other parts get ``default``.
+    """
+    dealt = df.drop(output).withColumn("_part", month_parts(parts) if part is None else part)
+    sums = dealt.groupBy(*by, column, "_part").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    whole = Window.partitionBy(*by, column)
+    rest = F.sum("_n").over(whole) - F.col("_n")
+    # A sum of no value is null, not 0.
+    mean = (F.sum("_s").over(whole) - F.coalesce("_s", F.lit(0.0))) / F.when(rest > 0, rest)
+    table = sums.select(*by, column, "_part", mean.alias(output))
+    joined = dealt.join(table, [*by, column, "_part"], "left").drop("_part")
+    return joined.select(*[c for c in df.columns if c != output], F.coalesce(F.col(output), F.lit(float(default))).alias(output))

@@ -41,7 +41,8 @@ def forecast(
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(0.0))
     loaded = {m: PipelineModel.load(f"{model_dir}/{m}") for m in models}
-    scored = learners.score_horizon(rows, loaded, features)
+    rule = learners.TargetRule(*artefacts.read_rule(spark, f"{model_dir}/target_rule"))
+    scored = learners.score_horizon(rows, loaded, features, rule)
     kept = [c for c in (KEY, MONTH, "month_idx", "is_future_horizon") if c in scored.columns]
     out = scored.withColumn("pred_ensemble", blending.blended(models, weights, minimum)).select(
         *kept, *[f"pred_{m}" for m in models], "pred_ensemble"

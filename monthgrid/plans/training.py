@@ -40,9 +40,18 @@ def train(
     steps: int = 20,
     seed: int = 42,
     weight_bounds: tuple[float, float] = (0.0, 1.0),
+    rule: learners.TargetRule = learners.TargetRule(),
+    encoding: str = "in_fold",
+    trial_log: str | None = None,
+    data_version: str = "",
+    keep: float | None = None,
 ) -> TrainingResult:
     """Search each learner's settings on the folds, refit the best, weigh the blend.
 
+    ``rule`` says whether the target is fitted as a logarithm and how forecasts are limited; it is stored
+    with the models. ``encoding`` is ``in_fold``, ``out_of_fold`` or ``none``. ``trial_log``, ``data_version``
+    and ``keep`` make the search resumable and prune it (see ``learners.search``).
+
     ``settings`` maps a learner to the parameter settings to try. Models, the
     encoding, the features and the weights go to ``out_dir``, as do the trials, the
     validation predictions of the best trials, alone and blended, and the scores.
@@ -51,20 +60,29 @@ def train(
     rows = materialize(folds.training_rows(panel, train_end, target), "training_rows")
     usable = folds.usable_folds(rows, folds.numbered_folds(bounds), target, minimum_months)
     encoded = f"{KEY}_te"
-    features = artefacts.model_features(listed_features, target, encoded)
+    if encoding not in learners.ENCODINGS:
+        raise ValueError(f"unknown encoding {encoding!r}")
+    features = artefacts.model_features(listed_features, target, encoded if encoding != "none" else None)
     means = folds.category_means(rows, KEY, target)
     default = folds.encoding_default(rows, target, unknown)
     artefacts.write_encoding(means, default, f"{out_dir}/encoding")
-    full = folds.encode(rows, artefacts.read_encoding(spark, f"{out_dir}/encoding")[0], KEY, encoded, default)
+    artefacts.write_rule(spark, rule.log, rule.epsilon, rule.minimum, f"{out_dir}/target_rule")
+    if encoding == "out_of_fold":
+        full = folds.encode_out_of_fold(rows, KEY, target, encoded, default)
+    else:
+        full = folds.encode(rows, artefacts.read_encoding(spark, f"{out_dir}/encoding")[0], KEY, encoded, default)
     features = artefacts.numeric_features(full, features)
     histories, predictions = [], []
-    made = learners.fold_tables(rows, usable, target, decay, unknown=unknown)
+    made = learners.fold_tables(rows, usable, target, decay, unknown=unknown, encoding=encoding)
     for learner, tried in settings.items():
-        history = materialize(learners.search(rows, usable, learner, features, target, tried, decay, seed, unknown, made), "trials")
+        history = learners.search(
+            rows, usable, learner, features, target, tried, decay, seed, unknown, made, rule, encoding, trial_log, data_version, keep
+        )
+        history = materialize(history, "trials")
         best = tried[learners.best_trial(history).first().trial]
-        found = learners.fold_predictions(rows, usable, learner, features, target, best, decay, seed=seed, tables=made)
+        found = learners.fold_predictions(rows, usable, learner, features, target, best, decay, seed=seed, tables=made, rule=rule)
         predictions.append(materialize(found, "fold_predictions"))
-        learners.final_fit(full, learner, features, target, best, train_end, decay, f"{out_dir}/{learner}", seed)
+        learners.final_fit(full, learner, features, target, best, train_end, decay, f"{out_dir}/{learner}", seed, rule)
         histories.append(history.select(F.lit(learner).alias("model"), "*"))
     stacked, history = predictions[0], histories[0]
     for more, trials in zip(predictions[1:], histories[1:]):
@@ -74,7 +92,7 @@ def train(
     if wide.isEmpty():
         raise ValueError("no row has a prediction of every model")
     candidates = materialize(blending.candidate_scores(wide, models, steps, weight_bounds), "candidates")
-    weights, score = blending.search_weights(wide, models, steps, bounds=weight_bounds)
+    weights, score = blending.search_weights(wide, models, steps, bounds=weight_bounds, line_rounds=20)
     artefacts.write_weights(spark, models, list(weights.values()), f"{out_dir}/weights")
     artefacts.write_features(spark, features, f"{out_dir}/features")
     equal = blending.uniform_score(wide, models).first()[0]

@@ -41,6 +41,18 @@ def read_weights(spark: SparkSession, path: str) -> tuple[list[str], list[float]
     return [r.model for r in rows], [r.weight for r in rows]
 
 
+RULE = "log boolean, epsilon double, minimum double"
+
+
+def write_rule(spark: SparkSession, log: bool, epsilon: float, minimum: float | None, path: str) -> None:
+    """How the learners' target was made, which their forecasts have to undo."""
+    spark.createDataFrame([(log, float(epsilon), minimum)], RULE).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_rule(spark: SparkSession, path: str) -> tuple[bool, float, float | None]:
+    return tuple(spark.read.schema(RULE).parquet(path).first())
+
+
 def write_components(spark: SparkSession, columns: Sequence[str], shares: Sequence[float], loadings: Sequence[Sequence[float]], path: str) -> None:
     """``(component, variance_share, column, loading)``; bounded by the columns' number."""
     rows = [(i + 1, shares[i], c, v) for i, row in enumerate(loadings) for c, v in zip(columns, row)]
