@@ -18,6 +18,7 @@ tokens and chunks; malformed bytes become U+FFFD, one for each maximal part of a
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -35,8 +36,8 @@ from monthgrid.llm.common import Remembered
 
 MAX_STATES = 200_000
 MAX_WALKS = 400_000
-MAX_UNITS = 200_000
-MAX_PIECES = 200_000
+MAX_UNITS = 100_000
+MAX_PIECES = 100_000
 _ROOT = 0
 _NEVER = 1 << 60
 _STUCK = (-1, -1)
@@ -103,10 +104,11 @@ class Transducer:
         self.start = self._state((self._walk(-1, _ROOT),))
 
     def _walk(self, last: int, node: int) -> int:
-        number = self.walk_numbers.get((last, node))
+        walk = last, node
+        number = self.walk_numbers.get(walk)
         if number is None:
-            number = self.walk_numbers[last, node] = len(self.walk_at)
-            self.walk_at.append((last, node))
+            number = self.walk_numbers[walk] = len(self.walk_at)
+            self.walk_at.append(walk)
         return number
 
     def _state(self, walks: tuple[int, ...]) -> int:
@@ -382,6 +384,10 @@ def encode(docs: DataFrame, id_cols: list[str], ranks_path: str, pattern: str, t
                     columns.append(pa.array(_decode([np.frombuffer(x, np.int32) for x in ids], ranks_path), pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        # Workers outlive their tasks; idle ones should not keep the tables.
+        del encoder
+        _encoder.cache_clear()
+        gc.collect()
 
     out = [*[rows.schema[c] for c in id_cols], StructField("ids", ArrayType(IntegerType()))]
     return rows.mapInArrow(run, StructType(out + [StructField("decoded", StringType())] * decoded))
