@@ -731,15 +731,92 @@ def _complete_statics(spark: SparkSession, d: str) -> DataFrame:
     return materialize(st.cluster_imputed(df, fx.STATIC_COLUMNS, "given_cluster"), "statics_complete")
 
 
-@query("static_clusters", "SELECT COUNT(*) AS sectors, COUNT(*) AS labelled, least(4, COUNT(*)) AS clusters FROM statics", ("statics",))
+# Clusters in SQL: farthest points first, then rounds of assigning and averaging, one subquery each.
+_X = [f"x{i}" for i in range(len(fx.STATIC_COLUMNS))]
+_GAP = " + ".join(f"(z.{x} - c.{x}) * (z.{x} - c.{x})" for x in _X)
+
+
+def _listed(form: str) -> str:
+    return ", ".join(form.format(x=x, c=c) for x, c in zip(_X, fx.STATIC_COLUMNS))
+
+
+def _scaled_sql(name: str, rows: str) -> str:
+    """Columns of ``rows`` scaled by the moments of its seen rows."""
+    return f"""{name}_moments AS (SELECT {_listed("avg({c}) FILTER (seen) AS m_{x}, COALESCE(NULLIF(stddev_pop({c}) FILTER (seen), 0), 1) AS d_{x}")} FROM {rows}),
+{name} AS MATERIALIZED (SELECT sector_id, seen, {_listed("({c} - m_{x}) / d_{x} AS {x}")} FROM {rows}, {name}_moments),
+"""
+
+
+def _clusters_sql(seen: str, k: int = 4, rounds: int = st.ROUNDS) -> str:
+    """``labels(sector_id, seen, k, gap)``, of centres fitted on the rows where ``seen`` holds."""
+    first = " + ".join(f"{x} * {x}" for x in _X)
+    text = f""", medians AS (SELECT {_listed("median({c}) AS {c}")} FROM statics WHERE {seen}),
+whole AS (SELECT s.sector_id, {seen} AS seen, {_listed("COALESCE(s.{c}, m.{c}) AS {c}")} FROM statics s, medians m),
+{_scaled_sql("z", "whole")}
+c_1 AS MATERIALIZED (SELECT 0 AS k, {_listed("{x}")} FROM z WHERE seen ORDER BY {first} DESC, sector_id LIMIT 1),
+"""
+    for i in range(1, k):
+        text += f"""c_{i + 1} AS MATERIALIZED (SELECT * FROM c_{i} UNION ALL (
+  SELECT {i}, {_listed("z.{x}")} FROM z, c_{i} c WHERE seen GROUP BY z.sector_id, {_listed("z.{x}")} ORDER BY MIN({_GAP}) DESC, z.sector_id LIMIT 1)),
+"""
+    nearest = f"SELECT z.*, c.k, {_GAP} AS gap FROM z, {{centres}} c QUALIFY ROW_NUMBER() OVER (PARTITION BY sector_id ORDER BY gap, c.k) = 1"
+    for i in range(k, k + rounds):
+        text += f"""c_{i + 1} AS MATERIALIZED (SELECT c.k, {_listed("COALESCE(avg(l.{x}), any_value(c.{x})) AS {x}")}
+  FROM c_{i} c LEFT JOIN ({nearest.format(centres=f"c_{i}")}) l ON l.k = c.k AND l.seen GROUP BY c.k),
+"""
+    return text + f"""centres AS MATERIALIZED (SELECT (ROW_NUMBER() OVER (ORDER BY {_listed("{x}")}) - 1)::INTEGER AS k, {_listed("{x}")} FROM c_{k + rounds}),
+labels AS MATERIALIZED ({nearest.format(centres="centres")})"""
+
+
+@query(
+    "static_clusters",
+    _clusters_sql("TRUE") + """
+SELECT sector_id, k AS poi_cluster_id, ROUND(gap, 6) AS gap, ROUND(SUM(gap) OVER (), 3) AS cost FROM labels
+""",
+    ("statics",),
+)
 def static_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters on the filled, scaled columns: every sector has one of at most four."""
-    out = st.add_clusters(materialize(fx.statics(spark, d), "statics"), fx.STATIC_COLUMNS)
-    return out.agg(
-        F.count(F.lit(1)).alias("sectors"),
-        F.count("poi_cluster_id").alias("labelled"),
-        F.count_distinct("poi_cluster_id").alias("clusters"),
-    )
+    """Each sector's cluster on the filled, scaled columns, its squared distance, and their sum."""
+    df = materialize(fx.statics(spark, d), "statics")
+    out = st.with_clusters(df, st.fit_clusters(df, fx.STATIC_COLUMNS), distance="gap")
+    cost = out.agg(F.round(F.sum("gap"), 3)).first()[0]
+    return out.select(KEY, "poi_cluster_id", F.round("gap", 6).alias("gap"), F.lit(cost).cast("double").alias("cost"))
+
+
+_STATIC_RATIOS = {
+    "poi_shop_per_capita": ("poi_number_of_shops", "poi_resident_population"),
+    "poi_catering_share": ("poi_catering", "poi_number_of_shops"),
+}
+
+
+@query(
+    "static_model",
+    _clusters_sql("given_cluster <> 0") + f""",
+cluster_medians AS (SELECT l.k, {_listed("median(s.{c}) AS {c}")} FROM statics s JOIN labels l USING (sector_id) WHERE l.seen GROUP BY l.k),
+complete AS (SELECT s.sector_id, l.seen, l.k, {_listed("COALESCE(s.{c}, g.{c}, m.{c}) AS {c}")},
+  ({" OR ".join(f"s.{c} IS NULL" for c in fx.STATIC_COLUMNS)})::INTEGER AS imputed_poi_flag
+  FROM statics s JOIN labels l USING (sector_id) LEFT JOIN cluster_medians g ON g.k = l.k CROSS JOIN medians m),
+{_scaled_sql("v", "complete")}
+done AS (SELECT * FROM complete JOIN v USING (sector_id))
+SELECT sector_id, k AS poi_cluster_id, imputed_poi_flag, ROUND(poi_number_of_shops / NULLIF(poi_resident_population, 0), 6) AS poi_shop_per_capita,
+       ROUND(poi_catering / NULLIF(poi_number_of_shops, 0), 6) AS poi_catering_share, ROUND({" + ".join(f"{x} * {x}" for x in _X)}, 5) AS squared_length
+FROM done
+""",
+    ("statics",),
+)
+def static_model(spark: SparkSession, d: str) -> DataFrame:
+    """The stored transform, fitted on the sectors of three groups, read back and applied to those of all four.
+
+    All components are kept, so they are a rotation of the scaled columns and their squares add up to the same.
+    """
+    df = materialize(fx.statics(spark, d), "statics")
+    path = scratch_path(spark, "static_model")
+    model = st.fit_static_model(df.where("given_cluster <> 0"), fx.STATIC_COLUMNS, count=len(fx.STATIC_COLUMNS))
+    ar.write_static_model(spark, model, path)
+    out = st.apply_static_model(df, ar.read_static_model(spark, path), _STATIC_RATIOS)
+    length = sum((F.pow(f"poi_pca_component_{i + 1}", F.lit(2)) for i in range(len(fx.STATIC_COLUMNS))), F.lit(0.0))
+    out = rounded(out, _STATIC_RATIOS).withColumn("squared_length", F.round(length, 5))
+    return out.select(KEY, "poi_cluster_id", "imputed_poi_flag", *_STATIC_RATIOS, "squared_length")
 
 
 @query(

@@ -139,12 +139,12 @@ def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions, out_di
     if not kept:
         return grid.add_missing_flags(table, columns).drop(*sparse)
     flagged = grid.add_missing_flags(table, columns).drop(*sparse)
-    labelled = materialize(statics.add_clusters(flagged, kept, options.static_clusters, options.seed), "static_clusters")
-    filled = statics.cluster_imputed(labelled, kept)
-    filled = materialize(series.add_ratios(filled, options.static_ratios), "static_filled")
-    out, shares, loadings = statics.components(filled, kept, options.static_components)
+    model = statics.fit_static_model(flagged, kept, options.static_clusters, options.static_components)
     if out_dir:
-        artefacts.write_components(poi.sparkSession, kept, shares, loadings, f"{out_dir}/static_components")
+        spark = poi.sparkSession
+        artefacts.write_components(spark, kept, model.components.shares, model.components.loadings, f"{out_dir}/static_components")
+        artefacts.write_static_model(spark, model, f"{out_dir}/static_model")
+    out = statics.apply_static_model(flagged, model, options.static_ratios)
     return materialize(out, "static_features")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.statics import ClusterModel, ComponentModel, StaticModel
+
 
 def write_sector_index(index: DataFrame, path: str) -> None:
     """``(sector_label, sector_id)`` in order of the id."""
@@ -60,6 +62,44 @@ def write_components(spark: SparkSession, columns: Sequence[str], shares: Sequen
     table.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+#: A number of a stored static model: by part, cluster or component (``row``) and column, in order.
+STATIC_MODEL = "part string, row int, position int, column string, value double"
+
+
+def write_static_model(spark: SparkSession, model: StaticModel, path: str) -> None:
+    """One row for each number of the model; bounded by the columns' number times that of clusters and components."""
+    clusters, parts = model.clusters, model.components
+    lists = {"median": clusters.medians, "mean": clusters.means, "deviation": clusters.deviations,
+             "filled_mean": parts.means, "filled_deviation": parts.deviations}
+    grids = {"centre": clusters.centres, "cluster_median": model.cluster_medians, "loading": parts.loadings}
+    grids |= {name: [values] for name, values in lists.items()}
+    rows = [
+        (part, i, j, column, value)
+        for part, grid in grids.items() for i, values in enumerate(grid)
+        for j, (column, value) in enumerate(zip(clusters.columns, values, strict=True))
+    ]
+    rows += [("share", i, 0, None, value) for i, value in enumerate(parts.shares)]
+    spark.createDataFrame(rows, STATIC_MODEL).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_static_model(spark: SparkSession, path: str) -> StaticModel:
+    """The model as it was written, number for number."""
+    found: dict[str, list[list]] = {}
+    columns = []
+    for r in spark.read.schema(STATIC_MODEL).parquet(path).orderBy("part", "row", "position").collect():
+        grid = found.setdefault(r.part, [])
+        if r.row == len(grid):
+            grid.append([])
+        grid[r.row].append(r.value)
+        if r.part == "median":
+            columns.append(r.column)
+    single = {part: grid[0] for part, grid in found.items() if grid}
+    shares = [values[0] for values in found["share"]]
+    clusters = ClusterModel(columns, single["median"], single["mean"], single["deviation"], found["centre"])
+    parts = ComponentModel(columns, single["filled_mean"], single["filled_deviation"], shares, found["loading"])
+    return StaticModel(clusters, found["cluster_median"], parts)
+
+
 def write_features(spark: SparkSession, features: Sequence[str], path: str) -> None:
     """One feature name per line, in order."""
     spark.createDataFrame([(f,) for f in features], "value string").coalesce(1).write.mode("overwrite").text(path)

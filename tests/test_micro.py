@@ -512,3 +512,54 @@ def test_selection_ranks(spark):
     table = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.0), ("d", 1.0)], "feature string, importance double")
     assert [r.feature for r in sr.select_features(table, 1, 0.8, ["y"]).collect()] == ["a", "b", "y"]
     assert [r.feature for r in sr.select_features(table, 3, 0.5, ["a"]).collect()] == ["a", "b", "c"]
+
+
+def _static_rows(spark):
+    rng = np.random.default_rng(5)
+    middles = np.array([[0.0, 0.0, 0.0], [8.0, 0.0, 3.0], [0.0, 9.0, -3.0], [9.0, 9.0, 0.0]])
+    cells = middles[np.arange(60) % 4] + rng.normal(0, 0.4, (60, 3))
+    rows = [(i, *[None if (i * 7 + j) % 11 == 0 else float(v) for j, v in enumerate(row)], i) for i, row in enumerate(cells)]
+    return spark.createDataFrame(rows, "sector_id bigint, a double, b double, c double, x0 int")
+
+
+def test_clusters_are_the_same_in_any_order(spark):
+    df = _static_rows(spark)
+    model = st.fit_clusters(df, ["a", "b", "c"])
+    again = st.fit_clusters(df.repartition(7).orderBy(F.desc("sector_id")), ["a", "b", "c"])
+    assert np.allclose(model.centres, again.centres, atol=1e-12) and model.centres == sorted(model.centres)
+    complete = st.with_clusters(df.na.drop(), model, "label").collect()
+    # The four planted groups are found: a group has one label and each label one group.
+    assert len({(r.sector_id % 4, r.label) for r in complete}) == 4
+    assert {r.x0 == r.sector_id for r in complete} == {True}
+
+
+def test_clusters_of_few_equal_and_no_rows(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(9)] + [(9, 4.0, 2.0)], "sector_id bigint, a double, b double")
+    model = st.fit_clusters(same, ["a", "b"])
+    assert len(model.centres) == 2
+    assert [r.poi_cluster_id for r in st.with_clusters(same, model).orderBy("sector_id").collect()] == [0] * 9 + [1]
+    empty = st.fit_clusters(same.limit(0), ["a", "b"])
+    assert empty.centres == [[0.0, 0.0]] and st.with_clusters(same, empty).where("poi_cluster_id = 0").count() == 10
+
+
+def test_static_model_is_stored_and_applied(spark, tmp_path):
+    df, columns = _static_rows(spark), ["a", "b", "c"]
+    model = st.fit_static_model(df, columns, count=2)
+    ar.write_static_model(spark, model, str(tmp_path / "model"))
+    stored = ar.read_static_model(spark, str(tmp_path / "model"))
+    assert stored == model
+    ratios = {"a_by_b": ("a", "b")}
+    steps = st.cluster_imputed(st.add_clusters(df, columns), columns)
+    want, _, _ = st.components(se.add_ratios(steps, ratios), columns, 2)
+    got = st.apply_static_model(df, stored, ratios)
+    assert set(got.columns) == set(want.columns)
+    order = ["sector_id", "poi_cluster_id", "imputed_poi_flag", "x0", "a_by_b", "poi_pca_component_1", "poi_pca_component_2"]
+    pairs = zip(got.select(order).orderBy("sector_id").collect(), want.select(order).orderBy("sector_id").collect(), strict=True)
+    assert all(np.allclose(g, w, atol=1e-9) for g, w in pairs)
+    # A sector not seen before and without any value gets all columns; one row alone gets what it got among others.
+    lone = spark.createDataFrame([(99, None, None, None, 0)], df.schema)
+    row = st.apply_static_model(lone, stored).first()
+    assert row.imputed_poi_flag == 1 and row.poi_pca_component_1 is not None
+    one = st.apply_static_model(df.where("sector_id = 11"), stored).first()
+    assert one == st.apply_static_model(df, stored).where("sector_id = 11").first()
+    assert st.apply_static_model(df.limit(0), stored).count() == 0
