@@ -18,7 +18,6 @@ tokens and chunks; malformed bytes become U+FFFD, one for each maximal part of a
 from __future__ import annotations
 
 import base64
-import gc
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -36,8 +35,8 @@ from monthgrid.llm.common import Remembered
 
 MAX_STATES = 200_000
 MAX_WALKS = 400_000
-MAX_UNITS = 100_000
-MAX_PIECES = 100_000
+MAX_UNITS = 200_000
+MAX_PIECES = 200_000
 _ROOT = 0
 _NEVER = 1 << 60
 _STUCK = (-1, -1)
@@ -384,10 +383,6 @@ def encode(docs: DataFrame, id_cols: list[str], ranks_path: str, pattern: str, t
                     columns.append(pa.array(_decode([np.frombuffer(x, np.int32) for x in ids], ranks_path), pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
-        # Workers outlive their tasks; idle ones should not keep the tables.
-        del encoder
-        _encoder.cache_clear()
-        gc.collect()
 
     out = [*[rows.schema[c] for c in id_cols], StructField("ids", ArrayType(IntegerType()))]
     return rows.mapInArrow(run, StructType(out + [StructField("decoded", StringType())] * decoded))
