@@ -66,7 +66,7 @@ def _ewm_step(a: float, m: str, w: str) -> str:
       CASE WHEN {x} IS NOT NULL THEN CAST(1 AS DOUBLE) WHEN {m} IS NULL THEN {w} ELSE {keep} END"""
 
 
-_EWM_SQL = f""", numbered AS (
+EWM_CTES = f""", numbered AS (
   SELECT *, row_number() OVER (PARTITION BY sector_id ORDER BY panel_month) AS pos FROM panel),
 folded AS (
   SELECT sector_id, panel_month, pos, amount AS m1, CAST(1 AS DOUBLE) AS w1, amount AS m2, CAST(1 AS DOUBLE) AS w2
@@ -74,7 +74,8 @@ folded AS (
   UNION ALL
   SELECT r.sector_id, r.panel_month, r.pos, {_ewm_step(0.3, "e.m1", "e.w1")}, {_ewm_step(0.5, "e.m2", "e.w2")}
   FROM folded e JOIN numbered r ON r.sector_id = e.sector_id AND r.pos = e.pos + 1)
-SELECT sector_id, panel_month, m1 AS "amount_ewm_alpha0.3", m2 AS "amount_ewm_alpha0.5" FROM folded"""
+"""
+_EWM_SQL = EWM_CTES + 'SELECT sector_id, panel_month, m1 AS "amount_ewm_alpha0.3", m2 AS "amount_ewm_alpha0.5" FROM folded'
 
 
 @query("ewm", _EWM_SQL, ("panel",))
