@@ -461,6 +461,30 @@ def search_pivot(spark: SparkSession, d: str) -> DataFrame:
     return ci.search_wide(sums, ci.pivot_columns(sums))
 
 
+# Texts of the test tables in other letters; two keywords become one.
+_SPELLING = {"click": "Visit", "view": "visit", "yi dong": "mobile"}
+_SPELT = [f"search_{k}_{s}" for k in ("error", "purchase", "signup", "visit") for s in ("mobile", "pc")]
+_SPELT_NAME = "'search_' || CASE WHEN keyword IN ('click', 'view') THEN 'visit' ELSE keyword END || CASE source WHEN 'yi dong' THEN '_mobile' ELSE '_pc' END"
+
+
+@query(
+    "search_spelling",
+    "SELECT panel_month, "
+    + ", ".join(f"SUM(search_volume) FILTER (WHERE {_SPELT_NAME} = '{n}') AS {n}" for n in _SPELT)
+    + ", "
+    + ", ".join(f"COALESCE(SUM(search_volume) FILTER (WHERE regexp_replace({_SPELT_NAME}, '_[a-z]*$', '') = 'search_{k}'), 0.0) AS search_{k}_all" for k in ("error", "purchase", "signup", "visit"))
+    + " FROM searches GROUP BY panel_month",
+    ("searches",),
+)
+def search_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """Volumes and totals by transliterated keywords and sources."""
+    spelling = spark.createDataFrame(list(_SPELLING.items()), "text string, latin string")
+    searched = fx.searches(spark, d)
+    sums = materialize(ci.search_sums(searched, spelling=spelling), "search_sums")
+    totals = materialize(ci.search_totals(searched, spelling=spelling), "search_totals")
+    return ci.search_wide(sums, ci.pivot_columns(sums)).join(ci.totals_wide(totals, ci.pivot_columns(totals)), MONTH)
+
+
 _KEYWORDS = ("click", "error", "purchase", "signup", "view")
 
 

@@ -84,6 +84,28 @@ def ewm(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("amount")
 
 
+def _ended_before(k: int) -> str:
+    now, then = "LAG(p.amount, 1) OVER w", f"LAG(p.amount, {k + 1}) OVER w"
+    return f"{now} - {then} AS amount_diff{k}, ROUND(({now} - {then}) / NULLIF({then}, 0), 6) AS amount_pctchg{k}"
+
+
+@query(
+    "shifted_series",
+    f"""{EWM_CTES}
+SELECT p.sector_id, p.panel_month, {', '.join(_ended_before(k) for k in CHANGES)},
+       ROUND(LAG(e.m1, 1) OVER w, 4) AS "amount_ewm_alpha0_3", ROUND(LAG(e.m2, 1) OVER w, 4) AS "amount_ewm_alpha0_5"
+FROM panel p JOIN (SELECT sector_id AS sid, panel_month AS pm, m1, m2 FROM folded) e ON e.sid = p.sector_id AND e.pm = p.panel_month
+WINDOW w AS (PARTITION BY p.sector_id ORDER BY p.panel_month)""",
+    ("panel",),
+)
+def shifted_series(spark: SparkSession, d: str) -> DataFrame:
+    """Changes and smoothed columns that end a month earlier and so hold nothing of the row's own value."""
+    df = se.add_ewm(fx.panel(spark, d).drop("num"), ["amount"], [0.3, 0.5], [KEY], MONTH, point="_", shift=1)
+    df = se.add_changes(df, ["amount"], CHANGES, shift=1, keys=[KEY], order=MONTH).drop("amount")
+    df = rounded(df, [f"amount_pctchg{k}" for k in CHANGES])
+    return rounded(df, ["amount_ewm_alpha0_3", "amount_ewm_alpha0_5"], 4)
+
+
 @query(
     "interpolate",
     "SELECT sector_id, panel_month, amount, amount_interp FROM ("
@@ -233,6 +255,16 @@ def group_median(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, ["month_median", "overall_median"], 4)
 
 
+@query(
+    "rough_median",
+    "SELECT panel_month, quantile_disc(amount, 0.5) AS month_median FROM cells GROUP BY panel_month",
+    ("cells",),
+)
+def rough_median(spark: SparkSession, d: str) -> DataFrame:
+    """The one-pass form; groups of fewer rows than its accuracy have their lower median."""
+    return qu.rough_quantiles(fx.cells(spark, d), [MONTH], "amount", 0.5, "month_median")
+
+
 @query(
     "month_first",
     """

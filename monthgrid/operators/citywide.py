@@ -20,11 +20,29 @@ MONTH = "panel_month"
 SEARCH_PREFIX = "search_"
 
 
-def search_sums(searches: DataFrame, month: str = MONTH) -> DataFrame:
-    """Volume per month and ``search_<keyword>_<source>``, in long form."""
+def _latin(searches: DataFrame, spelling: DataFrame | None, month: str) -> DataFrame:
+    """The searches with keyword and source in the letters of ``spelling(text, latin)``; texts that it lacks stay.
+
+    Rows are summed up first: what is joined is a row for each month, keyword and source, so no keyword is hot.
+    """
+    if spelling is None:
+        return searches
+    rows = searches.groupBy(month, "keyword", "source").agg(F.sum("search_volume").alias("search_volume"))
+    for c in ("keyword", "source"):
+        words = spelling.groupBy(F.col("text").alias(c)).agg(F.min("latin").alias("_latin"))
+        rows = rows.join(words, c, "left").withColumn(c, F.coalesce("_latin", c)).drop("_latin")
+    return rows
+
+
+def search_sums(searches: DataFrame, month: str = MONTH, spelling: DataFrame | None = None) -> DataFrame:
+    """Volume per month and ``search_<keyword>_<source>``, in long form.
+
+    ``spelling(text, latin)`` transliterates keywords and sources before their names are made; of several
+    spellings of a text the least counts. Keywords that end up under one name are summed.
+    """
     name = F.concat(F.lit(SEARCH_PREFIX), slug("keyword"), F.lit("_"), slug("source"))
     return (
-        searches.groupBy(F.col(month).alias(MONTH), name.alias("column_name"))
+        _latin(searches, spelling, month).groupBy(F.col(month).alias(MONTH), name.alias("column_name"))
         .agg(F.coalesce(F.sum("search_volume"), F.lit(0.0)).alias("volume"))
     )
 
@@ -49,8 +67,11 @@ def total_group(column: Column | str, mode: str = "per_source") -> Column:
     return F.concat(F.regexp_replace(as_column(column), "_[^_]*$", ""), F.lit("_all"))
 
 
-def search_totals(searches: DataFrame, mode: str = "per_source", month: str = MONTH) -> DataFrame:
-    """``*_all`` totals per month in long form; a month without rows gives 0 later."""
+def search_totals(
+    searches: DataFrame, mode: str = "per_source", month: str = MONTH, spelling: DataFrame | None = None
+) -> DataFrame:
+    """``*_all`` totals per month in long form; a month without rows gives 0 later. ``spelling`` as in ``search_sums``."""
+    searches = _latin(searches, spelling, month)
     if mode == "across_sources":
         group = F.concat(F.lit(SEARCH_PREFIX), slug("keyword"), F.lit("_all"))
     else:

@@ -30,9 +30,25 @@ def add_lags(df: DataFrame, columns: Sequence[str], lags: Sequence[int], keys: K
     return df.withColumns(new) if new else df
 
 
-def add_changes(df: DataFrame, columns: Sequence[str], lags: Sequence[int], pct_lags: Sequence[int] | None = None) -> DataFrame:
-    """``<c>_diff<k>`` and ``<c>_pctchg<k>`` for each lag column that exists."""
+def add_changes(
+    df: DataFrame, columns: Sequence[str], lags: Sequence[int], pct_lags: Sequence[int] | None = None,
+    shift: int = 0, keys: Keys = (), order: str = "",
+) -> DataFrame:
+    """``<c>_diff<k>`` and ``<c>_pctchg<k>`` for each lag column that exists.
+
+    With ``shift`` the change is the one that ended that many rows earlier, so that a row's own value is no
+    part of it; it is taken along ``keys`` and ``order`` and needs no lag columns.
+    """
     new: dict[str, Column] = {}
+    if shift:
+        w = series_window(keys, order)
+        for c in columns:
+            now = F.lag(c, shift).over(w)
+            for k in lags:
+                new[f"{c}_diff{k}"] = now - F.lag(c, k + shift).over(w)
+            for k in lags if pct_lags is None else pct_lags:
+                new[f"{c}_pctchg{k}"] = safe_ratio(now - F.lag(c, k + shift).over(w), F.lag(c, k + shift).over(w))
+        return df.withColumns(new) if new else df
     for c in columns:
         for k in lags:
             if f"{c}_lag{k}" in df.columns:
@@ -63,7 +79,7 @@ def add_rolling(
 
 
 def add_ewm(
-    df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, point: str = ".",
+    df: DataFrame, columns: Sequence[str], alphas: Sequence[float], keys: Keys, order: str, point: str = ".", shift: int = 0,
 ) -> DataFrame:
     """``<c>_ewm_alpha<a>``: recursive exponentially weighted mean.
 
@@ -71,10 +87,15 @@ def add_ewm(
     take a dotted column.
 
     Missing values carry the mean forward and decay its weight. A series may be
-    of any length: it is scanned in fragments (see ``scans``).
+    of any length: it is scanned in fragments (see ``scans``). ``shift`` takes the
+    mean as it stood that many rows earlier.
     """
     names = {(c, a): f"{c}_ewm_alpha{str(a).replace('.', point)}" for c in columns for a in alphas}
-    return smoothed(df, names, keys, order) if names else df
+    out = smoothed(df, names, keys, order) if names else df
+    if not shift:
+        return out
+    w = series_window(keys, order)
+    return out.withColumns({n: F.lag(F.col(f"`{n}`"), shift).over(w) for n in names.values()})
 
 
 def add_interpolation(df: DataFrame, columns: Sequence[str], keys: Keys, order: str, suffix: str = "_interp") -> DataFrame:

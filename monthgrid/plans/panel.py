@@ -33,6 +33,7 @@ class PanelOptions:
     change_lags: Sequence[int] = (1, 3, 12)
     rolling: Sequence[int] = (3, 6)
     alphas: Sequence[float] = (0.3, 0.5)
+    # 1: changes, rolling and smoothed columns end at the month before, so that none holds the row's own value.
     shift: int = 0
     holidays: Mapping[str, Sequence[int]] = field(
         default_factory=lambda: {
@@ -102,12 +103,15 @@ def calendar_bounds(sources: Mapping[str, DataFrame], options: PanelOptions) ->
 
 
 def city_table(sources: Mapping[str, DataFrame], start: str, end: str, options: PanelOptions) -> DataFrame:
-    """All city-wide columns and their features: one row per month of the grid."""
-    spark = sources["test"].sparkSession
+    """All city-wide columns and their features: one row per month of the grid.
+
+    A table ``spelling(text, latin)`` among the sources transliterates search keywords.
+    """
+    spark, spelling = sources["test"].sparkSession, sources.get("spelling")
     spine = spark.range(1).select(F.explode(grid.month_span(start, end)).alias(MONTH))
     searched = sources["city_search"].withColumn(MONTH, parse_month("month"))
-    sums = materialize(citywide.search_sums(searched), "search_sums")
-    totals = materialize(citywide.search_totals(searched), "search_totals")
+    sums = materialize(citywide.search_sums(searched, spelling=spelling), "search_sums")
+    totals = materialize(citywide.search_totals(searched, spelling=spelling), "search_totals")
     search = citywide.search_wide(sums, citywide.pivot_columns(sums)).join(
         citywide.totals_wide(totals, citywide.pivot_columns(totals)), MONTH, "left"
     )
@@ -125,7 +129,8 @@ def city_table(sources: Mapping[str, DataFrame], start: str, end: str, options:
     measured = columns["has_search"] + columns["has_macro"]
     raw = grid.add_missing_flags(city, measured)
     lagged = series.add_lags(raw, measured, options.lags, [], MONTH)
-    return materialize(series.add_changes(lagged, measured, options.change_lags), "city_features")
+    changed = series.add_changes(lagged, measured, options.change_lags, shift=options.shift, order=MONTH)
+    return materialize(changed, "city_features")
 
 
 def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions, out_dir: str | None = None) -> DataFrame:
@@ -150,9 +155,9 @@ def static_table(poi: DataFrame, index: DataFrame, options: PanelOptions, out_di
 
 def sector_features(panel: DataFrame, metrics: Sequence[str], options: PanelOptions) -> DataFrame:
     """All series columns of the sector metrics: one partitioning, one sort."""
-    df = series.add_ewm(panel, metrics, options.alphas, [KEY], MONTH, point="_")
+    df = series.add_ewm(panel, metrics, options.alphas, [KEY], MONTH, point="_", shift=options.shift)
     df = series.add_lags(df, metrics, options.lags, [KEY], MONTH)
-    df = series.add_changes(df, metrics, options.change_lags)
+    df = series.add_changes(df, metrics, options.change_lags, shift=options.shift, keys=[KEY], order=MONTH)
     df = series.add_rolling(df, metrics, options.rolling, [KEY], MONTH, options.shift)
     df = series.add_ratios(df, options.ratios)
     if options.event_column in df.columns:

@@ -217,6 +217,39 @@ def test_exact_quantiles(spark, slices, small):
     assert abs(whole - want) <= 1e-9 * max(1.0, abs(want))
 
 
+def test_rough_quantiles(spark):
+    df = spark.range(100_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 > 0, F.col("id") * 1.0).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(9, None)], "g long, v double"))
+    exact = {r.g: r.quantile for r in qu.exact_quantiles(df, ["g"], "v", 0.3).collect()}
+    rough = {r.g: r.quantile for r in qu.rough_quantiles(df, ["g"], "v", 0.3, accuracy=500).collect()}
+    assert exact.keys() == rough.keys() == {0, 1}
+    assert all(abs(exact[g] - rough[g]) <= 100_000 / 500 * 1.2 for g in exact)
+    assert abs(qu.rough_quantiles(df, [], "v").first()[0] - 50_000) < 40
+
+
+def test_shifted_columns_do_not_hold_the_own_value(spark):
+    rows = [("a", i, v) for i, v in enumerate([2.0, 4.0, None, 8.0, 6.0])]
+    df = spark.createDataFrame(rows, "k string, m int, `v.x` double").withColumnRenamed("v.x", "v")
+    out = se.add_changes(se.add_ewm(df, ["v"], [0.5], ["k"], "m", shift=1), ["v"], [1], shift=1, keys=["k"], order="m")
+    got = out.orderBy("m").collect()
+    assert [r.v_diff1 for r in got] == [None, None, 2.0, None, None]
+    assert [r.v_pctchg1 for r in got] == [None, None, 1.0, None, None]
+    assert [r["v_ewm_alpha0.5"] for r in got][:4] == [None, 2.0, 3.0, 3.0] and abs(got[4]["v_ewm_alpha0.5"] - 19 / 3) < 1e-12
+
+
+def test_search_spelling(spark):
+    day = F.to_date(F.lit("2020-01-01")).alias("panel_month")
+    rows = [("房价", "pc", 1.0), ("Fang Jia", "pc", 2.0), ("房价", "移动", 4.0), ("loan", None, None), (None, "pc", 3.0)]
+    df = spark.createDataFrame(rows, "keyword string, source string, search_volume double").select(day, "*")
+    spelling = spark.createDataFrame([("房价", "fang jia"), ("房价", "zz"), ("移动", "yi dong")], "text string, latin string")
+    got = {r.column_name: r.volume for r in ci.search_sums(df, spelling=spelling).collect()}
+    assert got == {"search_fang_jia_pc": 3.0, "search_fang_jia_yi_dong": 4.0, None: 3.0}
+    totals = {r.column_name: r.volume for r in ci.search_totals(df, spelling=spelling).collect()}
+    assert totals == {"search_fang_jia_all": 3.0, "search_fang_jia_yi_all": 4.0, None: 3.0}
+    empty = spelling.where("false")
+    assert {r.column_name for r in ci.search_sums(df, spelling=empty).collect()} == {r.column_name for r in ci.search_sums(df).collect()}
+
+
 def test_exact_quantiles_with_infinite_ends(spark):
     inf = float("inf")
     groups = {0: [-inf, 1.0, 2.0, 3.0, inf], 1: [inf, inf, 1.0], 2: [-inf, -inf], 3: [float(i) for i in range(50)] + [inf] * 3, 4: [-inf, 5.0]}
