@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,57 @@ def scan_sources(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+# Each of the ten input tables: the subquery it is made from and the measure that is summed up.
+_SOURCES = {
+    "new_house": ("nh", "amount"),
+    "new_house_nearby": ("nhnbr", "amount"),
+    "pre_owned": ("po", "amount"),
+    "pre_owned_nearby": ("ponbr", "amount"),
+    "land": ("land", "amount"),
+    "land_nearby": ("landnbr", "amount"),
+    "poi": ("statics", "poi_max_price"),
+    "city_indexes": ("city_indexes", "total_price"),
+    "city_search": ("searches", "search_volume"),
+    "test": ("test_ids", "CAST(length(id) AS DOUBLE)"),
+}
+
+
+@query(
+    "scan_all_sources",
+    "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS source, COUNT(*) AS row_count, COUNT({m}) AS filled, ROUND(SUM({m}), 2) AS total FROM {t}"
+        for name, (t, m) in _SOURCES.items()
+    ),
+    tuple(t for t, _ in _SOURCES.values()),
+)
+def scan_all_sources(spark: SparkSession, d: str) -> DataFrame:
+    """All ten input files, written as CSV under their names and read back by ``read_sources``."""
+    cells = fx.source_cells(spark, d)
+    made = {}
+    for name, (made_from, _) in _SOURCES.items():
+        if made_from in cells:
+            table = cells[made_from]
+            made[name] = _labelled(table.toDF(*[c.removeprefix(f"{made_from}_") for c in table.columns]))
+    statics = fx.statics(spark, d)
+    label = F.concat(F.lit("sector "), F.col(KEY).cast("string")).alias("sector")
+    made["poi"] = statics.select(label, *[c for c in statics.columns if c not in (KEY, "given_cluster")])
+    made["city_indexes"] = fx.city_indexes(spark, d).withColumnRenamed("data_year", "city_indicator_data_year")
+    month = F.date_format(MONTH, "yyyy-MMM").alias("month")
+    made["city_search"] = fx.searches(spark, d).select(month, "keyword", "source", "search_volume")
+    made["test"] = fx.test_ids(spark, d)
+    base = scratch_path(spark, "sources")
+    for t in ta.SOURCE_TABLES:
+        si.write_csv(made[t.name], f"{base}/{t.path}")
+    out = []
+    for name, read in ta.read_sources(spark, base).items():
+        measure = F.expr(_SOURCES[name][1])
+        found = read.agg(
+            F.count(F.lit(1)).alias("row_count"), F.count(measure).alias("filled"), F.round(F.sum(measure), 2).alias("total")
+        )
+        out.append(found.select(F.lit(name).alias("source"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(
     "scan_parquet",
     """
