@@ -183,6 +183,17 @@ def test_dense_grid_equals_left_joins(spark):
         gr.dense_grid(sectors, {"a": a.union(a)}, "2020-01-01", "2020-05-01").collect()
 
 
+def test_a_task_holds_a_bounded_part_of_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(gr, "GRID_ROWS", 1200, raising=False)
+    sectors = spark.range(500).withColumnRenamed("id", "sector_id")
+    cells = sectors.where("sector_id % 3 = 0").select("sector_id", F.lit("2020-03-01").cast("date").alias("panel_month"), F.lit(1.0).alias("a"))
+    got = gr.dense_grid(sectors, {"a": cells}, "2020-01-01", "2029-12-01")
+    tasks = [r[0] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    assert sum(tasks) == 60_000 and max(tasks) < 4 * 1200
+    joined = gr.merge_static(got, sectors.withColumn("poi", F.lit(1)))
+    assert joined.agg(F.count("*"), F.sum("has_poi"), F.sum("a")).first()[:] == (60_000, 60_000, 167.0)
+
+
 def test_dense_grid_plan_has_one_exchange_for_the_series_chain(spark):
     sectors = spark.createDataFrame([(1,)], "sector_id bigint")
     df = gr.dense_grid(sectors, {"a": _cells(spark, [], "a")}, "2020-01-01", "2020-05-01")
