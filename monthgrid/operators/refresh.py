@@ -67,8 +67,9 @@ def _last_seen(frames: Frames, known: Mapping[str, Column] | None = None) -> dic
 def series_table(panel: DataFrame, frames: Frames) -> DataFrame:
     """All series columns of a gap-free panel: the full build that ``refresh`` agrees with."""
     rows = panel.select(KEY, MONTH, *frames.columns)
-    rows = smoothed(rows, frames.smooth_names, [KEY], MONTH) if frames.alphas else rows
-    return _windowed(rows, frames).withColumns(_last_seen(frames))
+    rows = _windowed(rows, frames).withColumns(_last_seen(frames))
+    # The windows have gathered each series.
+    return smoothed(rows, frames.smooth_names, [KEY], MONTH, gathered=True) if frames.alphas else rows
 
 
 def write_months(df: DataFrame, path: str) -> None:
@@ -171,10 +172,10 @@ def refresh(spark: SparkSession, path: str, cells: Mapping[str, DataFrame], fram
         valued = F.max(F.when(F.col(MONTH) == F.add_months(origin, -1), F.col(seen(c)))).over(whole)
         inputs[f"_in_{name}"] = F.when(F.col(MONTH) >= origin, F.col(c)).when(F.col(MONTH) == valued, F.col(name))
     rows = rows.withColumns(inputs | _last_seen(frames, {c: F.col(seen(c)) for c in frames.columns}))
-    if frames.alphas:
-        outputs = {(f"_in_{name}", a): name for (_, a), name in frames.smooth_names.items()}
-        rows = smoothed(rows.drop(*outputs.values()), outputs, [KEY], MONTH)
-    made = _windowed(rows, frames).where(F.col(MONTH) >= origin).select(*stored.columns)
+    outputs = {(f"_in_{name}", a): name for (_, a), name in frames.smooth_names.items()}
+    made = _windowed(rows.drop(*outputs.values()), frames)
+    made = smoothed(made, outputs, [KEY], MONTH, gathered=True) if frames.alphas else made
+    made = made.where(F.col(MONTH) >= origin).select(*stored.columns)
     made = materialize(made, "refreshed")
     write_months(made, path)
     return made

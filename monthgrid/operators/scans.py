@@ -146,6 +146,55 @@ def _carried(found: Sequence, keys: int, wanted: Sequence[tuple[str, float]]) ->
     return states
 
 
+def _smooth_runs(x: np.ndarray, valid: np.ndarray, starts: np.ndarray, alpha: float, state: State) -> tuple[np.ndarray, np.ndarray, State]:
+    """``smooth`` for consecutive series at once: means, which of them are known, and the state at the end of the last.
+
+    ``starts`` are the first rows of the series; the first series goes on from ``state``. The values of one rank
+    in all series are taken together; a batch of few long series goes value by value.
+    """
+    n, (mean0, weight0) = len(x), state
+    placed = np.flatnonzero(valid)
+    run = np.searchsorted(starts, placed, side="right") - 1
+    first = np.searchsorted(placed, starts)  # of each series, its first among the values
+    rank = np.arange(len(placed)) - first[run]
+    steps = int(rank.max()) + 1 if len(placed) else 0
+    if steps * 8 > max(len(placed), 64):
+        values, out, bounds = [v if k else None for v, k in zip(x.tolist(), valid.tolist(), strict=True)], [], [*starts.tolist(), n]
+        for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+            done, end = smooth(values[start:stop], alpha, state if start == 0 else START)
+            out += done
+        known = np.array([m is not None for m in out], bool)
+        return np.array([m if k else 0.0 for m, k in zip(out, known.tolist(), strict=True)], np.float64), known, end
+    fades = np.cumprod(np.concatenate([[1.0], np.full(n, 1.0 - alpha)]))
+    before = np.concatenate([[-1], placed[:-1]])
+    kept, own = fades[np.where(rank > 0, placed - before, 0)], x[placed]
+    means, order = own.copy(), np.argsort(rank, kind="stable")
+    ends = np.cumsum(np.bincount(rank, minlength=steps)) if steps else []
+    if mean0 is not None and len(placed) and run[0] == 0 and own[0] != mean0:
+        fade = weight0 * fades[placed[0] + 1]
+        means[0] = (fade * mean0 + alpha * own[0]) / (fade + alpha)
+    elif mean0 is not None and len(placed) and run[0] == 0:
+        means[0] = mean0
+    for start, stop in zip(ends[:-1], ends[1:], strict=True):
+        at = order[start:stop]
+        last = means[at - 1]
+        means[at] = np.where(own[at] != last, (kept[at] * last + alpha * own[at]) / (kept[at] + alpha), last)
+    latest = np.cumsum(valid) - 1  # the last value so far, of any series
+    series = np.repeat(np.arange(len(starts)), np.diff([*starts.tolist(), n]))
+    known = latest >= first[series]
+    out = np.where(known, means[np.maximum(latest, 0)] if len(placed) else 0.0, 0.0)
+    if mean0 is not None:
+        carried = (series == 0) & ~known
+        out[carried], known = mean0, known | carried
+    if first[-1] < len(placed):
+        end = float(means[-1]), float(fades[n - 1 - placed[-1]])
+    elif len(starts) == 1:
+        end = state if mean0 is None else (mean0, float(weight0 * fades[n]))
+    else:
+        end = START
+    return out, known, end
+
+
 def _apply(keys: Sequence[str], wanted: Sequence[tuple[str, float]], carried: Mapping[int, list[State]], names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = carried.get(TaskContext.get().partitionId())
@@ -153,17 +202,14 @@ def _apply(keys: Sequence[str], wanted: Sequence[tuple[str, float]], carried: Ma
         for batch in batches:
             if not batch.num_rows:
                 continue
-            runs = _runs(batch, keys)
+            starts = np.array([start for start, _ in _runs(batch, keys)])
             goes_on = last == _key(batch, keys, 0) if last is not None else states is not None
-            ends, out = states if goes_on else None, []
-            for i, (column, alpha) in enumerate(wanted):
-                values, means = batch.column(column).to_pylist(), []
-                state = START
-                for n, (start, stop) in enumerate(runs):
-                    state = ends[i] if n == 0 and ends else START
-                    done, state = smooth(values[start:stop], alpha, state)
-                    means += done
-                out.append((pa.array(means, pa.float64()), state))
+            before, out = states if goes_on else [START] * len(wanted), []
+            for (column, alpha), state in zip(wanted, before, strict=True):
+                values = batch.column(column)
+                valid = values.is_valid().to_numpy(zero_copy_only=False)
+                means, known, end = _smooth_runs(values.fill_null(0.0).to_numpy(zero_copy_only=False), valid, starts, alpha, state)
+                out.append((pa.array(means, pa.float64(), mask=~known), end))
             states, last = [s for _, s in out], _key(batch, keys, batch.num_rows - 1)
             others = [batch.column(c) for c in names[: len(names) - len(out)]]
             yield pa.RecordBatch.from_arrays([*others, *[m for m, _ in out]], list(names))
@@ -171,10 +217,13 @@ def _apply(keys: Sequence[str], wanted: Sequence[tuple[str, float]], carried: Ma
     return run
 
 
-def smoothed(df: DataFrame, outputs: Mapping[tuple[str, float], str], keys: Sequence[str], order: str) -> DataFrame:
+def smoothed(
+    df: DataFrame, outputs: Mapping[tuple[str, float], str], keys: Sequence[str], order: str, gathered: bool = False
+) -> DataFrame:
     """``df`` with a recursive mean for each (column, factor) of ``outputs``, under the name given there.
 
-    ``keys`` and ``order`` tell rows apart. Values are taken as doubles; missing is NULL.
+    ``keys`` and ``order`` tell rows apart. Values are taken as doubles; missing is NULL. ``gathered`` says that
+    the rows come from a window over ``keys``, so that each series is in one task already: then one pass does.
     """
     wanted = list(outputs)
     # Columns go to the tasks by place, whatever characters their names have.
@@ -183,12 +232,15 @@ def smoothed(df: DataFrame, outputs: Mapping[tuple[str, float], str], keys: Sequ
     sources, own = [(inputs[c], alpha) for c, alpha in wanted], [place[k] for k in keys]
     rows = df.toDF(*place.values())
     rows = rows.withColumns({name: F.col(place[c]).cast("double") for c, name in inputs.items()})
-    # Both passes must see the same tasks, so their partitions are stored as they are.
-    ranged = checkpointed(rows.repartitionByRange(*own, place[order]).sortWithinPartitions(*own, place[order]))
-    ends = [StructField(f"{x}_{i}", ranged.schema[k].dataType) for x in ("first", "last") for i, k in enumerate(own)]
-    summary = StructType([StructField("part", _type("int")), StructField("whole", _type("boolean")), *ends, StructField("fragments", _type("array<array<double>>"))])
-    found = ranged.mapInArrow(_summarise(own, sources), summary).collect()  # a row for each task
-    carried = _carried(found, len(keys), sources)
+    if gathered:
+        ranged, carried = rows.sortWithinPartitions(*own, place[order]), {}
+    else:
+        # Both passes must see the same tasks, so their partitions are stored as they are.
+        ranged = checkpointed(rows.repartitionByRange(*own, place[order]).sortWithinPartitions(*own, place[order]))
+        ends = [StructField(f"{x}_{i}", ranged.schema[k].dataType) for x in ("first", "last") for i, k in enumerate(own)]
+        summary = StructType([StructField("part", _type("int")), StructField("whole", _type("boolean")), *ends, StructField("fragments", _type("array<array<double>>"))])
+        found = ranged.mapInArrow(_summarise(own, sources), summary).collect()  # a row for each task
+        carried = _carried(found, len(keys), sources)
     out = StructType([*ranged.schema[: len(place)], *[StructField(f"_y{i}", DoubleType()) for i in range(len(outputs))]])
     return ranged.mapInArrow(_apply(own, sources, carried, out.names), out).toDF(*df.columns, *outputs.values())
 

@@ -89,3 +89,19 @@ def test_nothing_new_and_errors(spark, tmp_path, data):
         with pytest.raises(Exception, match=message):
             re.refresh(spark, path, {"x": cells(spark, wrong, "a")}, FRAMES)
     same_as_rebuilt(spark, path, {k: v for k, v in data.items() if k[1] <= MONTHS[6]}, MONTHS[6])
+
+
+def test_gathered_series_are_smoothed_in_one_pass(spark, data, monkeypatch):
+    from monthgrid.operators import scans
+    from monthgrid.operators import series as se
+
+    panel = built(spark, data, MONTHS[-1])
+    names = list(FRAMES.smooth_names.values())
+    want = ordered(se.add_ewm(panel, FRAMES.columns, FRAMES.alphas, [KEY], MONTH, point="_"), [KEY, MONTH, *names])
+
+    def dealt_again(df):
+        raise AssertionError("series are stored once more")
+
+    monkeypatch.setattr(scans, "checkpointed", dealt_again)
+    got = re.series_table(panel, FRAMES)
+    pd.testing.assert_frame_equal(ordered(got, [KEY, MONTH, *names]), want, rtol=1e-12)
