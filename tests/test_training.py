@@ -152,3 +152,20 @@ def test_search_takes_real_fits_from_its_log(spark):
             df, folds, "random_forest", features, "y", settings, rule=rule, encoding=encoding, log=path, data_version=encoding).collect()))  # noqa: B023
         first = run(log)
         assert len(first) == 4 and run(log) == first
+
+
+def test_boosted_trees_of_merged_rows_are_those_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(a), float(b), float(a * 3 - b + rng.uniform()), float(w)) for a, b, w in zip(rng.integers(0, 6, 2000), rng.integers(-2, 3, 2000), rng.uniform(0.1, 2, 2000), strict=True)]
+    df = spark.createDataFrame(rows, "a int, b double, y double, weights double")
+    written = []
+    real = le.materialize
+    monkeypatch.setattr(le, "materialize", lambda d, name="cut": written.append(real(d, name)) or written[-1])
+    params, rule = {"maxIter": 4, "maxDepth": 3}, le.TargetRule(log=False, minimum=None)
+    for learner in ("boosted", "boosted_scaled"):
+        model = le.fit(df, learner, ["a", "b"], "y", params, rule=rule)
+        assert written[-1].count() <= 30  # a row for each pair of values
+        plain = le.build_pipeline(learner, ["a", "b"], params).fit(df.withColumn(le.LABEL, F.col("y")))
+        both = le.predict(plain, le.predict(model, df, ["a", "b"], "merged", rule), ["a", "b"], "single", rule)
+        assert both.columns == [*df.columns, "merged", "single"]
+        assert both.agg(F.max(F.abs(F.col("merged") - F.col("single")))).first()[0] < 1e-9
