@@ -18,28 +18,28 @@ tokens and chunks; malformed bytes become U+FFFD, one for each maximal part of a
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from monthgrid.llm import wordhash as wh
 from monthgrid.llm.common import Remembered
+from monthgrid.llm.patterns import Pieces
 
-MAX_STATES = 200_000
-MAX_WALKS = 400_000
-MAX_UNITS = 200_000
-MAX_PIECES = 200_000
+MAX_STATES = 100_000
+MAX_WALKS = 150_000
+MAX_PIECES = 100_000
 _ROOT = 0
 _NEVER = 1 << 60
 _STUCK = (-1, -1)
+#: With so many tokens below a node, a walk is told by those that may end it.
+_FEW = 16
 #: Bytes after which what all walks agree on is emitted.
 _LOOK_BACK = 1024
 
@@ -73,36 +73,44 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.sizes = {i: len(t) for t, i in ranks.items()}
+        self.order = sorted(self.tokens, key=self.tokens.get)
         self.trie: list[dict[int, int]] = [{}]
-        self.token_at, self.depth = [-1], [0]
-        for token, rank in ranks.items():
+        #: By node: its token, its depth, and the places in ``order`` of the tokens below it.
+        self.token_at, self.depth = [-1], array("i", [0])
+        self.low, self.high = array("i", [0]), array("i", [len(self.order)])
+        for place, token in enumerate(self.order):
             node = _ROOT
-            for place, byte in enumerate(token):
+            for depth, byte in enumerate(self.tokens[token], 1):
                 to = self.trie[node].get(byte)
                 if to is None:
                     to = self.trie[node][byte] = len(self.trie)
                     self.trie.append({})
                     self.token_at.append(-1)
-                    self.depth.append(place + 1)
+                    self.depth.append(depth)
+                    self.low.append(place)
+                    self.high.append(place)
                 node = to
-            self.token_at[node] = rank
+                self.high[node] = place + 1
+            self.token_at[node] = token
+            self.low[node] += 1
         self.whole: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self._forget()
 
     def _forget(self) -> None:
-        #: Walks: (last token, node) by number, and by byte what a walk does on it.
-        self.walk_numbers: dict[tuple[int, int], int] = {}
-        self.walk_at: list[tuple[int, int]] = []
-        self.moves: list[dict[int, tuple[int, int]]] = [{} for _ in range(256)]
-        #: States: sets of walks by number, and the next state and finished token by state and byte.
+        #: Walks: (last token, node) by number, or with few tokens below the node (those that may still end there, node).
+        self.walk_numbers: dict[tuple, int] = {}
+        self.walk_at: list[tuple] = []
+        #: What a walk does on a byte, by both.
+        self.moves: dict[int, tuple[int, int]] = {}
+        #: States: sets of walks by number, the token that ends where one is reached, and the next state by state and byte.
         self.states: dict[tuple[int, ...], int] = {}
         self.walks: list[tuple[int, ...]] = []
-        self.steps: list[dict[int, tuple[int, int]]] = []
+        self.finished: list[int] = []
+        self.steps: dict[int, int] = {}
         self.start = self._state((self._walk(-1, _ROOT),))
 
-    def _walk(self, last: int, node: int) -> int:
+    def _walk(self, last: int | tuple[int, ...], node: int) -> int:
         walk = last, node
         number = self.walk_numbers.get(walk)
         if number is None:
@@ -111,11 +119,12 @@ class Transducer:
         return number
 
     def _state(self, walks: tuple[int, ...]) -> int:
+        """The last of the walks has just begun, with the token that ends here as the last one."""
         number = self.states.get(walks)
         if number is None:
             number = self.states[walks] = len(self.walks)
             self.walks.append(walks)
-            self.steps.append({})
+            self.finished.append(self.walk_at[walks[-1]][0])
         return number
 
     def _edge(self, token: int, right: bool) -> list[tuple[bytes, int]]:
@@ -155,28 +164,37 @@ class Transducer:
                 j += 1
 
     def _move(self, walk: int, byte: int) -> tuple[int, int]:
-        """The walk after ``byte`` and the token that may end there, -1 for none."""
+        """The walk after ``byte``, -1 if no token can end it any more, and the token that may end there, -1 for none."""
         last, node = self.walk_at[walk]
         to = self.trie[node].get(byte)
         if to is None:
             return _STUCK
-        token = self.token_at[to]
-        if token >= 0 and not self._follows(last, token):
-            token = -1
-        return self._walk(last, to) if self.trie[to] else -1, token
-
-    def _build(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after one more byte, its walks oldest first, and the token that ends there."""
-        own, walks = self.moves[byte], self.walks[state]
-        moves = [own.get(w) for w in walks]
-        if None in moves:
-            for i, walk in enumerate(walks):
-                if moves[i] is None:
-                    moves[i] = own[walk] = self._move(walk, byte)
-        after = [to for to, _ in moves if to >= 0]
-        finished = max([token for _, token in moves])
+        token, low, high = self.token_at[to], self.low[to], self.high[to]
+        if type(last) is tuple:
+            if token >= 0 and low - 1 not in last:
+                token = -1
+            last = tuple([i for i in last if low <= i < high])
+        else:
+            if token >= 0 and not self._follows(last, token):
+                token = -1
+            if high - low <= _FEW:
+                last = tuple([i for i in range(low, high) if self._follows(last, self.order[i])])
+        return self._walk(last, to) if last != () else -1, token
+
+    def _build(self, state: int, byte: int) -> int:
+        """The state after one more byte, its walks oldest first."""
+        after, finished, moves = [], -1, self.moves
+        for walk in self.walks[state]:
+            move = moves.get(walk << 8 | byte)
+            if move is None:
+                move = moves[walk << 8 | byte] = self._move(walk, byte)
+            to, token = move
+            if to >= 0:
+                after.append(to)
+            if token >= 0:
+                finished = token
         after.append(self._walk(finished, _ROOT))
-        step = self.steps[state][byte] = self._state(tuple(after)), finished
+        step = self.steps[state << 8 | byte] = self._state(tuple(after))
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -188,27 +206,26 @@ class Transducer:
         out: list[int] = []
         # The token that ends at each place since the tokens in ``out``. Its length leads back to the one before.
         ends: list[int] = []
-        state, steps = self.start, self.steps
+        state, steps, finished = self.start, self.steps, self.finished
         for at in range(0, len(piece), _LOOK_BACK):
             if at:
                 out += self._settle(ends, state)
                 if len(self.walks) >= MAX_STATES or len(self.walk_at) >= MAX_WALKS:
                     walks = [self.walk_at[w] for w in self.walks[state]]
                     self._forget()
-                    state, steps = self._state(tuple([self._walk(*w) for w in walks])), self.steps
+                    state = self._state(tuple([self._walk(*w) for w in walks]))
+                    steps, finished = self.steps, self.finished
             for byte in piece[at : at + _LOOK_BACK]:
-                try:
-                    state, token = steps[state][byte]
-                except KeyError:
-                    state, token = self._build(state, byte)
-                ends.append(token)
+                key = state << 8 | byte
+                state = steps[key] if key in steps else self._build(state, byte)
+                ends.append(finished[state])
         return out + self._chain(ends, len(ends))
 
     def _chain(self, ends: list[int], place: int) -> list[int]:
         tokens = []
         while place > 0:
             tokens.append(ends[place - 1])
-            place -= self.sizes[tokens[-1]]
+            place -= len(self.tokens[tokens[-1]])
         return tokens[::-1]
 
     def _settle(self, ends: list[int], state: int) -> list[int]:
@@ -218,47 +235,28 @@ class Transducer:
         while all(len(c) > n for c in chains) and len({c[n] for c in chains}) == 1:
             n += 1
         settled = chains[0][:n]
-        del ends[: sum(self.sizes[t] for t in settled)]
+        del ends[: sum(len(self.tokens[t]) for t in settled)]
         return settled
 
 
 class Encoder:
-    """Ids of whole texts. Between plain spaces a text falls into units that encode alone; those are remembered."""
+    """Ids of whole texts. The pieces that the pattern cuts are merged separately; they are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
-        # \s as the set of white space of Unicode, whatever the library takes it for.
-        self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}"))
+        self.pieces = Pieces(pattern)
         self.piece = Remembered(self._piece, MAX_PIECES)
-        # Whether a space and plain letters are one piece is up to the pattern; then they need no search.
-        plain = all(self.pattern.findall(f" {x}") == [f" {x}"] for x in ("a", "Zz", "\u00c0\u00f6", "\u0100\u017f", "x" * 99))
-        self.plain = _LETTERS.fullmatch if plain else lambda unit: None
-        self.unit = Remembered(self._unit, MAX_UNITS)
 
     def _piece(self, piece: str) -> bytes:
         return array("i", self.machine.encode(piece.encode())).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        return self._piece(" " + unit) if self.plain(unit) else self._encode(" " + unit)
-
-    def _encode(self, unit: str) -> bytes:
-        return b"".join([self.piece(p) for p in self.pattern.findall(unit)])
-
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers."""
-        # A space after white space belongs to a longer run, so such texts are not cut.
-        if _RUN.search(text):
-            return self._encode(text)
-        first, *units = text.split(" ")
-        known = self.unit.new.get
-        out = [known(u) for u in units]
+        pieces, known = self.pieces.findall(text), self.piece.new.get
+        out = [known(p) for p in pieces]
         if None in out:
-            out = [self.unit(u) if x is None else x for x, u in zip(out, units, strict=True)]
-        return self._encode(first) + b"".join(out)
-
-
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
-_RUN = re.compile("[\\s\x85\xa0  -     　] ")
+            out = [self.piece(p) if x is None else x for x, p in zip(out, pieces, strict=True)]
+        return b"".join(out)
 
 
 def _utf8_steps() -> list[list[int]]:
