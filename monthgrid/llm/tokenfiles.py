@@ -13,20 +13,25 @@ differences, exception places (16-bit), their higher bits (32-bit). The last blo
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthgrid.llm import wordhash as wh
 from monthgrid.llm.common import materialize, scratch_path, shuffle_width, text_or_empty
+from monthgrid.llm.patterns import Pieces
 
 BLOCK = 256
 PERCENTILE = 90
@@ -56,8 +61,8 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
         packed: list[bytes] = [b""] * len(block)
         for width in np.unique(widths).tolist():
             rows = np.flatnonzero(widths == width)
-            bits = (rest[rows][:, :, None] >> np.arange(width)) & 1
-            lines = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            low = np.unpackbits(rest[rows].astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(len(rows), BLOCK, 32)
+            lines = np.packbits(low[:, :, :width].reshape(len(rows), -1), axis=1, bitorder="little")
             for r, line in zip(rows.tolist(), lines, strict=True):
                 packed[r] = line.tobytes()
         over = rest >> widths[:, None]
@@ -82,9 +87,9 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
             size = BLOCK * width // 8
             if size:
                 lines = raw[starts[rows][:, None] + 7 + np.arange(size)]
-                bits = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
-                for bit in range(width):
-                    out[rows] |= bits[:, :, bit].astype(np.int64) << bit
+                bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
+                bits[:, :, :width] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
+                out[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view("<u4")
     for r in np.flatnonzero(counts).tolist():
         n, at = int(counts[r]), int(starts[r]) + 7 + BLOCK * int(widths[r]) // 8
         places = np.frombuffer(data, "<u2", n, at)
@@ -127,13 +132,41 @@ class TokenFile:
         return unpack_blocks(self.data, self.starts[first:last] + self.base)[start - first * BLOCK : stop - first * BLOCK]
 
 
+class _Memory:
+    """What ``make`` gives for a list of strings, kept in two generations of bounded size."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.make = make
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.new)
+
+    def values(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """Values by key, those of ``keys`` among them, which are distinct."""
+        if len(self.new) > MAX_WORDS:
+            self.old, self.new = self.new, {}
+        fresh = []
+        for key in keys:
+            if key not in self.new:
+                value = self.old.get(key)
+                if value is None:
+                    fresh.append(key)
+                else:
+                    self.new[key] = value
+        self.new.update(zip(fresh, self.make(fresh), strict=True))
+        return self.new
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and never joins words across it.
 
-    Words between white space are encoded by the library once and remembered, in two generations of
-    bounded size. Texts of the first Latin blocks are put in lower case first, as the tokenizer would
-    do, so that a word counts as one however it is written. Strings of the tokenizer's added tokens in a
-    text become these tokens, as is the library's default.
+    Words between white space of ASCII are remembered. Texts of the first Latin blocks are put in lower case first,
+    as the tokenizer would do, so that a word counts as one however it is written. If the tokenizer's
+    settings name a pattern that cuts such words into pieces, each encoded alone, a new word is cut
+    by it and the pieces are remembered, too; what is new then is encoded by the library, once. Strings of
+    the tokenizer's added tokens in a text become these tokens, as is the library's default.
     """
 
     def __init__(self, path: str) -> None:
@@ -145,46 +178,83 @@ class WordTokenizer:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.lowers = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _words(self, text: str) -> list[str]:
-        if self.lowers and not _OTHER.search(text):
-            text = text.lower()
-        # The control characters are white space for str.split, but not for the tokenizer.
-        return _WHITE.split(text) if _CONTROL.search(text) else text.split()
-
-    def _learn(self, unknown: list[str]) -> None:
-        fresh = []
-        for w in unknown:
-            ids = self.before.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self.known[w] = ids
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        pattern = _cutting_pattern(json.loads(self.tokenizer.to_str())) if self.lowers else None
+        self.pattern, self.model = Pieces(pattern) if pattern else None, self.tokenizer.model
+        self.known, self.pieces = _Memory(self._of_words), _Memory(self._of_pieces)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        if self.pattern is None:
+            return self._by_library(words)
+        others = [w for w in words if _OTHER.search(w)]
+        out = dict(zip(others, self._by_library(others), strict=True))
+        cut = {w: self.pattern.findall(w.lower()) for w in words if w not in out}
+        known = self.pieces.values(set().union(*cut.values()))
+        return [out[w] if w in out else b"".join([known[p] for p in cut[w]]) for w in words]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """By the library's model alone: a piece is as the steps before the model would leave it, but for the names of its bytes."""
+        tokens = self.model.tokenize
+        named = (p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_NAMES) for p in pieces)
+        return [array("I", [t.id for t in tokens(p)]).tobytes() for p in named]
+
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each text as 32-bit integers, then ``end``."""
-        if len(self.known) > MAX_WORDS:
-            self.before, self.known = self.known, {}
         whole = {i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)}
-        split = [[] if i in whole else self._words(t) for i, t in enumerate(texts)]
-        unknown = set().union(*split).difference(self.known)
-        if unknown:
-            self._learn(list(unknown))
-        known = self.known
-        out = [b"".join([known[w] for w in words]) + end for words in split]
+        plain = ["" if i in whole else t.lower() if self.lowers and not _OTHER.search(t) else t for i, t in enumerate(texts)]
+        # Other white space than that of ASCII stays inside words, where the tokenizer drops it.
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        words, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        distinct = words.dictionary.to_pylist()
+        known = self.known.values(distinct)
+        ids = [known[w] for w in distinct]
+        # Places of the ids of all words, one after the other, among those of the distinct words.
+        which = words.indices.to_numpy()
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        starts, own = np.cumsum(sizes) - sizes, sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        places = np.repeat(starts[which] - ends[:-1], own) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), np.uint32)[places].tobytes()
+        bounds = (4 * ends[offsets - offsets[0]]).tolist()
+        out = [data[a:b] + end for a, b in pairwise(bounds)]
         for i in whole:
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes() + end
         return out
 
 
-MAX_WORDS = 500_000
+def _cutting_pattern(settings: dict) -> str | None:
+    """The pattern whose matches in a lower-case Latin text are encoded each alone, if the settings say so.
+
+    That is when the text as such is cut by one pattern without a look at what stands around a match.
+    """
+    def steps(part: dict | None, name: str) -> list[dict]:
+        return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+    for step in steps(settings["normalizer"], "normalizers"):
+        spaces = step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+        if not spaces and step["type"] not in ("NFC", "Lowercase"):
+            return None
+    first, *others = steps(settings["pre_tokenizer"], "pretokenizers") or [None]
+    if first is None or first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"]:
+        return None
+    if len(others) != 1 or others[0]["type"] != "ByteLevel" or others[0]["add_prefix_space"] or others[0]["use_regex"]:
+        return None
+    pattern = first["pattern"].get("Regex")
+    return pattern if pattern and not re.search(r"\(\?|[\^$](?!\\)|\\[bBAzZG]", pattern.replace("[^", "[")) else None
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
+#: How byte-level tokenizers write the bytes that are no printable characters.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_NAMES = {byte: chr(256 + i) for i, byte in enumerate(sorted({*range(256)} - _PRINTABLE))}
+MAX_WORDS = 300_000
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")  # beyond these, lower case may depend on the library
-_CONTROL = re.compile("[\x1c-\x1f]")
-_WHITE = regex.compile(r"\p{White_Space}+")
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +270,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 1,
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         fs, folder = pa.fs.FileSystem.from_uri(root)
         fs.create_dir(folder, recursive=True)
         part, number, docs_held, held, size = TaskContext.get().partitionId(), 0, [], [], 0

@@ -567,6 +567,19 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert len(own.known) <= 120
 
 
+def test_pieces_of_words_are_encoded_once():
+    known, own, rng = tokenizers.Tokenizer.from_file(WORDS), tokenfiles.WordTokenizer(WORDS), random.Random(4)
+    asked, make = [], own.pieces.make
+    own.pieces.make = lambda pieces: [asked.extend(pieces), make(pieces)][1]
+    stems = ["one", "Two", "thrée", "it's", "4", "漢字", "ſŉ", "x\x85y", "a\xa0b", "\x1c", "\x7f"]
+    for _ in range(300):
+        text = "".join(rng.choice(stems) + rng.choice(["", " ", ".", ",\n", "!!"]) for _ in range(rng.randint(0, 9)))
+        assert own.encode([text], b"") == [np.array(known.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()], repr(text)
+    # So many words between white space, but few pieces, each handed to the library once; a task's words serve the next task.
+    assert len(own.known) > len(asked) == len(set(asked))
+    assert tokenfiles._tokenizer(WORDS) is tokenfiles._tokenizer(WORDS)
+
+
 def test_added_tokens_in_texts_are_recognised():
     known, own = tokenizers.Tokenizer.from_file(WORDS), tokenfiles.WordTokenizer(WORDS)
     texts = ["one <|endoftext|> two", "one two", "a<|startoftext|>b <|endoftext|>", "x <|ENDOFTEXT|> y", "<|endof text|>", "Élan <|endoftext|>\n\x1cé 漢", ""]
