@@ -12,7 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthgrid.llm import bpe, decontaminate, language, lines, neardup
-from monthgrid.llm.common import materialize, read, ship, text_or_empty
+from monthgrid.llm.common import materialize, read, text_or_empty
+from monthgrid.llm.common import ship as ship_package
+
+
+#: Rows sent to a Python worker at once. Workers of all stages live on, so what a batch takes counts for the rest, too.
+BATCH_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def _packed(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 U64 = np.uint64
 

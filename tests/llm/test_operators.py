@@ -474,6 +474,13 @@ def test_pieces_are_cut_as_by_the_regex_library():
     assert isinstance(patterns.Pieces(public_tokenizers.PATTERN).plane, re.Pattern)
 
 
+def test_tables_that_workers_keep_for_word_hashes_are_small():
+    data = np.frombuffer(b"ab " * 400_000, np.uint8)
+    words = wh.Words(data, np.array([0, len(data)]), lower=False)
+    assert len(words.hashes) == 400_000 and len(set(words.hashes.tolist())) == 1
+    assert sum(row.nbytes for row in wh._POWERS.values()) <= 8 << 20
+
+
 def test_streaming_decode_of_any_bytes():
     tokens, complete = bpe._vocabulary(RANKS)
     rng = random.Random(7)
